@@ -117,7 +117,7 @@ def markdown_header(names: list[str]) -> tuple[str, str]:
 
 def rows_to_markdown(df: DataFrame, keys: list[str], row_no: str, columns: list[str], names: list[str] | None = None,
                      width: int = 1000) -> DataFrame:
-    """One Markdown table text per ``keys``, rows in ``row_no`` order.
+    """One Markdown table text per ``keys``, rows in ``row_no`` order (equal numbers by their line).
 
     Lines are joined per (key, segment of ``width``) first and segments after that, so building a big table is
     spread out; only the finished text, which is one value by definition, meets in one place.
@@ -145,7 +145,7 @@ def chunk_table_rows(df: DataFrame, row_no: str, columns: list[str], names: list
     header_line = F.lit(header)
     lines = df.select(*keys, F.col(row_no).alias("_row"),
                       tx.strip(markdown_line([F.col(c) for c in columns])).alias("_line"))
-    kept = ordinal(lines.where(~F.col("_line").rlike(SEPARATOR_LINE)), keys, ["_row"], width, "_pos")
+    kept = ordinal(lines.where(~F.col("_line").rlike(SEPARATOR_LINE)), keys, ["_row", "_line"], width, "_pos")
     groups = (kept.groupBy(*keys, F.floor(F.col("_pos") / rows_per_group).cast("int").alias("_group"))
               .agg(F.transform(F.array_sort(F.collect_list(F.struct("_pos", "_line"))),
                                lambda s: s["_line"]).alias("_rows")))

@@ -27,6 +27,10 @@ def _extended(df: DataFrame, *fields: T.StructField) -> T.StructType:
     return T.StructType(df.schema.fields + list(fields))
 
 
+def _strings(values: list, like: pd.DataFrame) -> pd.Series:
+    return pd.Series(values, index=like.index, dtype=object)
+
+
 def _batched(values: list, size: int) -> Iterator[list]:
     return (values[i:i + size] for i in range(0, len(values), size))
 
@@ -118,7 +122,7 @@ def expand_job(queries: DataFrame, load: Callable[[], Callable[[list[str]], list
         write = load()
         for part in parts:
             passages = [p for texts in _batched(list(part["query"]), batch) for p in write(texts)]
-            yield pd.DataFrame({"qid": part["qid"].to_numpy(), "passage": passages})
+            yield part[["qid"]].assign(passage=_strings(passages, part))
 
     return eligible.mapInPandas(run, "qid string, passage string")
 
@@ -144,7 +148,8 @@ def text_job(df: DataFrame, source: str, target: str, load: Callable[[], Callabl
                 return [None] * len(texts)
 
         for part in parts:
-            yield part.assign(**{target: [r for texts in _batched(list(part[source]), batch) for r in reply(texts)]})
+            replies = [r for texts in _batched(list(part[source]), batch) for r in reply(texts)]
+            yield part.assign(**{target: _strings(replies, part)})
 
     return df.mapInPandas(run, _extended(df, T.StructField(target, T.StringType())))
 
@@ -191,7 +196,8 @@ def describe_images_job(images: DataFrame, load: Callable[[], Callable[[bytes],
 
         for part in parts:
             described = [safe(data) for data in part[image]]
-            yield part.assign(caption=[d[0] for d in described], ocr_text=[d[1] for d in described])
+            yield part.assign(caption=_strings([d[0] for d in described], part),
+                              ocr_text=_strings([d[1] for d in described], part))
 
     return images.mapInPandas(run, _extended(images, T.StructField("caption", T.StringType()),
                                              T.StructField("ocr_text", T.StringType())))

@@ -80,18 +80,20 @@ def upsert(target: DataFrame, rows: DataFrame, keys: list[str],
     """New keys are added whole; known keys take the new values of ``update`` only.
 
     ``update`` as a dict gives the value to set (it may use ``new.<column>``).  An empty ``update`` inserts only.
+    ``rows`` holds a key once (see :func:`latest`).  Joins have the new rows on their build side, so a small batch is
+    broadcast by Spark's own size check and the target is not shuffled, as a full outer join would need.
     """
     rules = update if isinstance(update, dict) else {c: F.col(f"new.{c}") for c in update}
-    on = [F.col(f"old.{k}") == F.col(f"new.{k}") for k in keys]
-    joined = target.withColumn("_old", F.lit(True)).alias("old").join(
-        align_schema(rows, target.schema).withColumn("_new", F.lit(True)).alias("new"), on, "full_outer")
-    known, incoming = F.col("old._old").isNotNull(), F.col("new._new").isNotNull()
-
-    def merged(c):
-        changed = F.when(known & incoming, rules[c]) if c in rules else F
-        return changed.when(known, F.col(f"old.{c}")).otherwise(F.col(f"new.{c}")).alias(c)
-
-    return joined.select(*[merged(c) for c in target.columns])
+    rows = align_schema(rows, target.schema)
+    matched = target.select(*keys).join(rows.select(*keys), keys, "left_semi")
+    inserts = rows.join(matched, keys, "left_anti").select(*target.columns)
+    if not rules:
+        return target.unionByName(inserts)
+    joined = target.alias("old").join(rows.withColumn("_hit", F.lit(True)).alias("new"),
+                                      [F.col(f"old.{k}") == F.col(f"new.{k}") for k in keys], "left")
+    merged = lambda c: (F.when(F.col("new._hit"), rules[c]).otherwise(F.col(f"old.{c}")) if c in rules
+                        else F.col(f"old.{c}")).alias(c)
+    return joined.select(*[merged(c) for c in target.columns]).unionByName(inserts)
 
 
 def store_chunks(target: DataFrame, rows: DataFrame) -> DataFrame:
