@@ -100,7 +100,7 @@ def bm25_score(queries: DataFrame, forward: DataFrame, terms: DataFrame, stats:
     """Score of each candidate pair of ``queries`` (``qid, org_id, modality, query, chunk_id``), zero when nothing
     matches.  The pairs are given; nothing is enumerated."""
     pairs = queries.select("qid", *GROUP, "chunk_id")
-    weighted = query_weights(queries.drop("chunk_id").distinct(), terms, stats)
+    weighted = query_weights(queries.select("qid", *GROUP, "query").distinct(), terms, stats)
     joined = (pairs.join(weighted, ["qid", *GROUP])
               .join(forward.select(*GROUP, "chunk_id", "dl", F.col("terms").alias("_t"), F.col("tfs").alias("_f")),
                     [*GROUP, "chunk_id"]))

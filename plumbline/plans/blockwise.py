@@ -215,6 +215,8 @@ def small_table(df: DataFrame, max_rows: int = MAX_BROADCAST_QUERIES,
 
 def _block_join(corpus: DataFrame, queries: DataFrame, kernel, group: list[str], block_rows: int,
                 query_block_rows: int) -> DataFrame:
+    # Fresh column identities: both sides may come from one table.
+    queries = queries.select(*[F.col(c).alias(c) for c in queries.columns])
     blocks = lambda df, size, name: df.groupBy(*group).agg(
         F.ceil(F.count(F.lit(1)) / F.lit(size)).cast("int").alias(name))
     shape = blocks(corpus, block_rows, "_nc").join(blocks(queries, query_block_rows, "_nq"), group)

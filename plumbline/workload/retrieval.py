@@ -174,10 +174,9 @@ def bm25_topk_padded(spark, d):
         "qid", "modality", "chunk_id", "score", "rnk")
 
 
-@register("T2 P1", SEARCHED + """SELECT qid, chunk_id, score, rnk FROM (SELECT s.*, row_number() OVER (
-  PARTITION BY qid ORDER BY score DESC, s.chunk_id) AS rnk FROM scored s JOIN chunks c USING (chunk_id)
-  JOIN qrels g ON g.qid = s.qid AND g.doc_id = c.file_id WHERE s.modality = 'text' AND score <> 0) WHERE rnk <= 5"""
-          .replace("scored s JOIN", "scored s JOIN"))
+@register("T2 P1", sql.with_(sql.CORPUS, sql.QUERIES, sql.bm25(), sql.QRELS) + """SELECT qid, chunk_id, score, rnk FROM (SELECT s.*, row_number() OVER (
+  PARTITION BY s.qid ORDER BY score DESC, s.chunk_id) AS rnk FROM scored s JOIN chunks c USING (chunk_id)
+  JOIN qrels g ON g.qid = s.qid AND g.doc_id = c.file_id WHERE s.modality = 'text' AND score <> 0) WHERE rnk <= 5""")
 def bm25_topk_in_files(spark, d):
     """Search limited to the files known to hold the passage."""
     idx = tables.index(spark, d)
@@ -371,8 +370,8 @@ def metric_breakdown(spark, d):
 
 
 @register("T7", sql.with_(*sql.RETRIEVE[:4], sql.QRELS, """retrieved AS (SELECT qid, doc_id, section_id, row_number() OVER (
-  PARTITION BY qid ORDER BY score DESC, chunk_id) AS rnk FROM similar JOIN chunks USING (chunk_id)
-  WHERE similar.modality = 'text')""", sql.evaluated("(SELECT * FROM retrieved WHERE rnk <= 10)"))
+  PARTITION BY qid ORDER BY score DESC, chunk_id) AS rnk FROM nearest JOIN chunks USING (chunk_id)
+  WHERE nearest.modality = 'text')""", sql.evaluated("(SELECT * FROM retrieved WHERE rnk <= 10)"))
           + """SELECT qid, source, intent, substr(query, 1, 90) AS query FROM per_query WHERE recall_at_5 = 0
   ORDER BY qid LIMIT 8""")
 def failed_queries(spark, d):
@@ -401,7 +400,7 @@ def _ablation_sql():
     """Each mode ranks its own lists; without passages the two expansion settings agree."""
     parts, modes = [], {"dense": "list_no = 0", "sparse": "list_no = 1", "hybrid": "true"}
     lists = """dense_list AS (SELECT * FROM (SELECT qid, modality, chunk_id, row_number() OVER (PARTITION BY qid, modality
-  ORDER BY score DESC, chunk_id) AS rnk FROM similar) WHERE rnk <= CASE modality WHEN 'image' THEN 20 ELSE 30 END),
+  ORDER BY score DESC, chunk_id) AS rnk FROM nearest) WHERE rnk <= CASE modality WHEN 'image' THEN 20 ELSE 30 END),
 sparse_list AS (SELECT * FROM (SELECT qid, modality, chunk_id, row_number() OVER (PARTITION BY qid, modality
   ORDER BY score DESC, chunk_id) AS rnk FROM scored WHERE score <> 0)
   WHERE rnk <= CASE modality WHEN 'image' THEN 20 ELSE 30 END),

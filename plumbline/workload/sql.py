@@ -110,10 +110,9 @@ def embedded(name: str, source: str, key: str, text: str, dim: int = 128) -> str
 
 
 def dense(query_text: str = "query", source: str = "q", chunks: str = "chunks") -> str:
-    return ",\n".join([embedded("ce", chunks, "chunk_id", "content"), embedded("qe", source, "qid", query_text), f"""
-cn AS (SELECT chunk_id, sqrt(sum(w * w)) AS n FROM ce GROUP BY ALL),
+    return ",\n".join([embedded("ce", chunks, "chunk_id", "content"), embedded("qe", source, "qid", query_text), f"""cn AS (SELECT chunk_id, sqrt(sum(w * w)) AS n FROM ce GROUP BY ALL),
 qn AS (SELECT qid, sqrt(sum(w * w)) AS n FROM qe GROUP BY ALL),
-similar AS MATERIALIZED (SELECT qid, chunk_id, modality, round(dot / (qn.n * cn.n), 6) AS score FROM (
+nearest AS MATERIALIZED (SELECT qid, chunk_id, modality, round(dot / (qn.n * cn.n), 6) AS score FROM (
   SELECT qid, chunk_id, sum(qe.w * ce.w) AS dot FROM qe JOIN ce USING (b) GROUP BY ALL)
   JOIN cn USING (chunk_id) JOIN qn USING (qid) JOIN {chunks} USING (chunk_id))"""])
 
@@ -134,7 +133,7 @@ def overlap(query: str = "query", content: str = "content") -> str:
 
 
 HYBRID = f"""dense_list AS (SELECT * FROM (SELECT qid, modality, chunk_id, query, row_number() OVER (
-  PARTITION BY qid, modality ORDER BY score DESC, chunk_id) AS rnk FROM similar JOIN q USING (qid))
+  PARTITION BY qid, modality ORDER BY score DESC, chunk_id) AS rnk FROM nearest JOIN q USING (qid))
   WHERE rnk <= {ADAPTIVE_K}),
 sparse_list AS (SELECT * FROM (SELECT qid, modality, chunk_id, query, row_number() OVER (
   PARTITION BY qid, modality ORDER BY score DESC, chunk_id) AS rnk FROM scored JOIN q USING (qid) WHERE score <> 0)
