@@ -36,8 +36,8 @@ INGEST_VECTOR = T.StructType([T.StructField(c, T.StringType()) for c in ("chunk_
                              + [T.StructField("bucket", T.IntegerType())])
 
 
-def _bucket() -> Column:
-    return F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS)).cast("int")
+def _bucket(buckets: int) -> Column:
+    return F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int")
 
 
 def _stored(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -45,14 +45,14 @@ def _stored(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
-def ingest_batch(documents: DataFrame, path: str, load=None, dim: int = 1024) -> None:
+def ingest_batch(documents: DataFrame, path: str, load=None, dim: int = 1024, buckets: int = BUCKETS) -> None:
     """Chunk, embed and upsert one batch of ``doc_id, section_id, text, org_id, file_id``; refresh BM25 statistics.
 
     Tables are split by tenant, modality and a bucket of the document, and only the touched parts are rewritten, so
     one busy tenant is not rewritten whole.  Upserts go by chunk id: a batch that runs again changes nothing.
     """
     spark = documents.sparkSession
-    fresh = chunking.chunk_text(documents).withColumn("bucket", _bucket())
+    fresh = chunking.chunk_text(documents).withColumn("bucket", _bucket(buckets))
     staged = shared_folder(spark, "ingest")
     fresh.write.parquet(staged)
     fresh = spark.read.parquet(staged)
@@ -76,10 +76,10 @@ def ingest_batch(documents: DataFrame, path: str, load=None, dim: int = 1024) ->
 
 
 def stream_ingest(documents: DataFrame, path: str, checkpoint: str, load=None, dim: int = 1024,
-                  **trigger) -> StreamingQuery:
+                  buckets: int = BUCKETS, **trigger) -> StreamingQuery:
     """Run :func:`ingest_batch` on every micro-batch of a stream of documents."""
     return (documents.writeStream.option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True}))
-            .foreachBatch(lambda batch, _: ingest_batch(batch, path, load, dim)).start())
+            .foreachBatch(lambda batch, _: ingest_batch(batch, path, load, dim, buckets)).start())
 
 
 # ---- status --------------------------------------------------------------------------------------------------------
@@ -116,55 +116,64 @@ def _chain(times: np.ndarray, start: int, ttl: int) -> Iterator[int]:
 
 
 def dedup_queries_ttl_batch(requests: DataFrame, keys: list[str], ts: str = "ts", ttl_ms: int = ANSWER_TTL_MS,
-                            segments: int = 48) -> DataFrame:
+                            segments: int = 8) -> DataFrame:
     """Requests that need an answer: ``keys, answered_ms``.  An answer serves its key for ``ttl_ms`` from when it was
     stored, and repeated requests do not prolong it.
 
     Which request is answered depends on the one before, all through a key's history.  To keep a busy key out of a
-    single task its distinct milliseconds are cut into segments of ``segments`` lives: every segment maps "answer
-    still valid until x" to its last answer, for the few x an earlier segment can leave; these maps, not the requests,
-    are followed per key; then each segment marks its own answers.
+    single task its distinct milliseconds are cut into segments of ``segments`` lives, one row each: every segment
+    maps "answer still valid until x" to its last answer, for the few x an earlier segment can leave; per key these
+    maps, not the requests, are followed in order, one batch in memory at a time; then each segment marks its own
+    answers.  A row holds at most one segment's milliseconds.
     """
     length = ttl_ms * segments
-    times = (requests.select(*keys, F.unix_millis(F.col(ts).cast("timestamp")).alias("ms")).distinct()
-             .withColumn("seg", F.floor(F.col("ms") / length).cast("long")))
+    ms = F.unix_millis(F.col(ts).cast("timestamp")).alias("ms")
+    times = (requests.select(*keys, ms).distinct()
+             .groupBy(*keys, F.floor(F.col("ms") / length).cast("long").alias("seg"))
+             .agg(F.sort_array(F.collect_list("ms")).alias("times")))
     key_fields = [times.schema[k] for k in keys]
-    schema = lambda *names: T.StructType(key_fields + [T.StructField(n, T.LongType()) for n in names])
+    longs = T.ArrayType(T.LongType())
+    schema = lambda *fields: T.StructType(key_fields + [T.StructField(n, t) for n, t in fields])
 
-    def exits(key, part):
-        t = np.sort(part["ms"].to_numpy())
+    def exits(t, seg):
         following = np.searchsorted(t, t + ttl_ms, side="right")
         last = np.arange(len(t))
         for i in range(len(t) - 1, -1, -1):
             if following[i] < len(t):
                 last[i] = last[following[i]]
-        end = min(int(np.searchsorted(t, key[-1] * length + ttl_ms, side="right")) + 1, len(t))
-        exit_ms, entry_ms = t[last[:end]], t[:end]
-        run_end = np.append(exit_ms[1:] != exit_ms[:-1], True)
-        frame = pd.DataFrame({"seg": key[-1], "entry_ms": entry_ms[run_end], "exit_ms": exit_ms[run_end]})
-        return _with_key(frame, keys, key)
-
-    def follow(key, part):
-        part = part.sort_values(["seg", "entry_ms"])
-        seg, entry, exit_ = (part[c].to_numpy() for c in ("seg", "entry_ms", "exit_ms"))
-        valid, rows = np.iinfo(np.int64).min, []
-        starts = np.flatnonzero(np.append(True, seg[1:] != seg[:-1]))
-        for lo, hi in zip(starts, np.append(starts[1:], len(seg))):
-            rows.append((seg[lo], valid))
-            at = lo + int(np.searchsorted(entry[lo:hi], valid, side="right"))
-            if at < hi:
-                valid = exit_[at] + ttl_ms
-        return _with_key(pd.DataFrame(rows, columns=["seg", "valid_ms"]), keys, key)
-
-    def mark(key, left, right):
-        t = np.sort(left["ms"].to_numpy())
-        first = int(np.searchsorted(t, right["valid_ms"].iloc[0], side="right"))
-        return _with_key(pd.DataFrame({"answered_ms": t[list(_chain(t, first, ttl_ms))]}), keys, key)
-
-    maps = times.groupBy(*keys, "seg").applyInPandas(exits, schema("seg", "entry_ms", "exit_ms"))
-    entered = maps.groupBy(*keys).applyInPandas(follow, schema("seg", "valid_ms"))
-    return (times.groupBy(*keys, "seg").cogroup(entered.groupBy(*keys, "seg"))
-            .applyInPandas(mark, schema("answered_ms")))
+        end = min(int(np.searchsorted(t, seg * length + ttl_ms, side="right")) + 1, len(t))
+        run_end = np.append(last[1:end] != last[:end - 1], True)
+        return t[:end][run_end], t[last[:end]][run_end]
+
+    def map_segments(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            pairs = [exits(t, seg) for t, seg in zip(part["times"], part["seg"])]
+            yield part[[*keys, "seg"]].assign(entries=[p[0] for p in pairs], exits=[p[1] for p in pairs])
+
+    def follow(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, valid = None, 0
+        for part in parts:
+            valids = []
+            for key, entries, ends in zip(zip(*[part[k] for k in keys]), part["entries"], part["exits"]):
+                if key != current:
+                    current, valid = key, np.iinfo(np.int64).min
+                valids.append(valid)
+                at = int(np.searchsorted(entries, valid, side="right"))
+                if at < len(entries):
+                    valid = int(ends[at]) + ttl_ms
+            yield part[[*keys, "seg"]].assign(valid_ms=np.array(valids, dtype=np.int64))
+
+    def mark(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            answered = [t[list(_chain(t, int(np.searchsorted(t, valid, side="right")), ttl_ms))]
+                        for t, valid in zip(part["times"], part["valid_ms"])]
+            yield part[keys].assign(answered=answered)
+
+    maps = times.mapInPandas(map_segments, schema(("seg", T.LongType()), ("entries", longs), ("exits", longs)))
+    entered = (maps.repartition(*keys).sortWithinPartitions(*keys, "seg")
+               .mapInPandas(follow, schema(("seg", T.LongType()), ("valid_ms", T.LongType()))))
+    marked = times.join(entered, [*keys, "seg"]).mapInPandas(mark, schema(("answered", longs)))
+    return marked.select(*keys, F.explode("answered").alias("answered_ms"))
 
 
 def _with_key(frame: pd.DataFrame, keys: list[str], key: tuple) -> pd.DataFrame:

@@ -367,7 +367,7 @@ def embedding_progress(spark, d):
 
 TTL_MS = 6 * 3600 * 1000
 TTL_SQL = f"""SELECT user_id, event_type, unnest(stored) AS answered_ms FROM (SELECT user_id, event_type, list_reduce(list_transform(
-  list_sort(list(epoch_ms(ts))), lambda t: [t]), lambda a, t: CASE WHEN t[1] - a[len(a)] > {TTL_MS} THEN list_append(a, t[1]) ELSE a END)
+  list_sort(list(epoch_us(ts) // 1000)), lambda t: [t]), lambda a, t: CASE WHEN t[1] - a[len(a)] > {TTL_MS} THEN list_append(a, t[1]) ELSE a END)
   AS stored FROM events GROUP BY user_id, event_type)"""
 
 
@@ -443,7 +443,7 @@ def _ingested(spark, d):
     doc = _str("doc_id")
     documents = _stream(spark, d, "documents").select(doc.alias("doc_id"), F.lit(0).alias("section_id"), "text",
                                                       F.col("lang").alias("org_id"), doc.alias("file_id"))
-    jobs.stream_ingest(documents, path, shared_folder(spark, "checkpoint"), dim=64).awaitTermination()
+    jobs.stream_ingest(documents, path, shared_folder(spark, "checkpoint"), dim=64, buckets=4).awaitTermination()
     return path
 
 
