@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # The white-space characters Unicode-aware regexes match, and the line ends of text splitting.
-WHITESPACE = "[\\t\\n\\x0b\\f\\r\\x1c-\\x1f \\x85\\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]"
+WHITESPACE_CHARS = ("\t\n\x0b\f\r\x1c\x1d\x1e\x1f \x85\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008"
+                    "\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
+WHITESPACE = f"[{WHITESPACE_CHARS}]"
 LINE_END = "\\r\\n|[\\n\\r\\x0b\\f\\x1c-\\x1e\\x85\\u2028\\u2029]"
 TOKEN = "[a-z0-9]+(?:\\.[a-z0-9]+)*"
 SENTENCE_GAP = "(?<=[.!?])\\s+"
@@ -24,12 +26,14 @@ def let(value: Column, body) -> Column:
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{WHITESPACE}+|{WHITESPACE}+$", "")
+    return F.btrim(c, F.lit(WHITESPACE_CHARS))
 
 
 def clean_text(c: Column) -> Column:
-    """Runs of white space become one space; ends are trimmed."""
-    return F.trim(F.regexp_replace(c, f"{WHITESPACE}+", " "))
+    """Runs of white space become one space; ends are trimmed.  The pattern passes over single spaces, which are
+    most runs and need no replacement."""
+    other = WHITESPACE.replace(" ", "")
+    return F.trim(F.regexp_replace(c, f"{other}{WHITESPACE}*| {WHITESPACE}+", " "))
 
 
 def tokenize(c: Column) -> Column:

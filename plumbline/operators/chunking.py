@@ -5,14 +5,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import text as tx
-from plumbline.plans.segments import ordinal
+from plumbline.plans.segments import SEGMENT, ordinal
 from plumbline.schemas import (CHUNK_CHARS, CHUNK_COLUMNS, CHUNK_OVERLAP, MAX_IMAGES_PER_SECTION,
                                TABLE_ROWS_PER_GROUP)
 
-# Words marking decorative images, separator lines of Markdown tables, cut lengths of image texts.
+# Words marking decorative images, characters of Markdown separator lines, cut lengths of image texts.
 DECORATIVE = "logo|icon|banner|decorative|border|watermark|seal|badge"
 DECORATIVE_MAX_OCR = 10
-SEPARATOR_LINE = f"^(?:[|\\-]|{tx.WHITESPACE})+$"
+SEPARATOR_CHARS = "|-" + tx.WHITESPACE_CHARS
 OCR_CHARS, CONTEXT_CHARS, NEARBY_CHARS, MIN_IMAGE_SIDE = 500, 300, 400, 32
 
 
@@ -53,8 +53,13 @@ def chunk_text(df: DataFrame, max_chars: int = CHUNK_CHARS, overlap: int = CHUNK
         _string_map(chunk_idx=F.col("pos")).alias("metadata"), "org_id", "file_id")
 
 
+def _is_separator(line: Column) -> Column:
+    """Nothing is left of the line once these characters are trimmed; an ordinary line stops the trim at once."""
+    return F.btrim(line, F.lit(SEPARATOR_CHARS)) == ""
+
+
 def _cells(line: Column) -> Column:
-    return F.filter(F.transform(F.split(line, "[|]"), tx.strip), lambda cell: cell != "")
+    return F.filter(F.transform(F.split(line, "\\|"), tx.strip), lambda cell: cell != "")
 
 
 def _described_row(headers: Column, line: Column) -> Column:
@@ -77,7 +82,7 @@ def chunk_table(df: DataFrame, rows_per_group: int = TABLE_ROWS_PER_GROUP) -> Da
     def grouped(lines):
         header_line = F.element_at(lines, 1)
         data = F.filter(F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0))),
-                        lambda line: ~line.rlike(SEPARATOR_LINE))
+                        lambda line: ~_is_separator(line))
 
         def contents(bound):
             n_groups = F.ceil(F.greatest(F.size(bound["data"]), F.lit(1)) / F.lit(rows_per_group)).cast("int")
@@ -107,7 +112,7 @@ def chunk_table(df: DataFrame, rows_per_group: int = TABLE_ROWS_PER_GROUP) -> Da
 
 def markdown_line(columns: list[Column]) -> Column:
     """``| a | b |``; null becomes an empty cell and line ends become spaces."""
-    cells = [F.regexp_replace(F.coalesce(c.cast("string"), F.lit("")), "\n", " ") for c in columns]
+    cells = [F.translate(F.coalesce(c.cast("string"), F.lit("")), "\n", " ") for c in columns]
     return F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |"))
 
 
@@ -145,10 +150,13 @@ def chunk_table_rows(df: DataFrame, row_no: str, columns: list[str], names: list
     header_line = F.lit(header)
     lines = df.select(*keys, F.col(row_no).alias("_row"),
                       tx.strip(markdown_line([F.col(c) for c in columns])).alias("_line"))
-    kept = ordinal(lines.where(~F.col("_line").rlike(SEPARATOR_LINE)), keys, ["_row", "_line"], width, "_pos")
-    groups = (kept.groupBy(*keys, F.floor(F.col("_pos") / rows_per_group).cast("int").alias("_group"))
-              .agg(F.transform(F.array_sort(F.collect_list(F.struct("_pos", "_line"))),
-                               lambda s: s["_line"]).alias("_rows")))
+    kept = ordinal(lines.where(~_is_separator(F.col("_line"))), keys, ["_row", "_line"], width, "_pos",
+                   keep_segment=True)
+    group = F.floor(F.col("_pos") / rows_per_group).cast("int").alias("_group")
+    # First inside the segments, where the rows already are; only groups across a border meet in the second step.
+    parts = kept.groupBy(*keys, SEGMENT, group).agg(F.collect_list(F.struct("_pos", "_line")).alias("_part"))
+    groups = parts.groupBy(*keys, "_group").agg(F.transform(
+        F.array_sort(F.flatten(F.collect_list("_part"))), lambda s: s["_line"]).alias("_rows"))
     headers = _cells(header_line)
     return groups.select(
         tx.table_chunk_id(F.col("doc_id"), F.col("section_id"), F.col("table_id"), F.col("_group")).alias("chunk_id"),

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from plumbline.functions.intent import apply_expansion, needs_expansion
 from plumbline.functions.prompts import build_guard_prompt, parse_guard
-from plumbline.functions.text import TOKEN, tokenize
+from plumbline.functions.text import TOKEN, let, tokenize
 from plumbline.operators.fusion import rank_within
 from plumbline.schemas import EMBED_DIM
 
@@ -76,11 +76,16 @@ def embed_job(df: DataFrame, load: Callable[[], TextToVectors] | None = None, di
     return df.mapInPandas(run, _extended(df, T.StructField("embedding", T.ArrayType(T.FloatType()))))
 
 
+def _shuffle_partitions(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def token_overlap(query: Column, content: Column) -> Column:
     """Default relevance: share of the query's distinct tokens that occur in the content."""
-    wanted = F.array_distinct(tokenize(query))
-    shared = F.size(F.array_intersect(wanted, tokenize(content)))
-    return F.when(F.size(wanted) > 0, F.round(shared / F.size(wanted), 6)).otherwise(F.lit(0.0))
+    def share(wanted):
+        shared = F.size(F.array_intersect(wanted, tokenize(content)))
+        return F.when(F.size(wanted) > 0, F.round(shared / F.size(wanted), 6)).otherwise(F.lit(0.0))
+    return let(F.array_distinct(tokenize(query)), share)
 
 
 def rerank_job(candidates: DataFrame, load: Callable[[], Callable[[list[str], list[str]], np.ndarray]] | None = None,
@@ -105,6 +110,9 @@ def rerank(candidates: DataFrame, top_n: int, load=None, provider: str = "model"
     """Best ``top_n`` of each query by rerank score, earlier rank first among equals, as ``rnk``; the rank before is
     kept as ``fused_rnk``.  ``provider="none"`` keeps the order given."""
     keys = keys or ["qid"]
+    # Scoring is the costly part: spread it by query now, which is also what ranking needs, instead of leaving a few
+    # small-looking partitions to it.  The explicit count keeps adaptive execution from merging them.
+    candidates = candidates.repartition(_shuffle_partitions(candidates), *keys)
     scored = (candidates.withColumn("rerank_score", F.lit(None).cast("double")) if provider == "none"
               else rerank_job(candidates, load)).withColumnRenamed("rnk", "fused_rnk")
     order = [F.col("fused_rnk")] if provider == "none" else [F.col("rerank_score").desc(), F.col("fused_rnk")]

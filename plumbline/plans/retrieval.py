@@ -13,6 +13,7 @@ from plumbline.operators.dense import dense_topk
 from plumbline.operators.evaluation import first_hits, recall_at_k
 from plumbline.plans.blockwise import MAX_BROADCAST_QUERIES
 from plumbline.schemas import BASE_K, MODALITIES, RERANK_TOP_N, RRF_K
+from plumbline.session import spread
 
 MAX_K = {"text": 30, "table": 45, "image": 20}
 
@@ -52,7 +53,7 @@ def write_index(chunks: DataFrame, path: str, load=None, dim: int = 1024) -> Ret
         return read_table(spark, path, name)
 
     stored = store(chunks, "chunks")
-    fresh = build_index(stored, load, dim)
+    fresh = build_index(spread(stored), load, dim)
     vectors, forward = store(fresh.vectors, "vectors"), store(fresh.forward, "forward")
     stats = store(sparse.corpus_stats(forward), "corpus_stats")
     return RetrievalIndex(stored, vectors, forward, stats, store(sparse.term_stats(forward, stats), "term_stats"))

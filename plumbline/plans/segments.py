@@ -22,7 +22,8 @@ def with_segment(df: DataFrame, order: str, width: float) -> DataFrame:
     return df.withColumn(SEGMENT, F.floor(number / F.lit(width)).cast("long"))
 
 
-def ordinal(df: DataFrame, keys: list[str], order: list[str], width: float, name: str = "ordinal") -> DataFrame:
+def ordinal(df: DataFrame, keys: list[str], order: list[str], width: float, name: str = "ordinal",
+            keep_segment: bool = False) -> DataFrame:
     """Zero-based position of each row within ``keys`` by ``order``; ``order[0]`` is numeric or a timestamp."""
     cut = with_segment(df, order[0], width)
     counts = cut.groupBy(*keys, SEGMENT).agg(F.count(F.lit(1)).alias("_n"))
@@ -30,7 +31,8 @@ def ordinal(df: DataFrame, keys: list[str], order: list[str], width: float, name
     offsets = counts.select(*keys, SEGMENT, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
     local = F.row_number().over(Window.partitionBy(*keys, SEGMENT).orderBy(*order)) - 1
     return (cut.withColumn("_local", local).join(offsets, keys + [SEGMENT])
-            .withColumn(name, F.col("_offset") + F.col("_local")).drop(SEGMENT, "_local", "_offset"))
+            .withColumn(name, F.col("_offset") + F.col("_local"))
+            .drop("_local", "_offset", *([] if keep_segment else [SEGMENT])))
 
 
 def previous(df: DataFrame, keys: list[str], order: list[str], value: Column, width: float,

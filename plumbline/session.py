@@ -16,6 +16,7 @@ def build_session(cores: int | str = "*", app: str = "plumbline") -> SparkSessio
             .config("spark.sql.adaptive.enabled", "true")
             .config("spark.sql.session.timeZone", "UTC")
             .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+            .config("spark.sql.adaptive.advisoryPartitionSizeInBytes", "4m")  # test tables are small
             .config("spark.driver.memory", "12g")
             .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
             .getOrCreate())

@@ -126,7 +126,7 @@ ORDER_MARKDOWN = f"""tabled AS (SELECT l_orderkey::VARCHAR AS doc_id,
 
 
 def _order_rows(spark, d):
-    return tables.load(spark, d, "lineitem").select(
+    return spread(tables.load(spark, d, "lineitem")).select(
         F.col("l_orderkey").cast("string").alias("doc_id"), F.col("l_linenumber").alias("row_no"),
         *[F.expr(e).alias(c) for c, e in ORDER_COLUMNS.items()])
 

@@ -393,7 +393,7 @@ def evaluation_subset(spark, d):
 
 @register("J5", sql.with_(sql.QRELS) + "SELECT qid, doc_id, section_id FROM qrels")
 def judged_pairs(spark, d):
-    return tables.qrels(spark, d)
+    return tables.find_qrels(spark, d)
 
 
 def _ablation_sql():

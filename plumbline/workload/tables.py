@@ -12,6 +12,7 @@ DIM = 128
 ORG = "default"
 ANCHOR_WORDS = 4
 _indexes: dict[tuple[str, str], RetrievalIndex] = {}
+_qrels: dict[tuple[str, str], DataFrame] = {}
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -88,6 +89,16 @@ def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def qrels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored :func:`find_qrels`, found once per session and input folder."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _qrels:
+        path = shared_folder(spark, "qrels")
+        find_qrels(spark, sf_dir).write.parquet(path)
+        _qrels[key] = spark.read.parquet(path)
+    return _qrels[key]
+
+
+def find_qrels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``qid, doc_id, section_id``: documents that contain the query text verbatim.
 
     Found by an anchor instead of comparing all pairs: words two to five of the passage are whole words wherever the
