@@ -5,6 +5,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbline.functions.text import tokenize
 from plumbline.operators.dense import with_defaults
@@ -12,12 +13,13 @@ from plumbline.plans.blockwise import SparseKernel, blockwise_topk
 from plumbline.schemas import BM25_B, BM25_EPSILON, BM25_K1
 
 GROUP = ["org_id", "modality"]
-FORWARD = ("org_id string, modality string, chunk_id string, file_id string, dl int, "
-           "terms array<string>, tfs array<int>")
+COUNTS = T.StructType([T.StructField("dl", T.IntegerType()), T.StructField("terms", T.ArrayType(T.StringType())),
+                       T.StructField("tfs", T.ArrayType(T.IntegerType()))])
 
 
 def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
+        kept = [name for name in batch.schema.names if name != "tokens"]
         tokens = batch.column("tokens")
         flat = tokens.flatten().dictionary_encode()
         lengths = tokens.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
@@ -27,20 +29,20 @@ def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         offsets = pa.array(np.searchsorted(cells // n_terms, np.arange(len(tokens) + 1)).astype(np.int32))
         terms = flat.dictionary.cast(pa.string()).take(pa.array(cells % n_terms))
         yield pa.RecordBatch.from_arrays(
-            [batch.column(c) for c in ("org_id", "modality", "chunk_id", "file_id")]
-            + [pa.array(lengths.astype(np.int32)), pa.ListArray.from_arrays(offsets, terms),
+            [batch.column(c) for c in kept] + [pa.array(lengths.astype(np.int32)), pa.ListArray.from_arrays(offsets, terms),
                pa.ListArray.from_arrays(offsets, pa.array(counts.astype(np.int32)))],
-            names=["org_id", "modality", "chunk_id", "file_id", "dl", "terms", "tfs"])
+            names=[*kept, "dl", "terms", "tfs"])
 
 
-def forward_index(chunks: DataFrame) -> DataFrame:
-    """One row per chunk: distinct terms, their counts, and the token count ``dl``.
+def forward_index(chunks: DataFrame, keep: tuple = ()) -> DataFrame:
+    """One row per chunk: distinct terms, their counts, and the token count ``dl``; ``keep`` names more columns.
 
     Tokens are cut in the JVM; counting stays inside the row's task (an exploding ``groupBy`` would shuffle the whole
     index to count within rows that are already together).
     """
-    return chunks.select("org_id", "modality", "chunk_id", "file_id",
-                         tokenize(F.col("content")).alias("tokens")).mapInArrow(_count_terms, FORWARD)
+    kept = chunks.select("org_id", "modality", "chunk_id", "file_id", *keep, "content")
+    schema = T.StructType(kept.drop("content").schema.fields + COUNTS.fields)
+    return kept.withColumn("tokens", tokenize(F.col("content"))).drop("content").mapInArrow(_count_terms, schema)
 
 
 def postings(forward: DataFrame) -> DataFrame:

@@ -167,14 +167,17 @@ def _keep_best(found: pa.Table) -> pa.Table:
     return found.filter(pa.array(position < found["k"].to_numpy()))
 
 
-def _split(table: pa.Table) -> dict[tuple[str, str], pa.Table]:
-    """Rows by (org, modality)."""
+def _split(table: pa.Table, wanted: set | None = None) -> dict[tuple[str, str], pa.Table]:
+    """Rows by (org, modality), only the ``wanted`` groups if given; one sort, however many groups there are."""
     joined = pc.binary_join_element_wise(table["org_id"].cast(pa.string()), table["modality"].cast(pa.string()),
                                          "\x00")
     encoded = joined.combine_chunks().dictionary_encode()
     codes = encoded.indices.to_numpy(zero_copy_only=False)
-    return {tuple(name.split("\x00", 1)): table.filter(pa.array(codes == i)) if len(encoded.dictionary) > 1 else table
-            for i, name in enumerate(encoded.dictionary.to_pylist())}
+    order = np.argsort(codes, kind="stable")
+    bounds = np.searchsorted(codes[order], np.arange(len(encoded.dictionary) + 1))
+    names = [tuple(name.split("\x00", 1)) for name in encoded.dictionary.to_pylist()]
+    return {name: table.take(pa.array(order[bounds[i]:bounds[i + 1]])) if len(names) > 1 else table
+            for i, name in enumerate(names) if wanted is None or name in wanted}
 
 
 def _scan(kernel, packed):
@@ -184,10 +187,9 @@ def _scan(kernel, packed):
         budget = 4 * int(queries["k"].to_numpy().sum()) + 100_000
         found, size = [], 0
         for batch in batches:
-            for key, rows in _split(pa.Table.from_batches([batch])).items():
-                if key in groups:
-                    found.append(groups[key].search(rows))
-                    size += found[-1].num_rows
+            for key, rows in _split(pa.Table.from_batches([batch]), groups.keys()).items():
+                found.append(groups[key].search(rows))
+                size += found[-1].num_rows
             if size > budget:
                 found = [_keep_best(pa.concat_tables(found))]
                 size = found[0].num_rows
@@ -206,6 +208,15 @@ def _meet(kernel):
     return run
 
 
+def _prune(corpus: DataFrame, packed: pa.Table, limit: int = 1_000) -> DataFrame:
+    """Filter the scan to the tenants and modalities asked for, which prunes the partitions of a stored table."""
+    for column in ("org_id", "modality"):
+        values = packed[column].unique().to_pylist()
+        if len(values) <= limit:
+            corpus = corpus.where(F.col(column).isin(values))
+    return corpus
+
+
 def small_table(df: DataFrame, max_rows: int = MAX_BROADCAST_QUERIES,
                 max_bytes: int = MAX_BROADCAST_BYTES) -> pa.Table | None:
     """The rows of ``df`` if they are within both bounds, else None.  Never fetches more than ``max_rows + 1``."""
@@ -248,7 +259,7 @@ def blockwise_topk(corpus: DataFrame, queries: DataFrame, kernel, max_k: int, gr
         with pa.ipc.new_stream(sink, packed.schema) as writer:
             writer.write_table(packed)
         shared = corpus.sparkSession.sparkContext.broadcast(sink.getvalue().to_pybytes())
-        found = corpus.mapInArrow(_scan(kernel, shared), RESULT)
+        found = _prune(corpus, packed).mapInArrow(_scan(kernel, shared), RESULT)
     else:
         found = _block_join(corpus, queries, kernel, ["org_id", "modality", *(group or [])], block_rows,
                             query_block_rows)

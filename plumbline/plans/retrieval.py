@@ -11,10 +11,11 @@ from plumbline.functions.prompts import build_prompt, source_card
 from plumbline.operators import fusion, models, sparse
 from plumbline.operators.dense import dense_topk
 from plumbline.operators.evaluation import first_hits, recall_at_k
-from plumbline.plans.blockwise import MAX_BROADCAST_QUERIES
 from plumbline.schemas import BASE_K, MODALITIES, RERANK_TOP_N, RRF_K
 from plumbline.session import spread
 
+# Ids of ranked lists are broadcast to the chunk table up to this many rows (about 60 bytes each).
+MAX_BROADCAST_IDS = 500_000
 MAX_K = {"text": 30, "table": 45, "image": 20}
 
 
@@ -101,7 +102,7 @@ def hybrid_modality(dense: DataFrame, sparse_lists: DataFrame, rrf_k: int = RRF_
     return fusion.rrf_fuse(fusion.ranked_lists(dense, sparse_lists, keys=keys), keys, rrf_k)
 
 
-def _bounded(queries: DataFrame, limit: int = MAX_BROADCAST_QUERIES) -> bool:
+def _bounded(queries: DataFrame, limit: int) -> bool:
     return queries.select("qid").limit(limit + 1).count() <= limit
 
 
@@ -120,7 +121,7 @@ def retrieve(queries: DataFrame, index: RetrievalIndex, passages: DataFrame | No
     fused = fusion.cross_modal(per_modality, queries, rrf_k, cut, fusion_mode).select("qid", "chunk_id", "rnk")
     # At most rerank_top_n ids per query (all modality lists for "concat"), so the query count bounds the ids.
     per_query = cut or 2 * sum(MAX_K.values())
-    small = _bounded(queries, 2_000_000 // per_query)
+    small = _bounded(queries, MAX_BROADCAST_IDS // per_query)
     found = fusion.attach_chunks(fused, index.chunks, broadcast_ranked=small)
     return models.rerank(found.join(queries.select("qid", "query"), "qid"), top_k, rerank_load, rerank_provider)
 
@@ -153,7 +154,7 @@ def ablation(queries: DataFrame, index: RetrievalIndex, passages: DataFrame | No
     lists = listed(dense, 0, ("dense", "hybrid")).unionByName(listed(sparse_lists, 1, ("sparse", "hybrid")))
     per_modality = fusion.rrf_fuse(lists, [*keys, "modality"], rrf_k)
     fused = fusion.cross_modal(per_modality, queries, rrf_k, RERANK_TOP_N, keys=keys).select(*keys, "chunk_id", "rnk")
-    small = _bounded(queries, 2_000_000 // (6 * RERANK_TOP_N))
+    small = _bounded(queries, MAX_BROADCAST_IDS // (6 * RERANK_TOP_N))
     found = fusion.attach_chunks(fused, index.chunks, broadcast_ranked=small)
     return models.rerank(found.join(queries.select("qid", "query"), "qid"), top_k, rerank_load, rerank_provider,
                          keys=keys)

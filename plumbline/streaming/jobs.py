@@ -12,7 +12,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from plumbline.operators import chunking, models, sparse
 from plumbline.operators.chat import touch_sessions
 from plumbline.schemas import CHUNK, CHUNK_COLUMNS
-from plumbline.session import shared_folder
+from plumbline.session import remove_folder, shared_folder
 from plumbline.sources import store
 
 # Progress of ingestion stages, life of a cached answer, request limit.
@@ -66,13 +66,14 @@ def ingest_batch(documents: DataFrame, path: str, load=None, dim: int = 1024, bu
     vectors = models.embed_job(fresh.select("chunk_id", "file_id", "content", *PLACE), load, dim)
     merge("vectors", INGEST_VECTOR, vectors, store.store_embeddings)
     changed = spark.read.schema(INGEST_CHUNK).parquet(f"{path}/chunks").join(touched, PLACE, "left_semi")
-    forward = sparse.forward_index(changed).join(changed.select("chunk_id", "bucket"), "chunk_id")
+    forward = sparse.forward_index(changed, keep=("bucket",))
     store.replace_partitions(forward, f"{path}/forward", PLACE)
     groups = touched.select(*GROUP).distinct()
     whole = spark.read.schema(forward.schema).parquet(f"{path}/forward").join(groups, GROUP, "left_semi")
     stats = sparse.corpus_stats(whole)
     store.replace_partitions(stats, f"{path}/corpus_stats", GROUP)
     store.replace_partitions(sparse.term_stats(whole, stats), f"{path}/term_stats", GROUP)
+    remove_folder(spark, staged)
 
 
 def stream_ingest(documents: DataFrame, path: str, checkpoint: str, load=None, dim: int = 1024,

@@ -168,8 +168,10 @@ def cleared_table(spark, d):
     path, customers = shared_folder(spark, "cleared"), tables.load(spark, d, "customer")
     customers.write.parquet(path)
     store.clear_table(spark, path, customers.schema)
-    after = spark.read.schema(customers.schema).parquet(path).agg(F.count(F.lit(1)).alias("n_after"))
-    return customers.agg(F.count(F.lit(1)).alias("n_before")).join(F.broadcast(after))
+    after = spark.read.schema(customers.schema).parquet(path).select(F.lit("after").alias("moment"))
+    both = customers.select(F.lit("before").alias("moment")).unionByName(after)
+    return both.agg(F.count_if(F.col("moment") == "before").alias("n_before"),
+                    F.count_if(F.col("moment") == "after").alias("n_after"))
 
 
 @register("J7 Q4", sql.with_(LANG_TEXT, FILES, "doomed AS (SELECT doc_id::VARCHAR AS file_id FROM labels WHERE toxic = 1 OR quality = 0)")
@@ -255,7 +257,7 @@ def session_titles(spark, d):
 
 
 @register("D1 F22", sql.with_(SESSIONS) + """SELECT session_id, org_id, t AS title, updated FROM (SELECT s.session_id, s.org_id,
-  CASE WHEN length(t) > 30 THEN substr(t, 1, 30) || '...' ELSE t END AS t, CASE WHEN t IS NULL THEN NULL ELSE 1735689600 END AS updated
+  CASE WHEN length(t) > 30 THEN substr(t, 1, 30) || '...' ELSE t END AS t, CASE WHEN t IS NULL THEN NULL ELSE 1735689600::BIGINT END AS updated
   FROM sessions s LEFT JOIN (SELECT conv_id::VARCHAR AS session_id, min_by(text, turn) AS t FROM conversations WHERE role = 'user'
   GROUP BY conv_id) USING (session_id))""")
 def session_upsert(spark, d):

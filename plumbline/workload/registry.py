@@ -15,10 +15,14 @@ class Entry:
 ENTRIES: dict[str, Entry] = {}
 
 
-def register(covers: str, sql: str | None = None, name: str | None = None):
-    """Register a query under its function name (or ``name``) with the inventory items it covers."""
+def register(covers: str, sql: str | None = None, ints: str = ""):
+    """Register a query under its function name with the inventory items it covers.  ``ints`` are columns the SQL twin
+    counts as BIGINT and Spark as INT."""
+    if sql and ints:
+        sql = "SELECT * REPLACE (" + ", ".join(f"{c}::INT AS {c}" for c in ints.split()) + f") FROM ({sql})"
+
     def add(run):
-        key = name or run.__name__
+        key = run.__name__
         if key in ENTRIES:
             raise ValueError(f"query {key} is registered twice")
         ENTRIES[key] = Entry(run, sql, tuple(covers.split()))

@@ -77,7 +77,7 @@ def index_build(spark, d):
   PARTITION BY qid, modality ORDER BY similarity DESC, chunk_id) AS rnk FROM (
   SELECT a.vec_id::VARCHAR AS qid, b.vec_id::VARCHAR AS chunk_id, ['text', 'table', 'image'][b.vec_id % 3 + 1] AS modality,
   round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS similarity
-  FROM embeddings a, embeddings b)) WHERE rnk <= 10""")
+  FROM embeddings a, embeddings b)) WHERE rnk <= 10""", ints="rnk")
 def vector_topk(spark, d):
     """Every vector searches its ten nearest per modality."""
     corpus, asked = _vector_tables(spark, d)
@@ -88,7 +88,7 @@ def vector_topk(spark, d):
   PARTITION BY qid, modality ORDER BY similarity DESC, chunk_id) AS rnk FROM (
   SELECT a.vec_id::VARCHAR AS qid, b.vec_id::VARCHAR AS chunk_id, ['text', 'table', 'image'][b.vec_id % 3 + 1] AS modality,
   round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS similarity
-  FROM embeddings a, embeddings b)) WHERE rnk <= 10""")
+  FROM embeddings a, embeddings b)) WHERE rnk <= 10""", ints="rnk")
 def vector_topk_by_blocks(spark, d):
     """The same search by the block join used when the queries are too many to broadcast."""
     corpus, asked = _vector_tables(spark, d)
@@ -111,7 +111,7 @@ def _vector_tables(spark, d):
   PARTITION BY qid, modality ORDER BY similarity DESC, chunk_id) AS rnk FROM (
   SELECT a.vec_id::VARCHAR AS qid, b.vec_id::VARCHAR AS chunk_id, ['text', 'table', 'image'][b.vec_id % 3 + 1] AS modality,
   round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS similarity
-  FROM embeddings a, embeddings b WHERE a.label = b.label OR a.label < 3)) WHERE rnk <= 5""")
+  FROM embeddings a, embeddings b WHERE a.label = b.label OR a.label < 3)) WHERE rnk <= 5""", ints="rnk")
 def vector_topk_in_files(spark, d):
     """Search limited to each query's own file (its label) before counting to k; some queries have no file list."""
     corpus, asked = _vector_tables(spark, d)
@@ -155,7 +155,7 @@ SEARCHED = sql.with_(sql.CORPUS, sql.QUERIES, sql.bm25())
 
 @register("T2 A2 J3 T3", SEARCHED + f"""SELECT qid, modality, chunk_id, score, rnk FROM (SELECT s.*, query, row_number() OVER (
   PARTITION BY qid, modality ORDER BY score DESC, chunk_id) AS rnk FROM scored s JOIN q USING (qid) WHERE score <> 0)
-  WHERE rnk <= {sql.ADAPTIVE_K}""")
+  WHERE rnk <= {sql.ADAPTIVE_K}""", ints="rnk")
 def bm25_topk(spark, d):
     idx = tables.index(spark, d)
     return sparse.sparse_topk(_asked(spark, d), idx.forward, idx.term_stats, idx.corpus_stats, max_k=45).select(
@@ -165,7 +165,7 @@ def bm25_topk(spark, d):
 @register("T2", SEARCHED + """SELECT qid, modality, chunk_id, score, rnk FROM (SELECT *, row_number() OVER (
   PARTITION BY qid, modality ORDER BY score DESC, chunk_id) AS rnk FROM (SELECT q.qid, c.modality, c.chunk_id,
   coalesce(s.score, 0.0) AS score FROM q CROSS JOIN chunks c LEFT JOIN scored s USING (qid, modality, chunk_id)))
-  WHERE rnk <= 500""")
+  WHERE rnk <= 500""", ints="rnk")
 def bm25_topk_padded(spark, d):
     """Deep lists: chunks scoring zero fill them up in id order."""
     idx = tables.index(spark, d)
@@ -176,7 +176,7 @@ def bm25_topk_padded(spark, d):
 
 @register("T2 P1", sql.with_(sql.CORPUS, sql.QUERIES, sql.bm25(), sql.QRELS) + """SELECT qid, chunk_id, score, rnk FROM (SELECT s.*, row_number() OVER (
   PARTITION BY s.qid ORDER BY score DESC, s.chunk_id) AS rnk FROM scored s JOIN chunks c USING (chunk_id)
-  JOIN qrels g ON g.qid = s.qid AND g.doc_id = c.file_id WHERE s.modality = 'text' AND score <> 0) WHERE rnk <= 5""")
+  JOIN qrels g ON g.qid = s.qid AND g.doc_id = c.file_id WHERE s.modality = 'text' AND score <> 0) WHERE rnk <= 5""", ints="rnk")
 def bm25_topk_in_files(spark, d):
     """Search limited to the files known to hold the passage."""
     idx = tables.index(spark, d)
@@ -209,27 +209,27 @@ def _lists(spark, d):
     return retrieval.candidate_lists(queries, prepared, tables.index(spark, d))
 
 
-@register("Q1 A3 W1 U1 M1", FUSED + "SELECT qid, modality, chunk_id, rrf_score, rnk FROM hybrid")
+@register("Q1 A3 W1 U1 M1", FUSED + "SELECT qid, modality, chunk_id, rrf_score, rnk FROM hybrid", ints="rnk")
 def hybrid_by_modality(spark, d):
     return retrieval.hybrid_modality(*_lists(spark, d)).select("qid", "modality", "chunk_id", "rrf_score", "rnk")
 
 
 @register("U1", FUSED + """SELECT qid, modality, chunk_id, row_number() OVER (PARTITION BY qid, modality
-  ORDER BY first_seen) AS rnk FROM hybrid""")
+  ORDER BY first_seen) AS rnk FROM hybrid""", ints="rnk")
 def dense_sparse_union(spark, d):
     """De-duplicated union of the two lists in first-seen order."""
     return fusion.ordered_union(*_lists(spark, d), keys=["qid", "modality"]).select("qid", "modality", "chunk_id", "rnk")
 
 
 @register("A3 U2 T4 Q2", FUSED.rstrip() + ",\n" + sql.CROSSED
-          + "SELECT qid, chunk_id, fused AS rrf_score, fused_rnk AS rnk FROM crossed")
+          + "SELECT qid, chunk_id, fused AS rrf_score, fused_rnk AS rnk FROM crossed", ints="rnk")
 def cross_modal_fusion(spark, d):
     fused = fusion.cross_modal(retrieval.hybrid_modality(*_lists(spark, d)), tables.queries(spark, d), top=50)
     return fused.select("qid", "chunk_id", "rrf_score", "rnk")
 
 
 @register("U3", FUSED + f"""SELECT qid, modality, chunk_id, row_number() OVER (PARTITION BY qid
-  ORDER BY {sql.LIST_NO}, rnk) AS rnk FROM hybrid""")
+  ORDER BY {sql.LIST_NO}, rnk) AS rnk FROM hybrid""", ints="rnk")
 def concatenated_lists(spark, d):
     return fusion.cross_modal(retrieval.hybrid_modality(*_lists(spark, d)), tables.queries(spark, d), fusion="concat"
                               ).select("qid", "modality", "chunk_id", "rnk")
@@ -239,21 +239,21 @@ RETRIEVED = sql.with_(*sql.RETRIEVE, sql.reranked(TOP))
 
 
 @register("Q2 T3 T4 T5 T8 J4 M1 M2", RETRIEVED
-          + "SELECT qid, chunk_id, doc_id, section_id, modality, fused_rnk, rerank_score, rnk FROM retrieved")
+          + "SELECT qid, chunk_id, doc_id, section_id, modality, fused_rnk, rerank_score, rnk FROM retrieved", ints="rnk fused_rnk")
 def retrieve(spark, d):
     """The whole retrieval of every query."""
     return _retrieved(spark, d).select("qid", "chunk_id", "doc_id", "section_id", "modality", "fused_rnk",
                                        "rerank_score", "rnk")
 
 
-@register("T5", sql.with_(*sql.RETRIEVE) + "SELECT qid, chunk_id, fused_rnk AS rnk FROM crossed WHERE fused_rnk <= 8")
+@register("T5", sql.with_(*sql.RETRIEVE) + "SELECT qid, chunk_id, fused_rnk AS rnk FROM crossed WHERE fused_rnk <= 8", ints="rnk")
 def retrieve_without_rerank(spark, d):
     return _retrieved(spark, d, 8, rerank_provider="none").select("qid", "chunk_id", "rnk")
 
 
 @register("U3 Q2", sql.with_(*sql.RETRIEVE[:-1], f"""listed AS (SELECT qid, chunk_id, row_number() OVER (PARTITION BY qid
   ORDER BY {sql.LIST_NO}, rnk) AS fused_rnk FROM hybrid)""", sql.reranked(8, "listed"))
-          + "SELECT qid, chunk_id, rnk, rerank_score FROM retrieved")
+          + "SELECT qid, chunk_id, rnk, rerank_score FROM retrieved", ints="rnk")
 def retrieve_concatenated(spark, d):
     """Lists joined end to end and reranked without cross-modal fusion."""
     return _retrieved(spark, d, 8, fusion_mode="concat").select("qid", "chunk_id", "rnk", "rerank_score")
@@ -268,7 +268,7 @@ def rerank_scores(spark, d):
 
 
 @register("J4", sql.with_(*sql.RETRIEVE) + """SELECT qid, chunk_id, doc_id, modality, fused_rnk AS rnk FROM crossed
-  JOIN chunks USING (chunk_id) WHERE modality <> 'image'""")
+  JOIN chunks USING (chunk_id) WHERE modality <> 'image'""", ints="rnk")
 def fused_with_chunk_rows(spark, d):
     """Fused ids looked up in a table without the image chunks: ids without a row drop out."""
     idx = tables.index(spark, d)
@@ -445,7 +445,7 @@ TOP3 = sql.with_(*sql.RETRIEVE, sql.reranked(3))
 
 
 @register("P5", TOP3 + """SELECT qid, rnk, chunk_id, modality, modality AS expert_id, substr(content, 1, 1000) AS content
-  FROM retrieved""")
+  FROM retrieved""", ints="rnk")
 def source_cards(spark, d):
     cards = retrieval.source_cards(_retrieved(spark, d), 3)
     return cards.select("qid", F.posexplode("sources").alias("pos", "s")).select(
@@ -453,7 +453,7 @@ def source_cards(spark, d):
 
 
 @register("P7", sql.with_(*sql.RETRIEVE, sql.reranked(TOP)) + """SELECT qid, chunk_id, rnk, total FROM (SELECT *,
-  count(*) OVER (PARTITION BY qid) AS total FROM retrieved) WHERE rnk <= 8""")
+  count(*) OVER (PARTITION BY qid) AS total FROM retrieved) WHERE rnk <= 8""", ints="rnk")
 def result_heads(spark, d):
     return retrieval.result_head_with_total(_retrieved(spark, d)).select("qid", "chunk_id", "rnk", "total")
 
