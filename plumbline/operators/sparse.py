@@ -76,13 +76,16 @@ def query_weights(queries: DataFrame, terms: DataFrame, stats: DataFrame) -> Dat
     A query without any token is dropped; one whose tokens are all unknown keeps empty arrays.
     """
     tokens = tokenize(F.col("query"))
-    counted = (queries.where(F.size(tokens) > 0).select("qid", *GROUP, F.explode(tokens).alias("term"))
+    asked = queries.where(F.size(tokens) > 0)
+    counted = (asked.select("qid", *GROUP, F.explode(tokens).alias("term"))
                .groupBy("qid", *GROUP, "term").agg(F.count(F.lit(1)).alias("qtf")))
-    entry = F.when(F.col("idf").isNotNull(), F.struct("term", (F.col("qtf") * F.col("idf")).alias("weight")))
-    packed = (counted.join(terms.select(*GROUP, "term", "idf"), GROUP + ["term"], "left")
+    # An inner join lets Spark broadcast the query side whatever the size of the vocabulary.
+    entry = F.struct("term", (F.col("qtf") * F.col("idf")).alias("weight"))
+    packed = (terms.select(*GROUP, "term", "idf").join(counted, GROUP + ["term"])
               .groupBy("qid", *GROUP).agg(F.array_sort(F.collect_list(entry)).alias("_w")))
-    return (queries.join(packed, ["qid", *GROUP]).join(stats, GROUP)
-            .withColumns({"terms": F.col("_w.term"), "weights": F.col("_w.weight")}).drop("_w", "n_docs"))
+    return (asked.join(packed, ["qid", *GROUP], "left").join(stats, GROUP)
+            .withColumns({"terms": F.coalesce("_w.term", F.array().cast("array<string>")),
+                          "weights": F.coalesce("_w.weight", F.array().cast("array<double>"))}).drop("_w", "n_docs"))
 
 
 def sparse_topk(queries: DataFrame, forward: DataFrame, terms: DataFrame, stats: DataFrame, k: int = 30,

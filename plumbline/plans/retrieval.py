@@ -4,6 +4,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbline.functions.arrays import collect_by_rank
 from plumbline.functions.intent import adaptive_k, needs_expansion, table_query_weight
@@ -61,8 +62,10 @@ def write_index(chunks: DataFrame, path: str, load=None, dim: int = 1024) -> Ret
 
 
 def read_table(spark: SparkSession, path: str, name: str) -> DataFrame:
-    df = spark.read.parquet(f"{path}/{name}")
-    return df.withColumns({c: F.col(c).cast("string") for c in ("org_id", "modality")})
+    """A stored table with its partition columns as text: a tenant named ``007`` must not come back as a number."""
+    found = spark.read.parquet(f"{path}/{name}").schema
+    fields = [T.StructField(f.name, T.StringType()) if f.name in ("org_id", "modality") else f for f in found.fields]
+    return spark.read.schema(T.StructType(fields)).parquet(f"{path}/{name}")
 
 
 def read_index(spark: SparkSession, path: str) -> RetrievalIndex:

@@ -37,8 +37,10 @@ def load_bm25(term_stats: DataFrame, corpus_stats: DataFrame, org_id: str) -> Da
 
 
 def lookup(df: DataFrame, keys: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """Columns for a table of keys; unknown keys keep nulls."""
-    return keys.join(df.select(key, *columns), key, "left")
+    """Columns for a table of keys; unknown keys keep nulls.  The semi join first cuts the big side with the keys as
+    build side; the outer join then has two small sides."""
+    known = df.select(key, *columns).join(keys.select(key), key, "left_semi")
+    return keys.join(known, key, "left")
 
 
 def owned(df: DataFrame, claims: DataFrame) -> DataFrame:

@@ -141,13 +141,13 @@ def test_rerank_callable_and_none(spark):
 
 
 def test_stored_index_answers_queries(spark, tmp_path):
-    rows = [(f"d{i}_s0_t0", f"d{i}", 0, "text", t, {}, "o", f"d{i}") for i, t in enumerate(
+    rows = [(f"d{i}_s0_t0", f"d{i}", 0, "text", t, {}, "007", f"d{i}") for i, t in enumerate(
         ["alpha beta gamma", "beta delta", "unrelated words here"])]
     chunks = spark.createDataFrame(rows, "chunk_id string, doc_id string, section_id int, modality string, content string, "
                                          "metadata map<string,string>, org_id string, file_id string")
     retrieval.write_index(chunks, str(tmp_path / "ix"), dim=32)
     index = retrieval.read_index(spark, str(tmp_path / "ix"))
-    queries = spark.createDataFrame([("1", "o", "alpha beta")], "qid string, org_id string, query string")
+    queries = spark.createDataFrame([("1", "007", "alpha beta")], "qid string, org_id string, query string")
     got = retrieval.retrieve(queries, index, dim=32, top_k=2).orderBy("rnk").collect()
     assert [r.chunk_id for r in got] == ["d0_s0_t0", "d1_s0_t0"]
     answers = retrieval.answer_table(queries, retrieval.retrieve(queries, index, dim=32)).collect()
