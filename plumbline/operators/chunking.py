@@ -53,6 +53,11 @@ def chunk_text(df: DataFrame, max_chars: int = CHUNK_CHARS, overlap: int = CHUNK
         _string_map(chunk_idx=F.col("pos")).alias("metadata"), "org_id", "file_id")
 
 
+def _if_any(value: Column, keep=lambda v: v != "") -> Column:
+    """Generator: the value, or no row.  A filter on a computed column is pushed down and computes it twice."""
+    return F.explode(F.filter(F.array(value), keep))
+
+
 def _is_separator(line: Column) -> Column:
     """Nothing is left of the line once these characters are trimmed; an ordinary line stops the trim at once."""
     return F.btrim(line, F.lit(SEPARATOR_CHARS)) == ""
@@ -148,16 +153,16 @@ def chunk_table_rows(df: DataFrame, row_no: str, columns: list[str], names: list
     keys = ["doc_id", "section_id", "table_id", "org_id", "file_id"]
     header, _ = markdown_header(names or columns)
     header_line = F.lit(header)
-    lines = df.select(*keys, F.col(row_no).alias("_row"),
-                      tx.strip(markdown_line([F.col(c) for c in columns])).alias("_line"))
-    kept = ordinal(lines.where(~_is_separator(F.col("_line"))), keys, ["_row", "_line"], width, "_pos",
-                   keep_segment=True)
+    line = tx.strip(markdown_line([F.col(c) for c in columns]))
+    lines = df.select(*keys, F.col(row_no).alias("_row"), _if_any(line, lambda v: ~_is_separator(v)).alias("_line"))
+    kept = ordinal(lines, keys, ["_row", "_line"], width, "_pos", keep_segment=True)
     group = F.floor(F.col("_pos") / rows_per_group).cast("int").alias("_group")
     # First inside the segments, where the rows already are; only groups across a border meet in the second step.
     parts = kept.groupBy(*keys, SEGMENT, group).agg(F.collect_list(F.struct("_pos", "_line")).alias("_part"))
     groups = parts.groupBy(*keys, "_group").agg(F.transform(
         F.array_sort(F.flatten(F.collect_list("_part"))), lambda s: s["_line"]).alias("_rows"))
-    headers = _cells(header_line)
+    cells = [cell.strip() for cell in header.split("|") if cell.strip()]
+    headers = F.array(*[F.lit(cell) for cell in cells]).cast("array<string>")
     return groups.select(
         tx.table_chunk_id(F.col("doc_id"), F.col("section_id"), F.col("table_id"), F.col("_group")).alias("chunk_id"),
         "doc_id", "section_id", F.lit("table").alias("modality"),
@@ -198,9 +203,10 @@ def assemble_image_chunks(df: DataFrame, chunk_id: Column | None = None) -> Data
     key = chunk_id if chunk_id is not None else tx.image_chunk_id(
         F.col("doc_id"), F.col("section_id"), F.col("image_id"))
     return df.select(
-        key.alias("chunk_id"), "doc_id", "section_id", F.lit("image").alias("modality"), content.alias("content"),
+        key.alias("chunk_id"), "doc_id", "section_id", F.lit("image").alias("modality"),
+        _if_any(content).alias("content"),
         _string_map(image_id=F.col("image_id"), has_ocr=has("ocr_text"), has_caption=has("caption")).alias("metadata"),
-        "org_id", "file_id").where(F.col("content") != "")
+        "org_id", "file_id")
 
 
 def image_rows(sections: DataFrame) -> DataFrame:
