@@ -210,8 +210,14 @@ def stale_groups(stored: DataFrame, chunks: DataFrame) -> DataFrame:
 
 
 def rebuild_bm25(chunks: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Forward index, corpus and term statistics over all remaining chunks; groups without chunks vanish."""
-    forward = sparse.forward_index(chunks)
+    """Forward index, corpus and term statistics over all remaining chunks; groups without chunks vanish.
+
+    The forward index is written to the shared folder first: the statistics read it several times, and chunking and
+    token counting should happen once.
+    """
+    spark, path = chunks.sparkSession, shared_folder(chunks.sparkSession, "forward")
+    sparse.forward_index(chunks).write.parquet(path)
+    forward = spark.read.parquet(path)
     stats = sparse.corpus_stats(forward)
     return forward, stats, sparse.term_stats(forward, stats)
 

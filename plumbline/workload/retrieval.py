@@ -33,8 +33,7 @@ LANG_CHUNKS = sql.text_chunks("lang", "chunks")
 @register("A1 S10", sql.with_(LANG_CHUNKS, sql.QUERIES, sql.bm25())
           + "SELECT org_id, modality, term, df, round(idf, 6) AS idf FROM ts")
 def bm25_term_stats(spark, d):
-    forward = sparse.forward_index(tables.text_chunks(spark, d, None))
-    return sparse.term_stats(forward, sparse.corpus_stats(forward)).select(
+    return store.rebuild_bm25(tables.text_chunks(spark, d, None))[2].select(
         "org_id", "modality", "term", "df", F.round("idf", 6).alias("idf"))
 
 
@@ -55,9 +54,8 @@ def bm25_postings(spark, d):
 @register("S7", sql.with_(LANG_CHUNKS, sql.QUERIES, sql.bm25()) + """SELECT org_id, modality, term, df,
   round(idf, 6) AS idf, n_docs FROM ts JOIN cs USING (org_id, modality) WHERE org_id = 'en'""")
 def tenant_bm25_index(spark, d):
-    forward = sparse.forward_index(tables.text_chunks(spark, d, None))
-    stats = sparse.corpus_stats(forward)
-    return store.load_bm25(sparse.term_stats(forward, stats), stats, "en").select(
+    _, stats, terms = store.rebuild_bm25(tables.text_chunks(spark, d, None))
+    return store.load_bm25(terms, stats, "en").select(
         "org_id", "modality", "term", "df", F.round("idf", 6).alias("idf"), "n_docs")
 
 
