@@ -35,7 +35,9 @@ UNION ALL SELECT 'c' || conv_id || '_' || turn, 'chat', text, 'new' FROM convers
 def chunk_upsert(spark, d):
     """Judged documents come again with other content and another tenant (which must not change), turns come anew."""
     origin = lambda v: F.create_map(F.lit("origin"), F.lit(v))
-    target = tables.text_chunks(spark, d, None).withColumn("metadata", origin("old"))
+    path = shared_folder(spark, "target")
+    tables.text_chunks(spark, d, None).withColumn("metadata", origin("old")).write.parquet(path)
+    target = spark.read.parquet(path)
     again = (target.join(tables.load(spark, d, "labels").select(_str("doc_id").alias("doc_id")), "doc_id", "left_semi")
              .withColumns({"content": F.reverse("content"), "org_id": F.lit("other"), "metadata": origin("new")}))
     turns = tables.load(spark, d, "conversations").select(
