@@ -2,16 +2,29 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import decontamination, quality_rules, sql, url_filters, warc
+from plumbline.llm import decontamination, packing, pseudonyms, quality_rules, sql, url_filters, warc
 from plumbline.llm.common import load
 
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
+#: The query's key; a corpus owner passes a secret of their own.
+PSEUDONYM_KEY = "an example key"
+
+
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.summary(decontamination.find_benchmark(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark")))
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(load(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
 
@@ -27,5 +40,16 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checked.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "ok")
 
 
-QUERIES = {q.__name__: q for q in (op2_decontamination, op6_quality_rules, op7_url_filters, op9_warc)}
+def _of(kind: str):
+    return lambda p: p["kind"] == kind
+
+
+def op10_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rewritten text of every document and the number of pseudonyms of each kind."""
+    found = pseudonyms.pseudonymise(load(spark, sf_dir, "documents").select("doc_id", "text"), PSEUDONYM_KEY)
+    return found.select("doc_id", "text", *[F.size(F.filter("pseudonyms", _of(kind))).cast("long").alias(f"n_{kind}")
+                                            for kind in pseudonyms.KINDS])
+
+
+QUERIES = {q.__name__: q for q in (op2_decontamination, op4_packing, op6_quality_rules, op7_url_filters, op9_warc, op10_pseudonyms)}
 SQL = {"op2_decontamination": sql.DECONTAMINATION, "op7_url_filters": sql.URL_FILTERS, "op9_warc": sql.WARC}
