@@ -3,8 +3,9 @@ is written before the next one reads it."""
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import decontamination, quality_rules
+from plumbline.llm import decontamination, near_dedup, packing, pseudonyms, quality_rules
 from plumbline.llm.common import load, stage
+from plumbline.llm.queries import PSEUDONYM_KEY, tokenizer_path
 
 
 def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -13,15 +14,35 @@ def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return docs.join(judged.where("kept").select("doc_id").distinct(), "doc_id", "left_semi")
 
 
+def keep_one_of_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The smallest doc_id of each group of near duplicates."""
+    found = near_dedup.near_duplicates(docs)
+    return docs.join(found.where("kept").select("doc_id").distinct(), "doc_id", "left_semi")
+
+
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark passage by the contract's rule."""
     found = decontamination.summary(decontamination.find_benchmark(docs, load(spark, sf_dir, "benchmark")))
     return docs.join(found.where(~F.col("contaminated")).select("doc_id").distinct(), "doc_id", "left_semi")
 
 
+def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts with pseudonyms; n_chars follows the new text."""
+    new = pseudonyms.pseudonymise(docs, PSEUDONYM_KEY)
+    return new.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of token sequences."""
+    return packing.pack(docs, tokenizer_path())
+
+
 STAGES = [
     ("quality_rules", reject_low_quality),
+    ("near_dedup", keep_one_of_copies),
     ("decontamination", drop_contaminated),
+    ("pseudonyms", replace_personal_data),
+    ("packing", pack_sequences),
 ]
 
 #: Rules are learned and signatures hashed: not for SQL.

@@ -2,7 +2,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import decontamination, packing, pseudonyms, quality_rules, sql, url_filters, warc
+from plumbline.llm import decontamination, near_dedup, packing, pseudonyms, quality_rules, sql, url_filters, warc
 from plumbline.llm.common import load
 
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -25,6 +25,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(load(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(load(spark, sf_dir, "documents"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
 
@@ -51,5 +55,5 @@ def op10_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
                                             for kind in pseudonyms.KINDS])
 
 
-QUERIES = {q.__name__: q for q in (op2_decontamination, op4_packing, op6_quality_rules, op7_url_filters, op9_warc, op10_pseudonyms)}
+QUERIES = {q.__name__: q for q in (op2_decontamination, op4_packing, op5_near_dedup, op6_quality_rules, op7_url_filters, op9_warc, op10_pseudonyms)}
 SQL = {"op2_decontamination": sql.DECONTAMINATION, "op7_url_filters": sql.URL_FILTERS, "op9_warc": sql.WARC}
