@@ -2,7 +2,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import decontamination, near_dedup, packing, pseudonyms, quality_rules, sql, url_filters, warc
+from plumbline.llm import decontamination, near_dedup, packing, pseudonyms, quality_classifier, quality_rules, sql, url_filters, warc
 from plumbline.llm.common import load
 
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -21,6 +21,10 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.summary(decontamination.find_benchmark(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark")))
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.classify(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(load(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -55,5 +59,5 @@ def op10_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
                                             for kind in pseudonyms.KINDS])
 
 
-QUERIES = {q.__name__: q for q in (op2_decontamination, op4_packing, op5_near_dedup, op6_quality_rules, op7_url_filters, op9_warc, op10_pseudonyms)}
+QUERIES = {q.__name__: q for q in (op2_decontamination, op3_quality_classifier, op4_packing, op5_near_dedup, op6_quality_rules, op7_url_filters, op9_warc, op10_pseudonyms)}
 SQL = {"op2_decontamination": sql.DECONTAMINATION, "op7_url_filters": sql.URL_FILTERS, "op9_warc": sql.WARC}
