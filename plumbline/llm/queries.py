@@ -2,7 +2,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import decontamination, near_dedup, packing, pseudonyms, quality_classifier, quality_rules, sql, url_filters, warc
+from plumbline.llm import decontamination, html_extraction, near_dedup, packing, pseudonyms, quality_classifier, quality_rules, sql, url_filters, warc
 from plumbline.llm.common import load
 
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -42,6 +42,10 @@ def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge(load(spark, sf_dir, "pages"), rules)
 
 
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.extract(load(spark, sf_dir, "pages"))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = warc.round_trip(load(spark, sf_dir, "pages"))
     checked = found.withColumn("ok", F.when(F.col("error").isNull(), True).otherwise(F.raise_error(F.col("error")).cast("boolean")))
@@ -59,5 +63,5 @@ def op10_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
                                             for kind in pseudonyms.KINDS])
 
 
-QUERIES = {q.__name__: q for q in (op2_decontamination, op3_quality_classifier, op4_packing, op5_near_dedup, op6_quality_rules, op7_url_filters, op9_warc, op10_pseudonyms)}
+QUERIES = {q.__name__: q for q in (op2_decontamination, op3_quality_classifier, op4_packing, op5_near_dedup, op6_quality_rules, op7_url_filters, op8_html_extraction, op9_warc, op10_pseudonyms)}
 SQL = {"op2_decontamination": sql.DECONTAMINATION, "op7_url_filters": sql.URL_FILTERS, "op9_warc": sql.WARC}
