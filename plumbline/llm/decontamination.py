@@ -135,11 +135,11 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id"
             F.get(acc, F.size(acc) - 1)["starts"].alias("starts"),
             F.greatest(F.get(acc, F.size(acc) - 1)["ends"], r["ends"]).alias("ends"))))).otherwise(
         F.concat(acc, F.array(F.struct(r["starts"].alias("starts"), r["ends"].alias("ends"))))))
-    merged = merged.select("doc_id", "_text_hash", ordered.alias("_runs"), "_items")
+    merged = merged.select(F.col("doc_id").alias("_doc"), F.col("_text_hash").alias("_hash"), ordered.alias("_runs"), "_items")
     none = F.array()
-    same = first["doc_id"].eqNullSafe(merged["doc_id"]) & (first["_text_hash"] == merged["_text_hash"])
+    same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_text_hash") == F.col("_hash"))
     return first.join(merged, same, "left").select(
-        first["doc_id"], "n_words", F.coalesce("_runs.starts", none.cast("array<int>")).alias("starts"),
+        "doc_id", "n_words", F.coalesce("_runs.starts", none.cast("array<int>")).alias("starts"),
         F.coalesce("_runs.ends", none.cast("array<int>")).alias("ends"), F.coalesce("_items", none.cast("array<string>")).alias("items"))
 
 

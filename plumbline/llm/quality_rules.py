@@ -17,13 +17,13 @@ TRIMMED = "\x20\t\n\x0b\x0c\r"
 SHARES = (0.01, 0.02, 0.05, 0.1, 0.15, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0, 1.5, 2.0, 3.0)
 #: Statistic of a rule, its expression over the counts, and the thresholds tried.
 FEATURES: dict[str, tuple[str, tuple[float, ...]]] = {
-    "symbols_per_word": ("n_symbols / n_words", SHARES),
-    "marks_per_word": ("n_marks / n_words", SHARES),
-    "upper_share": ("n_upper / word_chars", SHARES[:13]),
-    "repeat_share": ("n_repeat_words / n_words", SHARES[:13]),
-    "same_next_share": ("n_same_next / n_words", SHARES[:13]),
-    "dup_line_share": ("n_dup_lines / n_lines", SHARES[:13]),
-    "word_length": ("word_chars / n_words", (2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20)),
+    "symbols_per_word": ("try_divide(n_symbols, n_words)", SHARES),
+    "marks_per_word": ("try_divide(n_marks, n_words)", SHARES),
+    "upper_share": ("try_divide(n_upper, word_chars)", SHARES[:13]),
+    "repeat_share": ("try_divide(n_repeat_words, n_words)", SHARES[:13]),
+    "same_next_share": ("try_divide(n_same_next, n_words)", SHARES[:13]),
+    "dup_line_share": ("try_divide(n_dup_lines, n_lines)", SHARES[:13]),
+    "word_length": ("try_divide(word_chars, n_words)", (2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20)),
     "words": ("cast(n_words as double)", (20, 50, 100, 200, 500, 1000, 2000, 5000, 10000)),
 }
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
