@@ -93,7 +93,11 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.held = Tokenizer.from_file(path), held
-        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        vocabulary = self.tokenizer.get_vocab()
+        self.dtype = np.dtype("<u2" if len(vocabulary) <= 1 << 16 else "<u4")
+        #: ids that end a word; where the vocabulary marks them, many plain words can be encoded as one text
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self._clear()
 
     def _clear(self) -> None:
@@ -103,11 +107,25 @@ class Encoder:
         self.first, self.count = np.zeros(1, np.int32), np.ones(1, np.int32)
 
     def _learn(self, new: list[bytes]) -> None:
-        encoded = [e.ids for e in self.tokenizer.encode_batch_fast([c.decode() for c in new], add_special_tokens=False)]
-        count = np.fromiter(map(len, encoded), np.int32, len(encoded))
-        first = (len(self.pool) + np.cumsum(count) - count).astype(np.int32)
-        self.pool = np.concatenate([self.pool, np.fromiter(chain.from_iterable(encoded), self.dtype, int(count.sum()))])
-        self.first, self.count = np.concatenate([self.first, first]), np.concatenate([self.count, count])
+        plain = [c for c in new if c.isalpha()] if self.ends.any() else []  # bytes: ASCII letters only
+        joined = self._ids([b" ".join(plain)])[0] if plain else []
+        joined = np.array(joined, self.dtype)
+        after = np.flatnonzero(self.ends[joined]) + 1
+        if len(after) != len(plain):  # not one word end each
+            plain, joined, after = [], joined[:0], after[:0]
+        other = self._ids([c for c in new if not plain or not c.isalpha()])
+        count = np.empty(len(new), np.int64)
+        is_plain = np.fromiter((bool(plain) and c.isalpha() for c in new), bool, len(new))
+        count[is_plain] = np.diff(after, prepend=0)
+        count[~is_plain] = np.fromiter(map(len, other), np.int64, len(other))
+        first = np.empty(len(new), np.int64)
+        first[is_plain] = len(self.pool) + after - count[is_plain]
+        first[~is_plain] = len(self.pool) + len(joined) + np.cumsum(count[~is_plain]) - count[~is_plain]
+        self.pool = np.concatenate([self.pool, joined, np.fromiter(chain.from_iterable(other), self.dtype, int(count[~is_plain].sum()))])
+        self.first, self.count = np.concatenate([self.first, first.astype(np.int32)]), np.concatenate([self.count, count.astype(np.int32)])
+
+    def _ids(self, texts: list[bytes]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         """Ids of each text, followed by END_ID."""
@@ -128,6 +146,12 @@ class Encoder:
         return np.split(ids, ends[np.cumsum(sizes)[:-1] - 1]) if texts else []
 
 
+@cache
+def encoder(path: str) -> Encoder:
+    """One per worker process: tasks that follow each other keep the chunks learned."""
+    return Encoder(path)
+
+
 def _keys(texts: list[bytes]) -> np.ndarray:
     return hilbert_keys(np.stack([point_of(t) for t in texts])) if texts else np.zeros(0, np.int64)
 
@@ -162,7 +186,7 @@ def pack(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: str
     low_key, low_doc = np.array([k for k, _ in low], np.int64), np.array([d for _, d in low], np.int64)
 
     def tokenised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer_path)
+        encode = encoder(tokenizer_path).encode
         for whole in batches:
             for batch in _slices(whole):
                 texts = _texts(batch)
@@ -172,7 +196,7 @@ def pack(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: str
                     d = -(1 << 63) if d is None else d
                     a, b = np.searchsorted(low_key, k, "left"), np.searchsorted(low_key, k, "right")
                     part.append(max(0, int(a + np.searchsorted(low_doc[a:b], d, "right")) - 1))
-                ids = encoder.encode(texts)
+                ids = encode(texts)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(part, pa.int32()), pa.array(key), batch.column("doc_id"), pa.array([len(i) for i in ids], pa.int64()),
                      pa.array([i.tobytes() for i in ids], pa.binary())], ["part", "key", "doc_id", "n", "ids"])
@@ -197,7 +221,7 @@ def pack(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: str
         base[p], total = total, total + n
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        width = Encoder(tokenizer_path).dtype
+        width = encoder(tokenizer_path).dtype
         for batch in batches:
             out: list[tuple] = []
             pieces = []
