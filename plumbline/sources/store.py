@@ -77,16 +77,27 @@ def latest(rows: DataFrame, keys: list[str], order: Column) -> DataFrame:
     return best.select(*keys, *[F.col(f"_r.{c}").alias(c) for c in others]).select(*rows.columns)
 
 
+def _stored_once(rows: DataFrame, keys: list[str]) -> DataFrame:
+    path = shared_folder(rows.sparkSession, "rows")
+    rows.write.parquet(path)
+    rows = rows.sparkSession.read.schema(rows.schema).parquet(path)
+    twice = rows.groupBy(*keys).count().where("count > 1").drop("count").first()
+    if twice:
+        raise ValueError(f"key {tuple(twice)} comes twice in one batch")
+    return rows
+
+
 def upsert(target: DataFrame, rows: DataFrame, keys: list[str],
            update: list[str] | dict[str, Column] = ()) -> DataFrame:
     """New keys are added whole; known keys take the new values of ``update`` only.
 
     ``update`` as a dict gives the value to set (it may use ``new.<column>``).  An empty ``update`` inserts only.
-    ``rows`` holds a key once (see :func:`latest`).  Joins have the new rows on their build side, so a small batch is
-    broadcast by Spark's own size check and the target is not shuffled, as a full outer join would need.
+    ``rows`` must hold a key once (see :func:`latest`), or this fails.  They are written to the shared folder first:
+    they are used three times, and a model that made them should run once.  Joins have the new rows on their build
+    side, so a small batch is broadcast by Spark's own size check and the target is not shuffled.
     """
     rules = update if isinstance(update, dict) else {c: F.col(f"new.{c}") for c in update}
-    rows = align_schema(rows, target.schema)
+    rows = _stored_once(align_schema(rows, target.schema), keys)
     matched = target.select(*keys).join(rows.select(*keys), keys, "left_semi")
     inserts = rows.join(matched, keys, "left_anti").select(*target.columns)
     if not rules:
@@ -153,17 +164,21 @@ def modalities_present(chunks: DataFrame) -> DataFrame:
     return chunks.select("org_id", "modality").distinct()
 
 
+#: Columns a file listing must offer, each with the columns that can stand in for it; and status words by their reading.
+FILE_ALIASES = {"id": ["file_id"], "name": ["filename"], "filename": ["name"]}
+STATUS_READING = {"completed": "indexed"}
+
+
+def file_status(status: Column) -> Column:
+    reading = F.create_map(*[F.lit(x) for pair in STATUS_READING.items() for x in pair])
+    return F.coalesce(F.try_element_at(reading, status), status)
+
+
 def normalize_files(files: DataFrame) -> DataFrame:
     """Names the front end reads: ``id``, both of ``name`` and ``filename``, and ``indexed`` for ``completed``."""
-    have = files.columns
-    out = files
-    if "file_id" in have and "id" not in have:
-        out = out.withColumn("id", F.col("file_id"))
-    if "name" in have and "filename" not in have:
-        out = out.withColumn("filename", F.col("name"))
-    elif "filename" in have and "name" not in have:
-        out = out.withColumn("name", F.col("filename"))
-    return out.withColumn("status", F.when(F.col("status") == "completed", "indexed").otherwise(F.col("status")))
+    added = {wanted: F.col(have) for wanted, stand_ins in FILE_ALIASES.items() if wanted not in files.columns
+             for have in stand_ins if have in files.columns}
+    return files.withColumns({**added, "status": file_status(F.col("status"))})
 
 
 def indexed_files(files: DataFrame) -> DataFrame:
@@ -224,17 +239,27 @@ def rebuild_bm25(chunks: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 # ---- writing -------------------------------------------------------------------------------------------------------
 
-def replace_partitions(df: DataFrame, path: str, partition: list[str]) -> None:
-    """Overwrite just the partitions ``df`` holds.
+def replace_partitions(df: DataFrame, path: str, partition: list[str], touched: DataFrame | None = None) -> None:
+    """Overwrite just the partitions ``df`` holds; those of ``touched`` that it does not hold are removed.
 
     ``df`` may read from ``path``: it is written to a folder of its own first, so the table is never read while it is
-    being overwritten and a failed job leaves it as it was.
+    being overwritten and a failed job leaves it as it was.  ``touched`` has the partition columns of what ``df`` was
+    made from: a partition whose last row went has no row in ``df``.
     """
     spark = df.sparkSession
+    if touched is not None:
+        touched = touched.select(*partition).distinct().collect()  # one row per stored folder
     staged = shared_folder(spark, "staged")
     df.hint("rebalance", *partition).write.partitionBy(*partition).parquet(staged)
     (spark.read.schema(df.schema).parquet(staged).write.mode("overwrite")
      .option("partitionOverwriteMode", "dynamic").partitionBy(*partition).parquet(path))
+    if touched:
+        held = {tuple(r) for r in spark.read.schema(df.schema).parquet(staged).select(*partition).distinct().collect()}
+        escape = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.getPartitionPathString
+        for row in touched:
+            if tuple(row) not in held:
+                place = [escape(c, None if v is None else str(v)) for c, v in zip(partition, row)]
+                remove_folder(spark, "/".join([path.rstrip("/"), *place]))
     remove_folder(spark, staged)
 
 

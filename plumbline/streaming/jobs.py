@@ -11,7 +11,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from plumbline.operators import chunking, models, sparse
 from plumbline.operators.chat import touch_sessions
-from plumbline.schemas import CHUNK, CHUNK_COLUMNS
+from plumbline.schemas import CHUNK, CHUNK_COLUMNS, FILE
 from plumbline.session import remove_folder, shared_folder
 from plumbline.sources import store
 
@@ -45,42 +45,121 @@ def _stored(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
-def ingest_batch(documents: DataFrame, path: str, load=None, dim: int = 1024, buckets: int = BUCKETS) -> None:
-    """Chunk, embed and upsert one batch of ``doc_id, section_id, text, org_id, file_id``; refresh BM25 statistics.
+def ingest_batch(documents: DataFrame, path: str, load=None, dim: int = 1024, buckets: int = BUCKETS,
+                 arrival: str | None = None, describe=None) -> None:
+    """Chunk, embed and upsert one batch of ``doc_id, section_id, text, org_id, file_id``; refresh BM25 statistics and
+    the status of its files.
 
-    Tables are split by tenant, modality and a bucket of the document, and only the touched parts are rewritten, so
-    one busy tenant is not rewritten whole.  Upserts go by chunk id: a batch that runs again changes nothing.
+    Sections with ``tables`` and ``images`` (as :func:`plumbline.sources.readers.read_corpus` gives them) are chunked
+    in all modalities.  A section that comes twice in a batch counts once: the last by the column ``arrival``, or
+    without one the greatest text.  Tables are split by tenant, modality and a bucket of the document, and only the
+    touched parts are rewritten, so one busy tenant is not rewritten whole.  Upserts go by chunk id: a batch that runs
+    again changes nothing.
     """
     spark = documents.sparkSession
-    fresh = chunking.chunk_text(documents).withColumn("bucket", _bucket(buckets))
+    arrived = shared_folder(spark, "arrived")
+    last = store.latest(documents, ["doc_id", "section_id"], F.col(arrival or "text"))
+    (last.drop(arrival) if arrival else last).write.parquet(arrived)
+    documents = spark.read.parquet(arrived)
+    whole_sections = {"tables", "images", "caption"} <= set(documents.columns)
+    chunks = chunking.chunk_corpus(documents, describe) if whole_sections else chunking.chunk_text(documents)
+    fresh = chunks.withColumn("bucket", _bucket(buckets))
     staged = shared_folder(spark, "ingest")
     fresh.write.parquet(staged)
-    fresh = spark.read.parquet(staged)
+    fresh = spark.read.schema(fresh.schema).parquet(staged)
     touched = fresh.select(*PLACE).distinct()
 
     def merge(name, schema, rows, rule):
         table = _stored(spark, f"{path}/{name}", schema).join(touched, PLACE, "left_semi").select(*schema.names)
         store.replace_partitions(rule(table, rows.select(*schema.names)), f"{path}/{name}", PLACE)
 
+    _register_files(documents, path)
+
     merge("chunks", INGEST_CHUNK, fresh, store.store_chunks)
     vectors = models.embed_job(fresh.select("chunk_id", "file_id", "content", *PLACE), load, dim)
     merge("vectors", INGEST_VECTOR, vectors, store.store_embeddings)
     changed = spark.read.schema(INGEST_CHUNK).parquet(f"{path}/chunks").join(touched, PLACE, "left_semi")
     forward = sparse.forward_index(changed, keep=("bucket",))
     store.replace_partitions(forward, f"{path}/forward", PLACE)
+    _renew_statistics(spark, path, forward.schema, touched)
+    _finish_files(documents, path)
+    for folder in (staged, arrived):
+        remove_folder(spark, folder)
+
+
+def _renew_statistics(spark: SparkSession, path: str, forward_schema: T.StructType, touched: DataFrame) -> None:
+    """Statistics of the touched (tenant, modality) groups from the stored forward index; empty groups vanish."""
     groups = touched.select(*GROUP).distinct()
-    whole = spark.read.schema(forward.schema).parquet(f"{path}/forward").join(groups, GROUP, "left_semi")
+    whole = spark.read.schema(forward_schema).parquet(f"{path}/forward").join(groups, GROUP, "left_semi")
     stats = sparse.corpus_stats(whole)
-    store.replace_partitions(stats, f"{path}/corpus_stats", GROUP)
-    store.replace_partitions(sparse.term_stats(whole, stats), f"{path}/term_stats", GROUP)
-    remove_folder(spark, staged)
+    terms = sparse.term_stats(whole, stats)
+    store.replace_partitions(stats, f"{path}/corpus_stats", GROUP, groups)
+    store.replace_partitions(terms, f"{path}/term_stats", GROUP, groups)
+
+
+INGEST_FILE = T.StructType([f for f in FILE.fields if f.name in ("file_id", "status", "chunk_count", "error")]
+                           + [T.StructField("org_id", T.StringType())])
+
+
+def _files(spark: SparkSession, path: str) -> DataFrame:
+    spark.createDataFrame([], INGEST_FILE).write.mode("append").partitionBy("org_id").parquet(f"{path}/files")
+    return spark.read.schema(INGEST_FILE).parquet(f"{path}/files")
+
+
+def _register_files(documents: DataFrame, path: str) -> None:
+    """Files of the batch as ``processing``; those stored before keep their other columns."""
+    rows = documents.select("file_id", "org_id").distinct()
+    tenants = rows.select("org_id").distinct()
+    known = _files(documents.sparkSession, path).join(tenants, "org_id", "left_semi").select(*INGEST_FILE.names)
+    store.replace_partitions(store.store_files(known, rows), f"{path}/files", ["org_id"])
+
+
+def _finish_files(documents: DataFrame, path: str) -> None:
+    """Final status and chunk count of the batch's files; a file without chunks is an error."""
+    spark = documents.sparkSession
+    files = documents.select("file_id", "org_id").distinct()
+    chunks = spark.read.schema(INGEST_CHUNK).parquet(f"{path}/chunks").join(files, ["org_id", "file_id"], "left_semi")
+    counted = files.join(store.file_chunk_counts(chunks), ["org_id", "file_id"], "left")
+    results = counted.select("file_id", "chunk_count",
+                             F.when(F.col("chunk_count").isNull(), "error").otherwise("indexed").alias("status"),
+                             F.when(F.col("chunk_count").isNull(), "No chunks extracted").alias("error"))
+    known = _files(spark, path).join(files.select("org_id").distinct(), "org_id", "left_semi").select(*INGEST_FILE.names)
+    done = store.update_file_status(known, results, F.lit(None).cast("timestamp"))
+    store.replace_partitions(done.select(*INGEST_FILE.names), f"{path}/files", ["org_id"])
+
+
+def delete_stored_files(spark: SparkSession, path: str, doomed: DataFrame) -> None:
+    """Remove files (``org_id, file_id``) from an index that :func:`ingest_batch` wrote: chunks, vectors, forward rows
+    and file rows go, statistics are renewed, and partitions and groups that held nothing else vanish."""
+    pair = ["org_id", "file_id"]
+    doomed = doomed.select(*pair).distinct()
+    chunks = spark.read.schema(INGEST_CHUNK).parquet(f"{path}/chunks")
+    kept_in = shared_folder(spark, "touched")
+    chunks.join(doomed, pair, "left_semi").select(*PLACE).distinct().write.parquet(kept_in)
+    touched = spark.read.schema(T.StructType([INGEST_CHUNK[c] for c in PLACE])).parquet(kept_in)
+    forward_schema = read_placed(spark, f"{path}/forward").schema
+    for name, schema in (("chunks", INGEST_CHUNK), ("vectors", INGEST_VECTOR), ("forward", forward_schema)):
+        table = spark.read.schema(schema).parquet(f"{path}/{name}").join(touched, PLACE, "left_semi").select(*schema.names)
+        store.replace_partitions(table.join(doomed, pair, "left_anti").select(*schema.names), f"{path}/{name}", PLACE, touched)
+    _renew_statistics(spark, path, forward_schema, touched)
+    tenants = doomed.select("org_id").distinct()
+    files = _files(spark, path).join(tenants, "org_id", "left_semi").select(*INGEST_FILE.names)
+    store.replace_partitions(files.join(doomed, pair, "left_anti").select(*INGEST_FILE.names), f"{path}/files", ["org_id"], tenants)
+    remove_folder(spark, kept_in)
+
+
+def read_placed(spark: SparkSession, path: str) -> DataFrame:
+    """A table of the ingested index with tenant and modality as text, whatever they look like."""
+    kinds = {"org_id": T.StringType(), "modality": T.StringType(), "bucket": T.IntegerType()}
+    fields = [T.StructField(f.name, kinds.get(f.name, f.dataType)) for f in spark.read.parquet(path).schema]
+    return spark.read.schema(T.StructType(fields)).parquet(path)
 
 
 def stream_ingest(documents: DataFrame, path: str, checkpoint: str, load=None, dim: int = 1024,
-                  buckets: int = BUCKETS, **trigger) -> StreamingQuery:
+                  buckets: int = BUCKETS, arrival: str | None = None, **trigger) -> StreamingQuery:
     """Run :func:`ingest_batch` on every micro-batch of a stream of documents."""
     return (documents.writeStream.option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True}))
-            .foreachBatch(lambda batch, _: ingest_batch(batch, path, load, dim, buckets)).start())
+            .foreachBatch(lambda batch, _: ingest_batch(batch, path, load, dim, buckets, arrival)).start())
 
 
 # ---- status --------------------------------------------------------------------------------------------------------

@@ -456,3 +456,59 @@ def streamed_ingest(spark, d):
     """Documents from a stream are chunked, embedded and upserted, and their tenants' statistics renewed."""
     return spark.read.parquet(f"{_ingested(spark, d)}/term_stats").select(
         "org_id", "modality", "term", "df", F.round("idf", 6).alias("idf"))
+
+
+@register("ST1 S8 G1", sql.with_(LANG_TEXT) + "SELECT chunk_id, doc_id, section_id, modality, content, org_id, file_id FROM text_chunks",
+          ints="section_id")
+def ingested_chunks(spark, d):
+    """Chunk rows of a streamed ingest."""
+    return jobs.read_placed(spark, f"{_ingested(spark, d)}/chunks").select(
+        "chunk_id", "doc_id", "section_id", "modality", "content", "org_id", "file_id")
+
+
+@register("ST1 S9 M1", sql.with_(LANG_TEXT, sql.embedded("e", "text_chunks", "chunk_id", "content", 64))
+          + "SELECT chunk_id, org_id, b, round(w, 6) AS w FROM e JOIN text_chunks USING (chunk_id)")
+def ingested_vectors(spark, d):
+    """Vectors of a streamed ingest, by place."""
+    return (jobs.read_placed(spark, f"{_ingested(spark, d)}/vectors")
+            .select("chunk_id", "org_id", F.posexplode("embedding").alias("b", "w")).where("w <> 0")
+            .select("chunk_id", "org_id", F.col("b").cast("long").alias("b"), F.round(F.col("w").cast("double"), 6).alias("w")))
+
+
+@register("ST1 A5 S8", sql.with_(LANG_TEXT) + """SELECT doc_id::VARCHAR AS file_id, lang AS org_id, CASE WHEN n IS NULL THEN 'error'
+  ELSE 'indexed' END AS status, coalesce(n, 0)::INT AS chunk_count, CASE WHEN n IS NULL THEN 'No chunks extracted' ELSE '' END AS error
+FROM documents LEFT JOIN (SELECT file_id, count(*) AS n FROM text_chunks GROUP BY file_id) c ON c.file_id = doc_id::VARCHAR""")
+def ingest_file_status(spark, d):
+    """Files of a streamed ingest with their final status."""
+    return jobs.read_placed(spark, f"{_ingested(spark, d)}/files").select("file_id", "org_id", "status", "chunk_count", "error")
+
+
+@register("ST1 D1", sql.with_(LANG_TEXT) + "SELECT chunk_id, content, org_id FROM text_chunks")
+def ingest_same_document_twice(spark, d):
+    """A batch that holds every document twice keeps the version that arrived last, once."""
+    path, doc = shared_folder(spark, "ingested"), _str("doc_id")
+    versions = F.explode(F.array(F.struct(F.reverse("text").alias("text"), F.lit(1).alias("arrival")),
+                                 F.struct(F.col("text"), F.lit(2).alias("arrival")))).alias("v")
+    documents = tables.load(spark, d, "documents").select(
+        doc.alias("doc_id"), F.lit(0).alias("section_id"), F.col("lang").alias("org_id"), doc.alias("file_id"), versions)
+    documents = documents.select("doc_id", "section_id", "org_id", "file_id", "v.*")
+    jobs.ingest_batch(documents, path, dim=16, buckets=4, arrival="arrival")
+    return jobs.read_placed(spark, f"{path}/chunks").select("chunk_id", "content", "org_id")
+
+
+@register("Q4 J7 J10 U4", sql.with_(sql.text_chunks("lang", "all_chunks"), """doomed AS (SELECT doc_id::VARCHAR AS file_id FROM labels
+  WHERE toxic = 1 OR quality = 0 UNION SELECT doc_id::VARCHAR FROM documents WHERE lang = 'es')""",
+                                 "chunks AS (SELECT * FROM all_chunks WHERE file_id NOT IN (SELECT file_id FROM doomed))", sql.QUERIES, sql.bm25())
+          + """SELECT 'chunk' AS part, org_id, chunk_id AS id FROM chunks UNION ALL SELECT 'vector', org_id, chunk_id FROM chunks
+UNION ALL SELECT 'forward', org_id, chunk_id FROM chunks UNION ALL SELECT 'file', lang, doc_id::VARCHAR FROM documents
+  WHERE doc_id::VARCHAR NOT IN (SELECT file_id FROM doomed)
+UNION ALL SELECT 'term', org_id, term || ' ' || df FROM ts""")
+def stored_deletion(spark, d):
+    """Files deleted from a stored index; one tenant loses all of them and vanishes from every table."""
+    path = _ingested(spark, d)
+    spanish = tables.load(spark, d, "documents").where("lang = 'es'").select(F.col("lang").alias("org_id"), _str("doc_id").alias("file_id"))
+    jobs.delete_stored_files(spark, path, _doomed(spark, d).unionByName(spanish))
+    rows = lambda name, part, i: jobs.read_placed(spark, f"{path}/{name}").select(F.lit(part).alias("part"), "org_id", i.alias("id"))
+    return (rows("chunks", "chunk", F.col("chunk_id")).unionByName(rows("vectors", "vector", F.col("chunk_id")))
+            .unionByName(rows("forward", "forward", F.col("chunk_id"))).unionByName(rows("files", "file", F.col("file_id")))
+            .unionByName(rows("term_stats", "term", F.concat_ws(" ", "term", "df"))))

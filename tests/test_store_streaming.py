@@ -101,3 +101,62 @@ def test_status_and_progress(spark):
     values = spark.createDataFrame([(0, 4), (3, 4), (9, 10)], "b int, n int").select(
         jobs.embedding_progress(F.col("b"), F.col("n"))).collect()
     assert [v[0] for v in values] == [51, 70, 70]
+
+
+DOCS = "doc_id string, section_id int, text string, org_id string, file_id string"
+
+
+def test_upsert_refuses_a_key_twice_and_makes_rows_once(spark):
+    target = spark.createDataFrame([("a", 1)], "k string, v int")
+    with pytest.raises(ValueError, match="twice"):
+        store.upsert(target, spark.createDataFrame([("b", 1), ("b", 2)], "k string, v int"), ["k"], ["v"])
+    calls = spark.sparkContext.accumulator(0)
+
+    def made(parts):
+        for part in parts:
+            calls.add(len(part))
+            yield part
+
+    rows = spark.createDataFrame([("a", 5), ("b", 6)], "k string, v int").mapInPandas(made, "k string, v int")
+    assert sorted(tuple(r) for r in store.upsert(target, rows, ["k"], ["v"]).collect()) == [("a", 5), ("b", 6)]
+    assert calls.value == 2
+
+
+def test_emptied_partitions_go(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.createDataFrame([("a/b", 1), ("b", 2), ("c", 3)], "p string, v int").write.partitionBy("p").parquet(path)
+    read = lambda: spark.read.schema("v int, p string").parquet(path)
+    touched = spark.createDataFrame([("a/b",), ("b",)], "p string")
+    store.replace_partitions(read().where("p = 'b'"), path, ["p"], touched)
+    assert sorted(tuple(r) for r in read().collect()) == [(2, "b"), (3, "c")]
+
+
+def test_one_document_twice_in_a_batch(spark, tmp_path):
+    path = str(tmp_path / "ix")
+    rows = [("a", 0, "Old words.", "o", "a", 1), ("a", 0, "New words here.", "o", "a", 2), ("b", 0, " ", "o", "b", 1)]
+    jobs.ingest_batch(spark.createDataFrame(rows, DOCS + ", at int"), path, dim=16, buckets=4, arrival="at")
+    read = lambda name: jobs.read_placed(spark, f"{path}/{name}")
+    assert [r.content for r in read("chunks").collect()] == ["New words here."] and read("vectors").count() == 1
+    assert read("corpus_stats").first().n_docs == 1
+    files = {r.file_id: (r.status, r.chunk_count, r.error) for r in read("files").collect()}
+    assert files == {"a": ("indexed", 1, ""), "b": ("error", 0, "No chunks extracted")}
+
+
+def test_stored_delete_removes_groups(spark, tmp_path):
+    path = str(tmp_path / "ix")
+    rows = [("a", 0, "Alpha beta.", "007", "a"), ("b", 0, "Beta.", "o", "b"), ("c", 0, "Gamma.", "o", "c")]
+    jobs.ingest_batch(spark.createDataFrame(rows, DOCS), path, dim=16, buckets=4)
+    jobs.delete_stored_files(spark, path, spark.createDataFrame([("007", "a"), ("o", "c"), ("o", "zz")], "org_id string, file_id string"))
+    read = lambda name: jobs.read_placed(spark, f"{path}/{name}")
+    for name in ("chunks", "vectors", "forward", "files"):
+        assert [(r.org_id, r.file_id) for r in read(name).collect()] == [("o", "b")], name
+    assert [(r.org_id, r.term, r.df) for r in read("term_stats").collect()] == [("o", "beta", 1)]
+    assert [r.org_id for r in read("corpus_stats").collect()] == ["o"]
+
+
+def test_sections_with_tables_are_ingested_whole(spark, tmp_path):
+    path = str(tmp_path / "ix")
+    schema = DOCS + ", tables map<string,string>, images map<string,string>, caption string"
+    rows = [("a", 0, "Some text.", "o", "a", {"t": "| x | y |\n|---|---|\n| 1 | 2 |"}, {}, "")]
+    jobs.ingest_batch(spark.createDataFrame(rows, schema), path, dim=16, buckets=4)
+    assert {r.modality for r in jobs.read_placed(spark, f"{path}/vectors").collect()} == {"text", "table"}
