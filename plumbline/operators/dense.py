@@ -16,11 +16,25 @@ def with_defaults(queries: DataFrame, k: int) -> DataFrame:
     return queries
 
 
+def bounded_k(queries: DataFrame, k: int, max_k: int | None) -> tuple[DataFrame, int]:
+    """Queries with their ``k``, and the bound the search may cut ranks at.
+
+    With a column ``k`` and no ``max_k`` the bound is the largest k asked for.  A row that asks for more than a given
+    ``max_k`` fails instead of getting a shorter list.
+    """
+    own = "k" in queries.columns
+    queries = with_defaults(queries, k)
+    if max_k is None:
+        return queries, (queries.agg(F.max("k")).first()[0] or k) if own else k
+    over = F.concat(F.lit(f"k above max_k = {max_k}: "), F.col("k").cast("string"))
+    return queries.withColumn("k", F.when(F.col("k") > max_k, F.raise_error(over).cast("int")).otherwise(F.col("k"))), max_k
+
+
 def dense_topk(queries: DataFrame, vectors: DataFrame, k: int = 30, max_k: int | None = None, **options) -> DataFrame:
     """Exact search.  ``queries``: ``qid, org_id, modality, embedding [, k, file_ids]``; ``vectors``: ``org_id,
     modality, chunk_id, file_id, embedding``.  The file filter applies before counting to k."""
-    found = blockwise_topk(vectors.where(F.col("embedding").isNotNull()), with_defaults(queries, k), DenseKernel(),
-                           max_k or k, **options)
+    queries, top = bounded_k(queries, k, max_k)
+    found = blockwise_topk(vectors.where(F.col("embedding").isNotNull()), queries, DenseKernel(), top, **options)
     return found.withColumnRenamed("score", "similarity")
 
 
@@ -37,11 +51,12 @@ def dense_topk_lsh(queries: DataFrame, vectors: DataFrame, k: int = 30, bucket_l
                 .withColumn("_cell", F.concat_ws(":", "_table", vector_to_array("_bucket")[0].cast("bigint")))
                 .drop("_table", "_bucket"))
 
+    queries, top = bounded_k(queries, k, None)
     vectors = vectors.where(F.col("embedding").isNotNull())
     model = BucketedRandomProjectionLSH(inputCol="_v", outputCol="_h", bucketLength=bucket_length,
                                         numHashTables=tables, seed=seed).fit(
         vectors.select(array_to_vector("embedding").alias("_v")))
-    found = blockwise_topk(bucketed(vectors, model), bucketed(with_defaults(queries, k), model), DenseKernel(), k,
+    found = blockwise_topk(bucketed(vectors, model), bucketed(queries, model), DenseKernel(), top,
                            group=["_cell"], **options)
     return found.withColumnRenamed("score", "similarity")
 

@@ -31,7 +31,7 @@ def select_eval_subset(queries: DataFrame, qrels: DataFrame, documents: DataFram
     present = qrels.join(documents.select("doc_id"), "doc_id", "left_semi")
     if max_docs:
         kept = present.select("doc_id").distinct().orderBy("doc_id").limit(max_docs)
-        present = present.join(F.broadcast(kept), "doc_id", "left_semi")
+        present = present.join(kept, "doc_id", "left_semi")
     chosen = queries.join(present, "qid", "left_semi")
     return chosen.orderBy("qid").limit(max_queries) if max_queries else chosen
 
@@ -53,9 +53,12 @@ def per_query_eval(queries: DataFrame, retrieved: DataFrame, qrels: DataFrame, t
     if top_k < max(ks):
         raise ValueError(f"results are cut at {top_k}, metrics need {max(ks)}")
     gold = qrels.groupBy("qid").agg(F.min(F.struct("doc_id", "section_id")).alias("gold"))
-    sizes = retrieved.groupBy("qid").agg(F.count(F.lit(1)).alias("n_retrieved"))
+    places = qrels.select("qid", "doc_id", "section_id").distinct().withColumn("_gold", F.lit(True))
+    # one pass over the results, which may be a whole retrieval: its size and first hit come from the same rows
+    found = (retrieved.select("qid", "doc_id", "section_id", "rnk").join(places, ["qid", "doc_id", "section_id"], "left")
+             .groupBy("qid").agg(F.count(F.lit(1)).alias("n_retrieved"), F.min(F.when(F.col("_gold"), F.col("rnk"))).alias("first_hit")))
     hit = F.col("first_hit")
-    return (queries.join(gold, "qid").join(first_hits(retrieved, qrels), "qid", "left").join(sizes, "qid", "left")
+    return (queries.join(gold, "qid").join(found, "qid", "left")
             .select("qid", "query", F.coalesce("type", F.lit("abstractive")).alias("type"),
                     F.coalesce("source", F.lit("text")).alias("source"), F.col("gold.doc_id").alias("gold_doc"),
                     F.col("gold.section_id").alias("gold_section"),

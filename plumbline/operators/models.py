@@ -76,10 +76,6 @@ def embed_job(df: DataFrame, load: Callable[[], TextToVectors] | None = None, di
     return df.mapInPandas(run, _extended(df, T.StructField("embedding", T.ArrayType(T.FloatType()))))
 
 
-def _shuffle_partitions(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
 def token_overlap(query: Column, content: Column) -> Column:
     """Default relevance: share of the query's distinct tokens that occur in the content."""
     def share(wanted):
@@ -110,9 +106,9 @@ def rerank(candidates: DataFrame, top_n: int, load=None, provider: str = "model"
     """Best ``top_n`` of each query by rerank score, earlier rank first among equals, as ``rnk``; the rank before is
     kept as ``fused_rnk``.  ``provider="none"`` keeps the order given."""
     keys = keys or ["qid"]
-    # Scoring is the costly part: spread it by query now, which is also what ranking needs, instead of leaving a few
-    # small-looking partitions to it.  The explicit count keeps adaptive execution from merging them.
-    candidates = candidates.repartition(_shuffle_partitions(candidates), *keys)
+    # Scoring is the costly part: spread it by query, which is also what ranking needs; how many tasks is for adaptive
+    # execution to say.
+    candidates = candidates.repartition(*keys)
     scored = (candidates.withColumn("rerank_score", F.lit(None).cast("double")) if provider == "none"
               else rerank_job(candidates, load)).withColumnRenamed("rnk", "fused_rnk")
     order = [F.col("fused_rnk")] if provider == "none" else [F.col("rerank_score").desc(), F.col("fused_rnk")]
@@ -144,15 +140,18 @@ def with_expansion(queries: DataFrame, passages: DataFrame | None) -> DataFrame:
 
 
 def text_job(df: DataFrame, source: str, target: str, load: Callable[[], Callable[[list[str]], list[str]]],
-             batch: int = EMBED_BATCH) -> DataFrame:
-    """Add the string column ``target``: the model's reply to each ``source`` text.  A failed batch gives nulls."""
+             batch: int = EMBED_BATCH, tolerant: bool = False) -> DataFrame:
+    """Add the string column ``target``: the model's reply to each ``source`` text.  A failing model fails the job, or
+    with ``tolerant`` its batch gives nulls."""
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         call = load()
 
         def reply(texts):
             try:
                 return list(call(texts))
-            except Exception:  # a failing model must not fail the job
+            except Exception:
+                if not tolerant:
+                    raise
                 return [None] * len(texts)
 
         for part in parts:
@@ -181,7 +180,7 @@ def guard_job(answers: DataFrame, load=None) -> DataFrame:
     every reply is unreadable, which lets answers pass with score 0.5."""
     asked = answers.withColumn("guard_prompt", build_guard_prompt(F.col("answer"), F.col("source_contents")))
     replied = (asked.withColumn("guard_reply", F.lit("")) if load is None
-               else text_job(asked, "guard_prompt", "guard_reply", load))
+               else text_job(asked, "guard_prompt", "guard_reply", load, tolerant=True))
     verdict = parse_guard(F.coalesce("guard_reply", F.lit("")), F.col("answer"), F.col("source_contents"))
     return replied.withColumn("guard", verdict).drop("guard_prompt", "guard_reply")
 

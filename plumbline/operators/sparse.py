@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.functions.text import tokenize
-from plumbline.operators.dense import with_defaults
+from plumbline.operators.dense import bounded_k
 from plumbline.plans.blockwise import SparseKernel, blockwise_topk
 from plumbline.schemas import BM25_B, BM25_EPSILON, BM25_K1
 
@@ -96,8 +96,8 @@ def sparse_topk(queries: DataFrame, forward: DataFrame, terms: DataFrame, stats:
     Chunks scoring zero are left out; ``pad_zero`` fills up to k with them in id order.  Repeated query tokens count
     repeatedly, statistics come from the whole group, and the file filter applies before counting to k.
     """
-    weighted = query_weights(with_defaults(queries, k), terms, stats)
-    return blockwise_topk(forward, weighted, SparseKernel(k1, b, pad_zero), max_k or k, **options)
+    queries, top = bounded_k(queries, k, max_k)
+    return blockwise_topk(forward, query_weights(queries, terms, stats), SparseKernel(k1, b, pad_zero), top, **options)
 
 
 def bm25_score(queries: DataFrame, forward: DataFrame, terms: DataFrame, stats: DataFrame, k1: float = BM25_K1,

@@ -2,12 +2,12 @@
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.functions.arrays import collect_by_rank
-from plumbline.functions.intent import adaptive_k, needs_expansion, table_query_weight
+from plumbline.functions.intent import SIGNAL_CAP, adaptive_k, needs_expansion, table_query_weight
 from plumbline.functions.prompts import build_prompt, source_card
 from plumbline.operators import fusion, models, sparse
 from plumbline.operators.dense import dense_topk
@@ -17,7 +17,6 @@ from plumbline.session import spread
 
 # Ids of ranked lists are broadcast to the chunk table up to this many rows (about 60 bytes each).
 MAX_BROADCAST_IDS = 500_000
-MAX_K = {"text": 30, "table": 45, "image": 20}
 
 
 @dataclass
@@ -88,13 +87,18 @@ def per_modality_queries(queries: DataFrame, base_k: dict = BASE_K, adaptive: bo
     return rows.withColumn("k", adaptive_k(F.col("modality"), F.col("query"), base_k) if adaptive else fixed)
 
 
+def max_k(base_k: dict) -> dict:
+    """Largest k that adapting to the query can give per modality."""
+    return {m: int(k * SIGNAL_CAP) if m == "table" else k for m, k in base_k.items()}
+
+
 def candidate_lists(queries: DataFrame, prepared: DataFrame, index: RetrievalIndex, adaptive: bool = True,
-                    pad_zero: bool = False, **options) -> tuple[DataFrame, DataFrame]:
+                    pad_zero: bool = False, base_k: dict = BASE_K, **options) -> tuple[DataFrame, DataFrame]:
     """Dense and sparse lists per (query, modality).  ``prepared`` are the embedded ``queries``; the sparse search
     starts from the plain ones, so that nothing is embedded twice."""
-    top = max(MAX_K.values())
-    dense = dense_topk(per_modality_queries(prepared, adaptive=adaptive), index.vectors, max_k=top, **options)
-    sparse_lists = sparse.sparse_topk(per_modality_queries(queries, adaptive=adaptive), index.forward,
+    top = max(max_k(base_k).values())
+    dense = dense_topk(per_modality_queries(prepared, base_k, adaptive), index.vectors, max_k=top, **options)
+    sparse_lists = sparse.sparse_topk(per_modality_queries(queries, base_k, adaptive), index.forward,
                                       index.term_stats, index.corpus_stats, max_k=top, pad_zero=pad_zero, **options)
     return dense, sparse_lists
 
@@ -112,18 +116,18 @@ def _bounded(queries: DataFrame, limit: int) -> bool:
 def retrieve(queries: DataFrame, index: RetrievalIndex, passages: DataFrame | None = None, load=None, dim: int = 1024,
              top_k: int = 8, rerank_top_n: int = RERANK_TOP_N, rerank_load=None, rerank_provider: str = "model",
              adaptive: bool = True, fusion_mode: str = "rrf", rrf_k: int = RRF_K, use_expansion: bool = True,
-             pad_zero: bool = False) -> DataFrame:
+             pad_zero: bool = False, base_k: dict = BASE_K) -> DataFrame:
     """Ranked chunks of every query: expand, embed, dense + sparse per modality, fuse twice, cut, rerank.
 
     Returns ``qid, query, rnk, fused_rnk, rerank_score`` and the chunk columns.
     """
     prepared = prepare_queries(queries, passages, load, dim, use_expansion)
-    dense, sparse_lists = candidate_lists(queries, prepared, index, adaptive, pad_zero)
+    dense, sparse_lists = candidate_lists(queries, prepared, index, adaptive, pad_zero, base_k)
     per_modality = hybrid_modality(dense, sparse_lists, rrf_k)
     cut = rerank_top_n if fusion_mode == "rrf" else None
     fused = fusion.cross_modal(per_modality, queries, rrf_k, cut, fusion_mode).select("qid", "chunk_id", "rnk")
     # At most rerank_top_n ids per query (all modality lists for "concat"), so the query count bounds the ids.
-    per_query = cut or 2 * sum(MAX_K.values())
+    per_query = cut or 2 * sum(max_k(base_k).values())
     small = _bounded(queries, MAX_BROADCAST_IDS // per_query)
     found = fusion.attach_chunks(fused, index.chunks, broadcast_ranked=small)
     return models.rerank(found.join(queries.select("qid", "query"), "qid"), top_k, rerank_load, rerank_provider)
@@ -183,9 +187,9 @@ def source_cards(retrieved: DataFrame, n: int = 8) -> DataFrame:
 
 
 def result_head_with_total(retrieved: DataFrame, n: int = 8) -> DataFrame:
-    """First ``n`` rows of each query with the number of all its rows.  The total is an aggregate joined back."""
-    totals = retrieved.groupBy("qid").agg(F.count(F.lit(1)).alias("total"))
-    return retrieved.where(F.col("rnk") <= n).join(totals, "qid")
+    """First ``n`` rows of each query with the number of all its rows.  Results are ranked per query already, so the
+    count runs over the same partitions and the retrieval once."""
+    return retrieved.withColumn("total", F.count(F.lit(1)).over(Window.partitionBy("qid"))).where(F.col("rnk") <= n)
 
 
 def answer_table(queries: DataFrame, retrieved: DataFrame, generate_load=None, guard_load=None, **prompt) -> DataFrame:
