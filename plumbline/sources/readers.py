@@ -41,12 +41,23 @@ def text_of(files: DataFrame, org_id: str = "default") -> DataFrame:
     """Binary file rows → one section 0 per text file; bytes that are not UTF-8 are dropped."""
     texts = files.where(extension(F.col("path")).isin(*TEXT_EXTENSIONS))
     name = file_name(F.col("path"))
-    # Invalid bytes decode to the replacement character, which is then removed as a reader ignoring errors would.
-    text = F.regexp_replace(F.make_valid_utf8(F.col("content").cast("string")), "\\ufffd", "")
+    # A file that is valid stays as it is.  In others invalid bytes decode to the replacement character, which is then
+    # removed as a reader ignoring errors would; replacement characters the file itself holds are set aside meanwhile.
+    raw = F.col("content").cast("string")
+    aside = F.replace(raw, F.lit("\ufffd"), F.lit("\ufdd0"))
+    mended = F.replace(F.replace(F.make_valid_utf8(aside), F.lit("\ufffd"), F.lit("")), F.lit("\ufdd0"), F.lit("\ufffd"))
+    text = F.when(F.is_valid_utf8(raw), raw).otherwise(mended)
     return texts.select(name.alias("doc_id"), F.lit(0).alias("section_id"), text.alias("text"),
                         F.lit(org_id).alias("org_id"), name.alias("file_id"))
 
 
+def unread_files(files: DataFrame) -> DataFrame:
+    """``path, error`` of accepted files that :func:`text_of` has no reader for; a caller's own reader takes them."""
+    kind = extension(F.col("path"))
+    return files.where(~kind.isin(*TEXT_EXTENSIONS)).select(
+        "path", F.concat(F.lit("No reader for file type: ."), kind).alias("error"))
+
+
 def read_text_files(spark: SparkSession, path: str, org_id: str = "default") -> DataFrame:
     """``.txt``, ``.md`` and ``.csv`` files, each as one whole text (a CSV file too)."""
     return text_of(read_files(spark, path), org_id)

@@ -313,12 +313,13 @@ def file_kinds(spark, d):
 
 
 @register("F21", """SELECT doc_id, '![x](/api/uploads/' || lang || '.png) and /api/uploads/' || source || '.png, source_9'
-  || chr(10) || text AS resolved FROM documents WHERE NOT contains(text, 'source_') AND NOT contains(text, '```')
-  AND NOT contains(text, '\\n')""")
+  || chr(10) || regexp_replace(regexp_replace(regexp_replace(replace(text, '\\n', chr(10)),
+    '(?i)```(?:markdown)?\\s*(!?\\[[^\\n]*?\\]\\([^\\n]*?\\))\\s*```', '\\1', 'g'),
+    '(?i)(?:/api/uploads/)?source_0*1([^0-9]|$)', '/api/uploads/' || lang || '.png\\1', 'g'),
+    '(?i)(?:/api/uploads/)?source_0*2([^0-9]|$)', '/api/uploads/' || source || '.png\\1', 'g') AS resolved FROM documents""")
 def resolved_source_refs(spark, d):
     """Answers naming two sources in three spellings, followed by the whole document text."""
-    docs = tables.load(spark, d, "documents").where(
-        ~F.col("text").contains("source_") & ~F.col("text").contains("```") & ~F.col("text").contains("\\n"))
+    docs = tables.load(spark, d, "documents")
     card = lambda c: F.struct(F.create_map(F.lit("source"), F.concat(F.col(c), F.lit(".png"))).alias("metadata"))
     answer = F.concat(F.lit("```markdown\n![x](source_1)\n``` and /api/uploads/Source_2, source_9\\n"), F.col("text"))
     return docs.select("doc_id", prompts.resolve_source_refs(answer, F.array(card("lang"), card("source"))).alias("resolved"))
