@@ -209,6 +209,21 @@ def assemble_image_chunks(df: DataFrame, chunk_id: Column | None = None) -> Data
         "org_id", "file_id")
 
 
+def assemble_page_images(df: DataFrame) -> DataFrame:
+    """Images taken from pages → image chunks: ``file_id, page`` (from 0)``, image_no, image_file, caption, ocr_text,
+    nearby_text, org_id``.  Their metadata name the page, from 1, and the stored file, which answers link to."""
+    has = lambda name: F.coalesce(F.col(name) != "", F.lit(False))
+    filled = lambda name: F.coalesce(F.col(name), F.lit(""))
+    content = image_content(filled("caption"), filled("ocr_text"), F.lit(""), filled("nearby_text"))
+    return df.select(
+        tx.page_image_chunk_id(F.col("file_id"), F.col("page"), F.col("image_no")).alias("chunk_id"),
+        F.col("file_id").alias("doc_id"), F.col("page").cast("int").alias("section_id"), F.lit("image").alias("modality"),
+        _if_any(content).alias("content"),
+        _string_map(image_id=F.concat(F.lit("img"), F.col("image_no").cast("string")), has_ocr=has("ocr_text"),
+                    has_caption=has("caption"), page=F.col("page") + 1, source=F.col("image_file")).alias("metadata"),
+        "org_id", "file_id")
+
+
 def image_rows(sections: DataFrame) -> DataFrame:
     """First images of each section (map order) with the text around them, ready for a describing job."""
     pairs = F.slice(F.map_entries("images"), 1, MAX_IMAGES_PER_SECTION)

@@ -165,6 +165,9 @@ def generate_job(prompts: DataFrame, load=None) -> DataFrame:
     """Add ``answer``.  The default is extractive: the content of the first source."""
     if load is None:
         return prompts.withColumn("answer", F.coalesce(F.get("sources", F.lit(0))["content"], F.lit("")))
+    if "messages" in prompts.columns:
+        said = prompts.withColumn("_said", F.to_json("messages"))
+        return text_job(said, "_said", "answer", load).drop("_said")
     return text_job(prompts, "prompt", "answer", load)
 
 

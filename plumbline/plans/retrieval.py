@@ -192,8 +192,13 @@ def result_head_with_total(retrieved: DataFrame, n: int = 8) -> DataFrame:
     return retrieved.withColumn("total", F.count(F.lit(1)).over(Window.partitionBy("qid"))).where(F.col("rnk") <= n)
 
 
-def answer_table(queries: DataFrame, retrieved: DataFrame, generate_load=None, guard_load=None, **prompt) -> DataFrame:
-    """One row per query: prompt, answer, source cards and guard verdict.  A query without results still answers."""
+def answer_table(queries: DataFrame, retrieved: DataFrame, generate_load=None, guard_load=None,
+                 history: DataFrame | None = None, **prompt) -> DataFrame:
+    """One row per query: prompt, answer, source cards and guard verdict.  A query without results still answers.
+
+    ``history`` (``qid, history`` as :func:`plumbline.operators.chat.history_window` gives it) goes before the prompt: the
+    column ``messages`` then holds the turns and the prompt as the last, and the model gets them as JSON text.
+    """
     chunk = F.struct("chunk_id", "doc_id", "modality", "content", "metadata")
     full = retrieved.where(F.col("rnk") <= 8).groupBy("qid").agg(collect_by_rank("rnk", chunk).alias("chunks"))
     joined = queries.select("qid", "query").join(full, "qid", "left")
@@ -202,6 +207,11 @@ def answer_table(queries: DataFrame, retrieved: DataFrame, generate_load=None, g
                                                         c["content"], c["metadata"]))
     prompted = joined.select("qid", "query", cards.alias("sources"),
                              build_prompt(F.col("query"), F.col("chunks"), **prompt).alias("prompt"))
+    if history is not None:
+        turn = F.array(F.struct(F.lit("user").alias("role"), F.col("prompt").alias("content")))
+        said = F.coalesce("history", F.array().cast("array<struct<role:string,content:string>>"))
+        prompted = (prompted.join(history.select("qid", "history"), "qid", "left")
+                    .withColumn("messages", F.concat(said, turn)).drop("history"))
     answered = models.generate_job(prompted, generate_load).withColumn(
         "source_contents", F.transform("sources", lambda s: s["content"]))
     return models.guard_job(answered, guard_load).drop("source_contents")

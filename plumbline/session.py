@@ -8,15 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 _local_folders: dict[str, str | None] = {}
 
 
-def build_session(cores: int | str = "*", app: str = "plumbline") -> SparkSession:
-    """Local session.  On a cluster use the session it gives; nothing below depends on these settings."""
+def build_session(cores: int | str = "*", app: str = "plumbline", settings: dict | None = None) -> SparkSession:
+    """Local session with further ``settings``.  On a cluster use the session it gives; nothing below depends on these."""
     parallel = os.cpu_count() if cores == "*" else int(cores)
-    return (SparkSession.builder.master(f"local[{cores}]").appName(app)
+    return (SparkSession.builder.config(map=settings or {}).master(f"local[{cores}]").appName(app)
             .config("spark.sql.shuffle.partitions", str(parallel))
             .config("spark.sql.adaptive.enabled", "true")
             .config("spark.sql.session.timeZone", "UTC")
             .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-            .config("spark.sql.adaptive.advisoryPartitionSizeInBytes", "4m")  # test tables are small
             .config("spark.driver.memory", "12g")
             .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
             .getOrCreate())

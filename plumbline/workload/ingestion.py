@@ -161,6 +161,21 @@ def image_chunk_rows(spark, d):
         (F.col("metadata")["has_caption"] == "true").alias("has_caption"))
 
 
+@register("G4 F17", sql.with_(sql.IMAGE_CHUNKS) + """SELECT 'page' || page_id || '_p' || (page_id % 7) || '_img' || (page_id % 3) AS chunk_id,
+  (page_id % 7)::INT AS section_id, 'img' || (page_id % 3) AS image_id, (page_id % 7 + 1)::VARCHAR AS page,
+  'page' || page_id || '.png' AS source, '[Caption]: ' || regexp_extract(html, '<title>(.*?)</title>', 1) AS content FROM pages
+WHERE regexp_extract(html, '<title>(.*?)</title>', 1) <> ''""")
+def page_image_chunks(spark, d):
+    """Images of pages, with the page and the stored file they come from."""
+    doc = F.concat(F.lit("page"), F.col("page_id").cast("string"))
+    images = tables.load(spark, d, "pages").select(
+        doc.alias("file_id"), (F.col("page_id") % 7).alias("page"), (F.col("page_id") % 3).alias("image_no"),
+        F.concat(doc, F.lit(".png")).alias("image_file"), F.regexp_extract("html", "<title>(.*?)</title>", 1).alias("caption"),
+        F.lit(None).cast("string").alias("ocr_text"), F.lit("").alias("nearby_text"), F.lit(tables.ORG).alias("org_id"))
+    chunks = chunking.assemble_page_images(images)
+    return chunks.select("chunk_id", "section_id", *[F.col("metadata")[k].alias(k) for k in ("image_id", "page", "source")], "content")
+
+
 @register("P2", sql.with_(f"""items AS (SELECT 'p' || p_partkey AS image_id, p_name || CASE p_size % 4 WHEN 0
   THEN ' company Logo' WHEN 1 THEN ' with BORDER' ELSE '' END AS caption, repeat('x', p_size % 20) AS ocr_text FROM part)""")
           + f"SELECT image_id, caption FROM items WHERE NOT ({sql.DECORATIVE})")

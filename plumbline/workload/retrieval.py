@@ -2,7 +2,7 @@
 from pyspark.sql import functions as F
 
 from plumbline.functions import intent, prompts
-from plumbline.operators import dense, evaluation, fusion, models, sparse
+from plumbline.operators import chat, dense, evaluation, fusion, models, sparse
 from plumbline.plans import retrieval
 from plumbline.schemas import MODALITIES
 from plumbline.session import shared_folder, spread
@@ -487,6 +487,26 @@ def answers(spark, d):
                                       F.size("sources").cast("long").alias("n_sources"))
 
 
+@register("Q3 W4 F10", TOP3 + """, prompts AS (SELECT qid, 'SYSTEM' || chr(10) || chr(10) || '--- Sources ---' || chr(10)
+  || string_agg(chr(10) || '[Source ' || rnk || ' (' || modality || ')]:' || chr(10) || substr(content, 1, 1500) || chr(10),
+  '' ORDER BY rnk) || chr(10) || chr(10) || '--- Question ---' || chr(10) || any_value(query)
+  || CASE WHEN bool_or(modality = 'image') THEN chr(10) || chr(10) || 'IMAGES' ELSE '' END AS prompt FROM retrieved GROUP BY qid),
+said AS (SELECT conv_id::VARCHAR AS qid, role, substr(text, 1, 500) AS content, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back
+  FROM conversations WHERE text <> ''),
+turns AS (SELECT qid, role, content, 7 - back AS place FROM said WHERE back <= 6 AND qid IN (SELECT qid FROM prompts)
+  UNION ALL SELECT qid, 'user', prompt, 8 FROM prompts)
+SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY place) - 1 AS pos, role, content FROM turns""")
+def answers_with_history(spark, d):
+    """Messages of each answer: the last turns of the conversation with the query's number, then the prompt."""
+    said = tables.load(spark, d, "conversations").select(F.col("conv_id").cast("string").alias("session_id"), "turn", "role",
+                                                         F.col("text").alias("content"))
+    history = chat.history_window(said).withColumnRenamed("session_id", "qid")
+    answered = retrieval.answer_table(tables.queries(spark, d), _retrieved(spark, d, 3), history=history, system="SYSTEM",
+                                      image_reminder="IMAGES")
+    return answered.select("qid", F.posexplode("messages").alias("pos", "m")).select(
+        "qid", F.col("pos").cast("long").alias("pos"), "m.role", "m.content")
+
+
 @register("M4", TOP3 + """SELECT qid, query, reverse(query) AS gold, substr(content, 1, 1000) AS generated FROM retrieved
   WHERE rnk = 1 ORDER BY qid LIMIT 15""")
 def generation_beside_gold(spark, d):
@@ -494,9 +514,9 @@ def generation_beside_gold(spark, d):
     return models.generation_eval(_answered(spark, d), gold)
 
 
-@register("M5 F19 F20", """SELECT conv_id, turn, length('GUARD' || chr(10) || chr(10) || 'Answer: ' || substr(text, 1, 1000)
+@register("M5 F19 F20", """SELECT conv_id, turn, md5('GUARD' || chr(10) || chr(10) || 'Answer: ' || substr(text, 1, 1000)
   || chr(10) || chr(10) || 'Sources:' || chr(10) || '[Source 1]: ' || substr(text, 1, 500) || chr(10) || chr(10)
-  || '[Source 2]: ' || role) AS prompt_chars, turn % 2 = 0 AS verified, 0.25::DOUBLE AS score,
+  || '[Source 2]: ' || role) AS prompt, turn % 2 = 0 AS verified, 0.25::DOUBLE AS score,
   role AS claim FROM conversations""")
 def guard_verdicts(spark, d):
     """Every turn is checked against two sources; replies come fenced and are parsed."""
@@ -506,9 +526,9 @@ def guard_verdicts(spark, d):
         (F.col("turn") % 2 == 0).alias("verified"), F.lit("0.25").alias("score"),
         F.array(F.struct(F.col("role").alias("claim"), F.lit(True).alias("supported"))).alias("claims"))), F.lit("\n```"))
     verdict = prompts.parse_guard(reply, F.col("answer"), F.col("contents"))
-    return turns.select("conv_id", "turn", F.length(prompts.build_guard_prompt(
-        F.col("answer"), F.col("contents"), "GUARD")).cast("long").alias("prompt_chars"), verdict.alias("g")).select(
-        "conv_id", "turn", "prompt_chars", "g.verified", "g.score", F.col("g.claims")[0]["claim"].alias("claim"))
+    return turns.select("conv_id", "turn", F.md5(prompts.build_guard_prompt(
+        F.col("answer"), F.col("contents"), "GUARD")).alias("prompt"), verdict.alias("g")).select(
+        "conv_id", "turn", "prompt", "g.verified", "g.score", F.col("g.claims")[0]["claim"].alias("claim"))
 
 
 @register("M5", """SELECT conv_id, turn, turn % 2 = 0 AS verified, CASE WHEN turn % 2 = 0 THEN 0.5::DOUBLE ELSE 0.75 END AS score

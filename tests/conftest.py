@@ -11,7 +11,7 @@ from plumbline.session import build_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    session = build_session(8, "tests")
+    session = build_session(8, "tests", {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "4m"})  # small tables
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
