@@ -38,25 +38,34 @@ def dense_topk(queries: DataFrame, vectors: DataFrame, k: int = 30, max_k: int |
     return found.withColumnRenamed("score", "similarity")
 
 
-def dense_topk_lsh(queries: DataFrame, vectors: DataFrame, k: int = 30, bucket_length: float = 0.5,
-                   tables: int = 4, seed: int = 42, **options) -> DataFrame:
-    """Approximate search: only pairs sharing a random-projection bucket are scored.
+def lsh_cells(df: DataFrame, model, tables: int, projections: int) -> DataFrame:
+    """One row per vector and table with its cell ``_cell``: the buckets of the table's projections together."""
+    hashed = model.transform(df.withColumn("_v", array_to_vector("embedding")))
+    bucket = lambda table, i: vector_to_array(F.get("_h", F.lit(table * projections + i)))[0].cast("bigint")
+    cells = F.array(*[F.concat_ws(":", F.lit(t), *[bucket(t, i) for i in range(projections)]) for t in range(tables)])
+    return hashed.withColumn("_cell", F.explode(cells)).drop("_v", "_h")
 
-    On unit vectors Euclidean buckets order like cosine.  Hot buckets are cut into blocks by the block join, and pairs
-    found are scored exactly, so the result is the exact order over the pairs that met.
+
+def dense_topk_lsh(queries: DataFrame, vectors: DataFrame, k: int = 30, bucket_length: float | None = None,
+                   tables: int = 8, projections: int = 4, seed: int = 42, **options) -> DataFrame:
+    """Approximate search: only pairs sharing a random-projection cell are scored.
+
+    On unit vectors Euclidean buckets order like cosine.  Projections of unit vectors are about ``1 / sqrt(dim)`` wide,
+    so the default bucket is 1.25 times that; a cell is ``projections`` buckets together, and any of ``tables`` cells will do.
+    Hot cells are cut into blocks by the block join, and pairs found are scored exactly, so the result is the exact
+    order over the pairs that met.
     """
-    def bucketed(df, model):
-        hashed = model.transform(df.withColumn("_v", array_to_vector("embedding")))
-        return (hashed.select("*", F.posexplode("_h").alias("_table", "_bucket")).drop("_v", "_h")
-                .withColumn("_cell", F.concat_ws(":", "_table", vector_to_array("_bucket")[0].cast("bigint")))
-                .drop("_table", "_bucket"))
 
     queries, top = bounded_k(queries, k, None)
     vectors = vectors.where(F.col("embedding").isNotNull())
+    if bucket_length is None:
+        dim = vectors.select(F.size("embedding")).first()
+        bucket_length = 1.25 / max(1, dim[0] if dim else 1) ** 0.5
     model = BucketedRandomProjectionLSH(inputCol="_v", outputCol="_h", bucketLength=bucket_length,
-                                        numHashTables=tables, seed=seed).fit(
+                                        numHashTables=tables * projections, seed=seed).fit(
         vectors.select(array_to_vector("embedding").alias("_v")))
-    found = blockwise_topk(bucketed(vectors, model), bucketed(queries, model), DenseKernel(), top,
+    cells = lambda df: lsh_cells(df, model, tables, projections)
+    found = blockwise_topk(cells(vectors), cells(queries), DenseKernel(), top,
                            group=["_cell"], **options)
     return found.withColumnRenamed("score", "similarity")
 

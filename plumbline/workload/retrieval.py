@@ -123,7 +123,7 @@ def vector_topk_lsh(spark, d):
     """Approximate search by random-projection buckets, with the share of the exact ten it found."""
     corpus, asked = _vector_tables(spark, d)
     exact = dense.dense_topk(asked, corpus, k=10).select("qid", "modality", "chunk_id")
-    near = dense.dense_topk_lsh(asked, corpus, k=10, bucket_length=2.0, tables=6).select(
+    near = dense.dense_topk_lsh(asked, corpus, k=10, bucket_length=2.0, tables=6, projections=1).select(
         "qid", "modality", "chunk_id", F.lit(1).alias("found"))
     return exact.join(near, ["qid", "modality", "chunk_id"], "left").groupBy("modality").agg(
         F.count(F.lit(1)).alias("n_exact"), F.round(F.avg(F.coalesce("found", F.lit(0))), 4).alias("found_share"))

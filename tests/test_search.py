@@ -53,7 +53,7 @@ def test_lsh_pairs_are_scored_exactly(vectors):
     _, _, corpus, asked = vectors
     asked = asked.drop("k", "file_ids")
     exact = {(r.qid, r.chunk_id): r.similarity for r in dense.dense_topk(asked, corpus, k=1000).collect()}
-    near = dense.dense_topk_lsh(asked, corpus, k=10, bucket_length=2.0, block_rows=40).collect()
+    near = dense.dense_topk_lsh(asked, corpus, k=10, bucket_length=2.0, tables=4, projections=1, block_rows=40).collect()
     assert near and all(abs(exact[r.qid, r.chunk_id] - r.similarity) < 1e-9 for r in near)
     assert len({(r.qid, r.chunk_id) for r in near}) == len(near)
 
@@ -155,3 +155,25 @@ def test_stored_index_answers_queries(spark, tmp_path):
     nothing = spark.createDataFrame([("9", "nobody", "alpha")], "qid string, org_id string, query string")
     empty = retrieval.answer_table(nothing, retrieval.retrieve(nothing, index, dim=32)).collect()
     assert empty[0].answer == "" and empty[0].guard.score == 1.0
+
+
+def test_lsh_prunes_where_vectors_have_neighbours(spark):
+    """Vectors around centres: most exact neighbours are found while few of all pairs share a cell."""
+    from pyspark.ml.feature import BucketedRandomProjectionLSH
+    from pyspark.ml.functions import array_to_vector
+
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(40, 64))
+    unit = lambda v: (v / np.linalg.norm(v)).tolist()
+    rows = [("o", "text", f"c{i:04d}", "f", unit(centres[i % 40] + 0.25 * rng.normal(size=64))) for i in range(1200)]
+    asked = [(f"q{i}", "o", "text", unit(centres[i] + 0.25 * rng.normal(size=64))) for i in range(40)]
+    vectors = spark.createDataFrame(rows, "org_id string, modality string, chunk_id string, file_id string, embedding array<float>")
+    queries = spark.createDataFrame(asked, "qid string, org_id string, modality string, embedding array<float>")
+    pairs = lambda df: {(r["qid"], r["chunk_id"]) for r in df.select("qid", "chunk_id").collect()}
+    exact, near = pairs(dense.dense_topk(queries, vectors, k=10)), pairs(dense.dense_topk_lsh(queries, vectors, k=10))
+    assert len(exact & near) >= 0.9 * len(exact)
+    model = BucketedRandomProjectionLSH(inputCol="_v", outputCol="_h", bucketLength=1.25 / 8, numHashTables=32, seed=42).fit(
+        vectors.select(array_to_vector("embedding").alias("_v")))
+    met = dense.lsh_cells(vectors, model, 8, 4).select("chunk_id", "_cell").join(
+        dense.lsh_cells(queries, model, 8, 4).select("qid", "_cell"), "_cell").select("qid", "chunk_id").distinct().count()
+    assert met < 0.2 * len(rows) * len(asked)
