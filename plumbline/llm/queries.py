@@ -2,7 +2,8 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import decontamination, html_extraction, near_dedup, packing, pseudonyms, quality_classifier, quality_rules, sql, suffix_dedup, url_filters, warc
+from plumbline.llm import (
+    decontamination, html_extraction, near_dedup, packing, pseudonyms, quality_classifier, quality_rules, sql, suffix_dedup, url_filters, warc)
 from plumbline.llm.common import load
 
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -67,5 +68,7 @@ def op10_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
                                             for kind in pseudonyms.KINDS])
 
 
-QUERIES = {q.__name__: q for q in (op1_suffix_dedup, op2_decontamination, op3_quality_classifier, op4_packing, op5_near_dedup, op6_quality_rules, op7_url_filters, op8_html_extraction, op9_warc, op10_pseudonyms)}
+QUERIES = {q.__name__: q for q in (
+    op1_suffix_dedup, op2_decontamination, op3_quality_classifier, op4_packing, op5_near_dedup, op6_quality_rules, op7_url_filters,
+    op8_html_extraction, op9_warc, op10_pseudonyms)}
 SQL = {"op2_decontamination": sql.DECONTAMINATION, "op7_url_filters": sql.URL_FILTERS, "op9_warc": sql.WARC}
