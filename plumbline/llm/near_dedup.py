@@ -43,47 +43,69 @@ def signatures(sets: list[np.ndarray], m: int, lazy_steps: int = 6) -> np.ndarra
     one element never share a rank.  A slot keeps its least value.  A set stops as soon as all its slots hold a value
     of an earlier step, which takes about m ln(m) / n steps.  A value is rank and fraction in one integer.
     """
-    sizes = np.array([len(s) for s in sets])
     out = np.full((len(sets), m), U(0xFFFFFFFFFFFFFFFF))
-    slots = out.reshape(-1)
     element = np.concatenate(sets) if len(sets) else np.zeros(0, U)
-    owner = np.repeat(np.arange(len(sets), dtype=np.int64), sizes)
+    owner = np.repeat(np.arange(len(sets), dtype=np.int64), [len(s) for s in sets])
     swaps: list[np.ndarray] = []
-    table = None
-    for j in range(m):
+    for j in range(min(lazy_steps, m)):
+        value, to = _draw(element, j, m)
+        slot = to.copy()  # the permutation after few swaps, followed backwards
+        for i in range(j - 1, -1, -1):
+            slot[swaps[i] == slot] = i
+        swaps.append(to)
+        keep = _lower(out, owner, slot, value, j)
+        element, owner, swaps = element[keep], owner[keep], [s[keep] for s in swaps]
         if not len(element):
-            break
-        z = mix(element + np.array([j + 1], U) * GOLDEN)
-        to = j + ((mix(z ^ GOLDEN) >> U(32)) * U(m - j) >> U(32)).astype(np.int32)
-        if table is None:  # the permutation after few swaps, followed backwards
-            slot = to.copy()
-            for i in range(j - 1, -1, -1):
-                slot[swaps[i] == slot] = i
-            swaps.append(to)
-        else:
-            rows = np.arange(len(to))
-            slot = table[rows, to]
-            table[rows, to] = table[:, j]
-        np.minimum.at(slots, owner * m + slot, U(j) << U(52) | z >> U(12))
-        going = (out[np.unique(owner)].max(axis=1) >> U(52)) > U(j)
-        live = np.zeros(len(sets), bool)
-        live[np.unique(owner)] = going
-        keep = live[owner]
-        if not keep.all():
-            element, owner = element[keep], owner[keep]
-            swaps = [s[keep] for s in swaps]
-            table = table[keep] if table is not None else None
-        if table is None and j + 1 == lazy_steps and len(element):
-            table = np.tile(np.arange(m, dtype=np.int16), (len(element), 1))
-            rows = np.arange(len(element))
-            for i, s in enumerate(swaps):
-                held = table[rows, s]
-                table[rows, s] = table[:, i]
-                table[:, i] = held
-            swaps = []
+            return out
+    # the rest are short sets; whole permutations of their elements are held for a part of them at a time
+    cuts = np.flatnonzero(np.diff(owner)) + 1
+    begin = 0
+    while begin < len(element):
+        end = cuts[np.searchsorted(cuts, begin + TABLE_ROWS, "right") - 1] if len(element) - begin > TABLE_ROWS and len(cuts) else len(element)
+        end = end if end > begin else (cuts[cuts > begin][0] if (cuts > begin).any() else len(element))
+        _follow(out, element[begin:end], owner[begin:end], [s[begin:end] for s in swaps], m)
+        begin = end
     return out
 
 
+#: Rows of the table of whole permutations, 2 bytes a slot.
+TABLE_ROWS = 40_000
+
+
+def _draw(element: np.ndarray, j: int, m: int) -> tuple[np.ndarray, np.ndarray]:
+    """Value of each element's step j, and the place it swaps with place j."""
+    z = mix(element + np.array([j + 1], U) * GOLDEN)
+    return U(j) << U(52) | z >> U(12), j + ((mix(z ^ GOLDEN) >> U(32)) * U(m - j) >> U(32)).astype(np.int32)
+
+
+def _lower(out: np.ndarray, owner: np.ndarray, slot: np.ndarray, value: np.ndarray, j: int) -> np.ndarray:
+    """Lower the slots; which elements go on: those of sets with a slot that no step up to j has reached."""
+    np.minimum.at(out.reshape(-1), owner * out.shape[1] + slot, value)
+    own = np.unique(owner)
+    live = np.zeros(len(out), bool)
+    live[own] = (out[own].max(axis=1) >> U(52)) > U(j)
+    return live[owner]
+
+
+def _follow(out: np.ndarray, element: np.ndarray, owner: np.ndarray, swaps: list[np.ndarray], m: int) -> None:
+    table = np.tile(np.arange(m, dtype=np.int16), (len(element), 1))
+    rows = np.arange(len(element))
+    for i, s in enumerate(swaps):
+        held = table[rows, s]
+        table[rows, s] = table[:, i]
+        table[:, i] = held
+    for j in range(len(swaps), m):
+        value, to = _draw(element, j, m)
+        rows = np.arange(len(element))
+        slot = table[rows, to]
+        table[rows, to] = table[:, j]
+        keep = _lower(out, owner, slot, value, j)
+        if not keep.all():
+            element, owner, table = element[keep], owner[keep], table[keep]
+            if not len(element):
+                return
+
+
 def band_keys(sets: list[np.ndarray]) -> np.ndarray:
     """One 64-bit key per set and band."""
     sig = signatures(sets, BANDS * ROWS).reshape(len(sets), BANDS, ROWS)
