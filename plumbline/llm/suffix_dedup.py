@@ -208,7 +208,7 @@ def row_key(doc_id: Column, text: Column) -> Column:
 
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = 400,
-                   anchors: tuple[int, ...] = (64, 320, 392, 400), shard_bytes: int = 4 << 20, with_kept: bool = False) -> DataFrame:
+                   anchors: tuple[int, ...] = (64, 320, 392, 400), shard_bytes: int = 2 << 20, with_kept: bool = False) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and with ``with_kept`` the kept bytes.
 
     Each byte covered by a string of ``window`` bytes that also starts anywhere else in the table, the same text
