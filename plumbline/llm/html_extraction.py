@@ -36,9 +36,12 @@ ASIDE_WORDS = frozenset(
     "nav navbar navigation newsletter notice pagination popup promo promotion related reply respond share sharing sidebar signup social "
     "sponsor sponsored subscribe toolbar widget".split())
 MAIN_TAGS = frozenset(["article", "main"])
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]{0,8192}\"|'[^']{0,8192}'|[\"'])*+)>", re.S)
-ATTRIBUTE = re.compile(r"(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+#: Attributes as HTML reads them: a quote opens a value after "=" only, a value ends at its own quote however long it is; a
+#: quote that nothing closes is a character like others.
+VALUE = r"\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]++))"
+ATTRIBUTES = r"(?:[\s/]++|[^\s/>][^\s/>=]*+(?:" + re.sub(r"\((?!\?)", "(?:", VALUE) + r"|\s*+=)?+)*+"
+TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)({ATTRIBUTES})>", re.S)
+ATTRIBUTE = re.compile(rf"([^\s/>][^\s/>=]*+)(?:{VALUE}|\s*+=)?+")
 SPACE = re.compile(r"[ \t\n\r\f\v  -     　 \x85]+")
 BUCKETS = 512
 PRIOR, SMOOTH = 50.0, 50.0
@@ -99,7 +102,8 @@ def parse(html: str) -> Page:
             if name in CLOSES[tag]:
                 while len(stack) > k:
                     pop()
-        words = tuple(w for a in ATTRIBUTE.finditer(m[3]) for w in re.split(r"[^a-z0-9]+", (a[2] or a[3] or a[4] or "").lower()) if w) if m[3] else ()
+        words = tuple(w for a in ATTRIBUTE.finditer(m[3]) if a[1].lower() in ("class", "id", "role")
+                      for w in re.split(r"[^a-z0-9]+", (a[2] or a[3] or a[4] or "").lower()) if w) if m[3] else ()
         page.parent.append(stack[-1])
         page.tag.append(tag)
         page.words.append(words)

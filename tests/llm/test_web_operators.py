@@ -119,6 +119,21 @@ def test_parts_that_are_not_the_article(spark, table):
     assert he.extract(table(rows, PAGES), table([], PAGES)).count() == len(rows)
 
 
+@pytest.mark.parametrize("tag", ['<img src="data:image/png;base64,{}">', "<img data-x='{{\"a\": \"{}>\"}}' alt=\"b > c\">", "<a title=it's {}>five</a>",
+                                 '<img alt="{}" src=x" y>', "<img srcset = '{}'/>"])
+def test_long_attribute_values_are_one_tag(tag):
+    """Nothing after a value of 100 KB is swallowed and nothing of the value is text."""
+    page = he.parse("<article><p>one</p>" + tag.format("QUJD" * 25000) + '<p>don\'t <a href="y">two</a></p><p>a "three"</p></article><p>four</p>')
+    assert [run for _, _, run in page.runs if run != "five"] == ["one", "don't ", "two", 'a "three"', "four"]
+    assert [t for t in page.tag if t not in ("img", "a")] == ["#root", "article", "p", "p", "p", "p"]
+
+
+def test_odd_quotes():
+    page = he.parse('<p a=\'x>one</p><p a="x>two <b>three</b>')
+    assert [run for _, _, run in page.runs] == ["one", "two ", "three"]
+    assert he.parse('<p title="class=ad" data-id=menu href=?id=menu CLASS=x id = \'y\'>').words[1] == ("x", "y")
+
+
 def test_messages_give_the_exact_marginals():
     """Against the sum over all states of a small tree."""
     from itertools import product
