@@ -21,21 +21,25 @@ from plumbline.llm.common import pick
 
 #: Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = frozenset("script style head title noscript template svg math iframe object select textarea button".split())
-RAW = frozenset("script style title textarea noscript iframe".split())
+#: Text that a page never shows as reading matter: code, titles, controls, and the source notation beside a formula.
+HIDDEN = frozenset("script style head title template iframe select textarea button annotation annotation-xml desc metadata".split())
+RAW = frozenset("script style title textarea iframe".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 "
     "h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
           "tbody": {"tr", "td", "th", "thead", "tbody"}, "tfoot": {"tr", "td", "th", "tbody"}, "option": {"option"}}
 SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "tbody": {"table"}, "tfoot": {"table"}}
-#: Elements and class words that are not the article by their meaning; the prior of the model and of the page labels.
+#: Elements and class words that are not the article by their meaning; the prior of the model and of the page labels.  A
+#: class, id or role counts as a whole ("header", not "legal-header") and on containers alone: the ids of headings and
+#: paragraphs are slugs of their own text, and classes of cells and inline text are styles.
 ASIDE_TAGS = frozenset("nav header footer aside form menu dialog".split())
 ASIDE_WORDS = frozenset(
     "ad ads advert advertisement banner breadcrumb breadcrumbs comment comments cookie consent footer form header legal login masthead menu "
     "nav navbar navigation newsletter notice pagination popup promo promotion related reply respond share sharing sidebar signup social "
     "sponsor sponsored subscribe toolbar widget".split())
 MAIN_TAGS = frozenset(["article", "main"])
+NAMED = frozenset("address article center details dir div dl fieldset figure li ol section summary table ul".split())
 #: Attributes as HTML reads them: a quote opens a value after "=" only, a value ends at its own quote however long it is; a
 #: quote that nothing closes is a character like others.
 VALUE = r"\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]++))"
@@ -45,6 +49,8 @@ ATTRIBUTE = re.compile(rf"([^\s/>][^\s/>=]*+)(?:{VALUE}|\s*+=)?+")
 SPACE = re.compile(r"[ \t\n\r\f\v  -     　 \x85]+")
 BUCKETS = 512
 PRIOR, SMOOTH = 50.0, 50.0
+#: Sightings that the name of an aside part is worth, and the most that one class word tilts the log odds.
+NAME_PRIOR, WORD_MOST = 20.0, 2.0
 #: Text evidence says nothing below so many sightings, and tilts the odds by a factor of e to the MOST at most: many short
 #: paragraphs shall not outweigh the element they stand in.
 LEAST, MOST = 20, 1.0
@@ -103,7 +109,7 @@ def parse(html: str) -> Page:
                 while len(stack) > k:
                     pop()
         words = tuple(w for a in ATTRIBUTE.finditer(m[3]) if a[1].lower() in ("class", "id", "role")
-                      for w in re.split(r"[^a-z0-9]+", (a[2] or a[3] or a[4] or "").lower()) if w) if m[3] else ()
+                      for w in unescape(a[2] or a[3] or a[4] or "").lower().split()) if m[3] else ()
         page.parent.append(stack[-1])
         page.tag.append(tag)
         page.words.append(words)
@@ -122,19 +128,22 @@ def parse(html: str) -> Page:
 
 
 def labels(page: Page) -> np.ndarray:
-    """States that a page's own markup gives: inside an article or main element and not inside an aside part."""
+    """States that a page's own markup gives: inside an article or main element and not inside an aside part.  A part named
+    as aside that holds half of the text or more is the article under an unlucky name."""
     out = np.zeros(len(page.tag), bool)
-    main = np.zeros(len(page.tag), bool)
+    main = [-1] * len(page.tag)  # the outermost article or main element around
     cut = np.zeros(len(page.tag), bool)
+    chars, _ = _sizes(page)
     for i, up in enumerate(page.parent):
-        main[i] = page.tag[i] in MAIN_TAGS or (up >= 0 and main[up])
-        cut[i] = _aside(page, i) or (up >= 0 and cut[up])
-        out[i] = main[i] and not cut[i]
+        main[i] = main[up] if up >= 0 and main[up] >= 0 else i if page.tag[i] in MAIN_TAGS else -1
+        aside = page.tag[i] in ASIDE_TAGS or page.tag[i] in HIDDEN or main[i] >= 0 and _named(page, i) and 2 * chars[i] < chars[main[i]]
+        cut[i] = aside or (up >= 0 and cut[up])
+        out[i] = main[i] >= 0 and not cut[i]
     return out
 
 
-def _aside(page: Page, i: int) -> bool:
-    return page.tag[i] in ASIDE_TAGS or page.tag[i] in HIDDEN or any(w in ASIDE_WORDS for w in page.words[i])
+def _named(page: Page, i: int) -> bool:
+    return page.tag[i] in NAMED and any(w in ASIDE_WORDS for w in page.words[i])
 
 
 def masked(page: Page) -> Page:
@@ -144,16 +153,16 @@ def masked(page: Page) -> Page:
 
 
 def kinds(page: Page) -> list[str]:
-    """What the step into an element depends on: its tag, or that its class words name an aside part."""
-    return ["#aside" if any(w in ASIDE_WORDS for w in words) else tag for tag, words in zip(page.tag, page.words)]
+    """What the step into an element depends on: its tag, or that a container's class words name an aside part."""
+    return ["#aside" if _named(page, i) else tag for i, tag in enumerate(page.tag)]
 
 
 def _group(tag: str) -> str:
     return tag if tag in ("p", "li", "a", "div", "section") else "heading" if tag[:1] == "h" and tag[1:].isdigit() else "block" if tag in BLOCK else "inline"
 
 
-def evidence(page: Page) -> list[list[str]]:
-    """Evidence of every element: class words by hash, text length and link share of the subtree by kind of element."""
+def _sizes(page: Page) -> tuple[list[int], list[int]]:
+    """Characters of each element's subtree, and those of them inside links."""
     n = len(page.tag)
     chars, linked, inside = [0] * n, [0] * n, [False] * n
     for i in range(1, n):
@@ -165,12 +174,18 @@ def evidence(page: Page) -> list[list[str]]:
     for i in range(n - 1, 0, -1):
         chars[page.parent[i]] += chars[i]
         linked[page.parent[i]] += linked[i]
+    return chars, linked
+
+
+def evidence(page: Page) -> list[list[str]]:
+    """Evidence of every element: class words by hash, text length and link share of the subtree by kind of element."""
+    chars, linked = _sizes(page)
     out = []
-    for i in range(n):
+    for i in range(len(page.tag)):
         kind = _group(page.tag[i])
         share = linked[i] / chars[i] if chars[i] else 0.0
         out.append([f"len|{kind}|{min(6, (chars[i] + 15).bit_length() - 4) if chars[i] else 0}", f"link|{kind}|{math.ceil(share * 4)}",
-                    *{f"word|{xxhash.xxh32_intdigest(w) % BUCKETS}" for w in page.words[i] if w not in ASIDE_WORDS}])
+                    *{f"word|{xxhash.xxh32_intdigest(w) % BUCKETS}" for w in page.words[i]}])
     return out
 
 
@@ -204,7 +219,9 @@ class Model:
         if tag not in self._steps:
             c = np.array([[self.counts.get(f"step|{tag}|{p}|{y}", 0) for y in (0, 1)] for p in (0, 1)], float)
             c += np.array([[0.97, 0.03], [0.03, 0.97]])
-            if tag == "#aside" or tag in ASIDE_TAGS or tag in HIDDEN:
+            if tag == "#aside":
+                c[:, 0] += NAME_PRIOR
+            elif tag in ASIDE_TAGS or tag in HIDDEN:
                 c[:, 0] += PRIOR
             elif tag in MAIN_TAGS:
                 c[:, 1] += PRIOR
@@ -217,14 +234,13 @@ class Model:
             seen = [float(self.counts.get(f"{f}|{y}", 0)) for y in (0, 1)]
             name, kind, *_ = f.split("|")
             if name == "word":
-                w = [(seen[y] + 0.5) / (self.total[y] + 1) for y in (0, 1)] if sum(seen) >= LEAST else [1.0, 1.0]
+                w, most = [(seen[y] + 0.5) / (self.total[y] + 1) for y in (0, 1)], WORD_MOST
             else:
                 of = self.kinds.get(f"{name}|{kind}", [0.0, 0.0])
                 both = (sum(seen) + 0.1) / (sum(of) + 1.0)
-                w = [(seen[y] + SMOOTH * both) / (of[y] + SMOOTH) for y in (0, 1)]
-                tilt = float(np.clip(math.log(w[1] / w[0]), -MOST, MOST)) if sum(seen) >= LEAST else 0.0
-                w = [math.exp(-tilt / 2), math.exp(tilt / 2)]
-            self._weights[f] = np.log(w)
+                w, most = [(seen[y] + SMOOTH * both) / (of[y] + SMOOTH) for y in (0, 1)], MOST
+            tilt = float(np.clip(math.log(w[1] / w[0]), -most, most)) if sum(seen) >= LEAST else 0.0
+            self._weights[f] = np.array([-tilt / 2, tilt / 2])
         return self._weights[f]
 
 

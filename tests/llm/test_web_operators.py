@@ -134,6 +134,30 @@ def test_odd_quotes():
     assert he.parse('<p title="class=ad" data-id=menu href=?id=menu CLASS=x id = \'y\'>').words[1] == ("x", "y")
 
 
+ARTICLE = """<article><h1>Law</h1><p>The law of the land is a long story about many people.</p>{}<p>A last paragraph closes the matter.</p></article>"""
+NAMED = [('<h2 id="legal-history">History</h2>', "History"), ('<h2 id="Social_structure">Ranks</h2>', "Ranks"), ('<h3 id="comments">Remarks</h3>', "Remarks"),
+         ('<p class="form-intro">How to read on</p>', "How to read on"), ('<p class="notice">Take note</p>', "Take note"),
+         ('<section id="legal-notice"><h2>Rights</h2><p>All of them</p></section>', "Rights\nAll of them"), ('<table><tr><td class="header">cell</td></tr></table>', "cell"),
+         ('<p>E = <math><mi>m</mi><msup>c2</msup><annotation>mc^2</annotation></math></p>', "E = mc2"), ("<p>x <svg><title>t</title><text>axis</text></svg></p>", "x axis"),
+         ("<p><object>fallback</object> <noscript><b>plain</b></noscript></p>", "fallback plain"),
+         ('<div class="share"><p>Share this</p></div>', ""), ('<section class="comments"><p>Great article, I like it very much!</p></section>', ""),
+         ('<ul class="related"><li><a href=x>Other article</a><li><a href=y>One more</a></ul>', "")]
+
+
+def test_names_of_parts_are_whole_and_of_containers(spark, table):
+    rows = [(i, "u", ARTICLE.format(part)) for i, (part, _) in enumerate(NAMED)]
+    text = {r["page_id"]: r["text"] for r in he.extract(table(rows, PAGES), load(spark, SF_DIR, "pages")).collect()}
+    for i, (part, expected) in enumerate(NAMED):
+        assert text[i].split("\n")[2:-1] == [x for x in expected.split("\n") if x], part
+
+
+def test_names_are_learned(table):
+    """A name of an aside part that holds the article on the labelled pages is no reason against it."""
+    page = ARTICLE.format("").replace("<article>", '<article><div class="header">').replace("</article>", "</div></article>")
+    out = he.extract(table([(i, "u", page) for i in range(60)], PAGES)).collect()
+    assert {r["text"] for r in out} == {"Law\nThe law of the land is a long story about many people.\nA last paragraph closes the matter."}
+
+
 def test_messages_give_the_exact_marginals():
     """Against the sum over all states of a small tree."""
     from itertools import product
