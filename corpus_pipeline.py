@@ -8,22 +8,49 @@ from plumbline.llm.common import load, stage
 from plumbline.llm.queries import PSEUDONYM_KEY, tokenizer_path
 
 
+ROW = "_row_key"
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with a key of doc_id and text, nulls told apart: equal for rows that repeat both, different otherwise (64 bits:
+    of 100 million rows any two share one by chance with probability 3e-4)."""
+    return docs.withColumn(ROW, F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text"))
+
+
 def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rule and the learned decision list."""
-    judged = quality_rules.judge(docs, load(spark, sf_dir, "labels"))
-    return docs.join(judged.where("kept").select("doc_id").distinct(), "doc_id", "left_semi")
+    """Rows that pass the base rule and the learned decision list.
+
+    Every row is judged by its own text, also without doc_id or under a doc_id that comes again; repeated rows stay repeated.
+    """
+    rows = keyed(docs)
+    judged = quality_rules.judge(rows, load(spark, sf_dir, "labels"), row=ROW)
+    return rows.join(judged.where("kept").select(ROW).distinct(), ROW, "left_semi").select(*docs.columns)
 
 
 def keep_one_of_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest doc_id of each group of near duplicates."""
-    found = near_dedup.near_duplicates(docs)
-    return docs.join(found.where("kept").select("doc_id").distinct(), "doc_id", "left_semi")
+    """The smallest doc_id of each group of near duplicates.
+
+    Rows under one doc_id with different texts are documents of their own; near copies among them leave one.  Of rows that
+    repeat doc_id and text one is kept.  A row without doc_id is grouped with nothing else and kept.
+    """
+    rows = keyed(docs)
+    found = near_dedup.near_duplicates(rows.where("doc_id is not null"), doc_id=ROW).select(F.col("doc_id").alias(ROW), "component_id").distinct()
+    keys = rows.groupBy(ROW).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"))
+    grouped = keys.join(found, ROW, "left").groupBy(F.coalesce("component_id", ROW).alias("component_id"), F.col("doc_id").isNull())
+    chosen = stage(grouped.agg(F.min(F.struct("doc_id", ROW, "n")).alias("first")).select(f"first.{ROW}", "first.n"), "chosen")
+    once = rows.join(chosen.where("n = 1"), ROW, "left_semi")
+    repeated = rows.join(chosen.where("n > 1"), ROW, "left_semi").dropDuplicates([ROW])
+    return once.unionByName(repeated).select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark passage by the contract's rule."""
-    found = decontamination.summary(decontamination.find_benchmark(docs, load(spark, sf_dir, "benchmark")))
-    return docs.join(found.where(~F.col("contaminated")).select("doc_id").distinct(), "doc_id", "left_semi")
+    """Rows that hold no benchmark passage by the contract's rule.
+
+    Every row is judged by its own text, also without doc_id or under a doc_id that comes again; repeated rows stay repeated.
+    """
+    rows = keyed(docs)
+    found = decontamination.summary(decontamination.find_benchmark(rows, load(spark, sf_dir, "benchmark"), doc_id=ROW))
+    return rows.join(found.where(~F.col("contaminated")).select(F.col("doc_id").alias(ROW)).distinct(), ROW, "left_semi").select(*docs.columns)
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -181,19 +181,22 @@ def verdict(rules: list[Rule]) -> Column:
 
 
 def judge(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", quality: str = "quality",
-          **learning) -> DataFrame:
+          row: str | None = None, **learning) -> DataFrame:
     """Statistics and verdict of every row of ``docs`` (doc_id, the counts, base_failed, rule, kept).
 
     Null and empty texts have no words and fail the base rule.  Repeated rows are judged each; a document with several
     labels counts as bad if any says 0; null labels and labels without a document are ignored.  Without labelled rows
     the list is empty and only the base rule rejects.  ``rule`` is the text of the rejecting rule, null if none.
+    A column named by ``row`` is handed on: it tells rows apart that doc_id does not.
     """
-    stats = stage(text_statistics(pick(docs, doc_id=doc_id, _text=text), "_text").select("doc_id", *COUNTS), "statistics")
+    own = [row] if row else []
+    picked = pick(docs, doc_id=doc_id, _text=text, **{c: c for c in own})
+    stats = stage(text_statistics(picked, "_text").select("doc_id", *own, *COUNTS), "statistics")
     marks = (pick(labels, doc_id=doc_id, quality=quality).where("doc_id is not null and quality is not null")
              .groupBy("doc_id").agg((F.min("quality") == 0).alias("bad")))
     rules = learn(stats.join(marks, "doc_id").withColumn("prune", F.pmod(F.xxhash64("doc_id"), F.lit(3)) == 0)
                   .where(~base_failed()), **learning)
     names = F.array(*[F.lit(str(r)) for r in rules]) if rules else F.array().cast("array<string>")
     return (stats.withColumn("_rule", verdict(rules)).withColumn("base_failed", base_failed())
-            .select("doc_id", *BASE, "base_failed", (~F.col("base_failed") & F.col("_rule").isNull()).alias("kept"),
+            .select("doc_id", *own, *BASE, "base_failed", (~F.col("base_failed") & F.col("_rule").isNull()).alias("kept"),
                     F.get(names, F.col("_rule")).alias("rule"), *[c for c in COUNTS if c not in BASE]))

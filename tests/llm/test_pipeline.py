@@ -32,3 +32,47 @@ def test_stages(spark):
     packed = cp.STAGES[-1][1](spark, docs, SF_DIR)
     assert sorted(set(ids(packed))) == ids(docs)
     assert packed.groupBy("sequence_id").sum("length").where("`sum(length)` < 2048").count() <= 1
+
+
+def rows_of(df):
+    return sorted((str(r["doc_id"]), str(r["text"])) for r in df.select("doc_id", "text").collect())
+
+
+def odd_rows(spark, bad):
+    """Clean texts and a bad one without doc_id, under one doc_id, and repeated."""
+    docs = load(spark, SF_DIR, "documents")
+    good = [r["text"] for r in docs.join(load(spark, SF_DIR, "labels").where("quality = 1"), "doc_id", "left_semi").where("n_chars > 800").orderBy("doc_id").collect()]
+    kept = rows_of(decontaminated(spark, cp.reject_low_quality(spark, docs, SF_DIR)))
+    a, b, c, d = [t for t in dict.fromkeys(good) if any(t == k for _, k in kept)][:4]
+    rows = [(None, a), (7, b), (7, bad), (8, c), (8, c), (None, bad), (9, d), (None, a), (10, None), (None, None)]
+    return [(i, t, "en", "s", len(t or "")) for i, t in rows], docs.schema
+
+
+def decontaminated(spark, docs):
+    return cp.drop_contaminated(spark, docs, SF_DIR)
+
+
+def test_rows_without_doc_id_and_repeated_ones_are_judged_by_their_own_text(spark):
+    rows, schema = odd_rows(spark, "x")
+    after = rows_of(cp.reject_low_quality(spark, spark.createDataFrame(rows, schema), SF_DIR))
+    assert after == sorted((str(i), t) for i, t, *_ in rows if t not in ("x", None))
+    passage = load(spark, SF_DIR, "benchmark").first()["text"]
+    rows, schema = odd_rows(spark, passage)
+    after = rows_of(decontaminated(spark, spark.createDataFrame(rows, schema)))
+    assert after == sorted((str(i), str(t)) for i, t, *_ in rows if t != passage)
+
+
+def test_one_of_repeated_rows_is_kept(spark):
+    word = [f"w{i}" for i in range(200)]
+    x, y, z = " ".join(word), " ".join(reversed(word)), " ".join(word[::3] * 3)
+    rows = [(7, x), (7, y), (3, x + " end"), (8, z), (8, z), (None, x), (None, x), (None, y), (9, y), (5, ""), (6, None), (6, None), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], load(spark, SF_DIR, "documents").schema)
+    after = cp.keep_one_of_copies(spark, docs, SF_DIR)
+    assert after.columns == docs.columns
+    assert rows_of(after) == sorted((str(i), str(t)) for i, t in [(3, x + " end"), (7, y), (8, z), (None, x), (None, y), (5, ""), (6, None), (None, None)])
+
+
+def test_no_rows(spark):
+    docs = load(spark, SF_DIR, "documents").limit(0)
+    for name, step in cp.STAGES:
+        assert step(spark, docs, SF_DIR).count() == 0, name
