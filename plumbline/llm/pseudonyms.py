@@ -23,14 +23,18 @@ EPOCH, DAYS_SIDE = "1900-01-01", 270
 AREAS, GROUPS, SERIALS = 898, 99, 9999
 
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+#: Area code and groups of two digits, or three and then two: one separator throughout.
+PAIRS = "|".join(rf"{s}\d{{1,4}}(?:{s}\d{{3}}{s}\d\d{s}\d\d|(?:{s}\d\d){{3,4}})" for s in (" ", "-", r"\."))
 #: Candidates by kind, tried in this order.  Each starts at the border of a run, so that long runs are read once.
 KINDS: dict[str, str] = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*(?<=\.[A-Za-z]{2,24})",
     "secret": r"(?<![A-Za-z])(?i:token|secret|password|passwd|api_?key)\s{0,3}[=:]\s{0,3}\"[^\"\s]{8,128}\"",
     "iban": r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)",
-    "phone": r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?\(\d{3}\)[ .-]?\d{3}[ .-]?\d{4}(?!\w)|(?<![\w+])\+\d{1,3}[ .-]\d{2,4}[ .-]\d{3,4}[ .-]?\d{3,4}(?!\w|[.-]\d)"
-             r"|(?<![\w+])\+\d{8,15}(?!\w)|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?!\w|[.-]\d)",
-    "date": r"(?<![\w.-])(?:\d{4}([-/.])\d{1,2}\{ymd}\d{1,2}|\d{1,2}([-/.])\d{1,2}\{dmy}\d{4})(?!\w|[.-]\d)",
+    "phone": r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?\(\d{3}\)[ .-]?\d{3}[ .-]?\d{4}(?!\w)"
+             r"|(?<![\w+])\+\d{1,3}[ .-]\d{1,4}[ .-]\d{3,4}[ .-]?\d{3,4}(?!\w|[.-]\d)"
+             rf"|(?<![\w+])\+\d{{1,3}}(?:{PAIRS})(?!\w|[.-]\d)"
+             r"|(?<![\w+])\+\d{8,15}(?!\w)|(?<![\w.-])\d{3}(?:[.-]\d{3}[.-]| \d{3} )\d{4}(?!\w|[.-]\d)",
+    "date": r"(?<![\w.-])(?:\d{4}([-/.])\d{1,2}\{ymd}\d{1,2}|\d{1,2}([-/.])\d{1,2}\{dmy}\d{4})(?!(?![Tt]\d)\w|[.-]\d)",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
     "ip": rf"(?<![\w.])(?:{OCTET}\.){{3}}{OCTET}(?!\w|\.\d)",
     "card": r"(?<!\w)(?:\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{1,7}|\d{4}[ -]\d{6}[ -]\d{5}|\d{13,19})(?!\w)",
@@ -172,19 +176,29 @@ def _ssn(m: Column, key: str) -> Column:
         "-", pad(F.when(number(p) >= 665, number(p) + 2).otherwise(number(p) + 1), 3), pad(p["l"] % GROUPS + 1, 2), pad(p["r"] + 1, 4))))
 
 
+def _day(year: Column, month: Column, day: Column) -> Column:
+    return F.try_to_timestamp(F.concat_ws("-", F.lpad(year, 4, "0"), F.lpad(month, 2, "0"), F.lpad(day, 2, "0")), F.lit("yyyy-MM-dd")).cast("date")
+
+
 def _date(m: Column, key: str) -> Column:
+    """Day first where that is a calendar date, else month first; the new date is written in the same order."""
     first = F.substring(m, 1, 4).rlike(r"^\d{4}$")
     mark = F.regexp_extract(m, r"([-/.])", 1)
     parts = F.transform(F.split(m, "[-/.]"), lambda x: x)
 
     def new(p: Column) -> Column:
-        y, d = (F.when(first, F.get(p, 0)).otherwise(F.get(p, 2)), F.when(first, F.get(p, 2)).otherwise(F.get(p, 0)))
-        day = F.try_to_timestamp(F.concat_ws("-", F.lpad(y, 4, "0"), F.lpad(F.get(p, 1), 2, "0"), F.lpad(d, 2, "0")), F.lit("yyyy-MM-dd")).cast("date")
-        index = F.datediff(day, F.lit(EPOCH).cast("date"))
+        y = F.when(first, F.get(p, 0)).otherwise(F.get(p, 2))
+        day_first = _day(y, F.get(p, 1), F.when(first, F.get(p, 2)).otherwise(F.get(p, 0)))
+        month_first = F.when(~first, _day(y, F.get(p, 0), F.get(p, 1)))
+        return let(F.struct(day_first.alias("d"), month_first.alias("m")), shaped)
+
+    def shaped(found: Column) -> Column:
+        index = F.datediff(F.coalesce(found["d"], found["m"]), F.lit(EPOCH).cast("date"))
         pair = permute_pair(F.floor(index / DAYS_SIDE), index % DAYS_SIDE, DAYS_SIDE, DAYS_SIDE, key, "date")
         moved = let(pair, lambda s: F.date_add(F.lit(EPOCH).cast("date"), (s["l"] * DAYS_SIDE + s["r"]).cast("int")))
-        shaped = let(moved, lambda x: F.when(first, F.date_format(x, "yyyy-MM-dd")).otherwise(F.date_format(x, "dd-MM-yyyy")))
-        return F.when(index.between(0, DAYS_SIDE * DAYS_SIDE - 1), F.replace(shaped, F.lit("-"), mark))
+        written = let(moved, lambda x: F.when(first, F.date_format(x, "yyyy-MM-dd")).when(
+            found["d"].isNotNull(), F.date_format(x, "dd-MM-yyyy")).otherwise(F.date_format(x, "MM-dd-yyyy")))
+        return F.when(index.between(0, DAYS_SIDE * DAYS_SIDE - 1), F.replace(written, F.lit("-"), mark))
 
     return let(parts, new)
 
@@ -202,7 +216,7 @@ def _secret(m: Column, key: str) -> Column:
 
 REPLACE = {"email": _email, "secret": _secret, "iban": _iban, "phone": _phone, "date": _date, "ssn": _ssn, "ip": _ip, "card": _card}
 #: Which kind a candidate is; the order decides.
-SHAPES = {"email": "@", "secret": '"$', "iban": "^[A-Z]", "phone": r"^(\+|\()|^\d{3}[.-]\d{3}[.-]\d{4}$",
+SHAPES = {"email": "@", "secret": '"$', "iban": "^[A-Z]", "phone": r"^(\+|\()|^\d{3}[ .-]\d{3}[ .-]\d{4}$",
           "date": r"^(\d{4}[-/.]\d{1,2}[-/.]\d{1,2}|\d{1,2}[-/.]\d{1,2}[-/.]\d{4})$", "ssn": r"^\d{3}-\d\d-\d{4}$", "ip": r"^\d+\.\d+\.\d+\.\d+$", "card": r"^\d"}
 
 

@@ -140,6 +140,24 @@ def test_pseudonyms(table):
     assert pseudonyms.pseudonymise(table([], DOCS), "key").count() == 0
 
 
+FORMS = {
+    "at 2021-03-04T10:00:00Z": "date", "12/31/2020": "date", "5-13-1999 x": "date", "+33 1 23 45 67 89": "phone", "+33.1.23.45.67.89": "phone",
+    "+61 2 9374 4000": "phone", "+41 44 668 18 00": "phone", "+47 22-12-34-56": None, "555 123 4567": "phone", "13/32/2020": None, "2021-03-04Tea": None}
+
+
+def test_forms_of_dates_and_phones(table):
+    alone = "2021-03-04 31/12/2020 +33 1 23 45 67 89 97.51.17.173 4845 1681 1440 7329 12 555-123-4567"
+    out = {r["doc_id"]: r for r in pseudonyms.pseudonymise(table([*enumerate([*FORMS, alone])], DOCS), "key").collect()}
+    for i, (t, kind) in enumerate(FORMS.items()):
+        assert [p["kind"] for p in out[i]["pseudonyms"]] == ([kind] if kind else []), t
+        assert (out[i]["text"] == t) == (kind is None)
+    values = {p["kind"]: p["value"] for p in reversed(out[len(FORMS)]["pseudonyms"])}
+    assert [p["kind"] for p in out[len(FORMS)]["pseudonyms"]] == ["date", "date", "phone", "ip", "card", "phone"]
+    assert out[0]["text"] == f"at {values['date']}T10:00:00Z" and out[3]["text"] == values["phone"]  # equal values stay linked
+    day, month, year = out[len(FORMS)]["pseudonyms"][1]["value"].split("/")
+    assert out[1]["text"] == f"{month}/{day}/{year}"
+
+
 def test_pair_network_is_a_permutation(spark):
     rows = spark.range(7 * 11).select((F.col("id") / 11).cast("int").alias("l"), (F.col("id") % 11).alias("r"))
     out = rows.select(pseudonyms.permute_pair(F.col("l"), F.col("r"), 7, 11, "k", "t").alias("p")).select("p.*").distinct()
