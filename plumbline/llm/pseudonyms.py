@@ -8,7 +8,7 @@ and the canonical value alone, so equal values stay equal across documents and d
 * IBAN: country kept, account part permuted by character class, check digits computed anew
 * US social security numbers: permuted within the valid ones; phones: country code kept, other digits permuted
 * IPv4 addresses: permuted within 32 bits; dates from 1900-01-01 on: permuted within 72,900 days, any notation
-* e-mail: local part permuted by character class, domain kept; secrets assigned in quotes: value permuted likewise
+* e-mail: local part permuted by character class, domain kept; secrets assigned in quotes of either kind, of 8 characters or more: value permuted likewise
 
 Numbers that fail their check stay as they are.
 """
@@ -28,7 +28,7 @@ PAIRS = "|".join(rf"{s}\d{{1,4}}(?:{s}\d{{3}}{s}\d\d{s}\d\d|(?:{s}\d\d){{3,4}})"
 #: Candidates by kind, tried in this order.  Each starts at the border of a run, so that long runs are read once.
 KINDS: dict[str, str] = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*(?<=\.[A-Za-z]{2,24})",
-    "secret": r"(?<![A-Za-z])(?i:token|secret|password|passwd|api_?key)\s{0,3}[=:]\s{0,3}\"[^\"\s]{8,128}\"",
+    "secret": r"(?<![A-Za-z])(?i:token|secret|password|passwd|api_?key)[\"']?\s{0,3}[=:]\s{0,3}(?:\"[^\"\s]{8,}+\"|'[^'\s]{8,}+')",
     "iban": r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)",
     "phone": r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?\(\d{3}\)[ .-]?\d{3}[ .-]?\d{4}(?!\w)"
              r"|(?<![\w+])\+\d{1,3}[ .-]\d{1,4}[ .-]\d{3,4}[ .-]?\d{3,4}(?!\w|[.-]\d)"
@@ -73,9 +73,8 @@ def permute_pair(left: Column, right: Column, a: int, b: int, key: str, kind: st
 
 def _shifted(text: Column, pad: Column, hexadecimal: Column) -> Column:
     """Every character moved within its class (digits, a-z, A-Z; or hex digits) by a byte of the pad; others stay."""
-    def char(i: Column, p: Column) -> Column:
-        c = F.substring(text, i, F.lit(1))
-        by = F.conv(F.substring(p, F.pmod((i - 1) * 2, F.lit(64)) + 1, F.lit(2)), 16, 10).cast("int")
+    def char(c: Column, i: Column, p: Column) -> Column:
+        by = F.conv(F.substring(p, F.pmod(i * 2, F.lit(64)) + 1, F.lit(2)), 16, 10).cast("int")
         at = F.ascii(c)
         moved = lambda first, n: F.chr(F.pmod(at - first + by, F.lit(n)) + first)
         return (F.when(hexadecimal, F.substring(F.lit(HEX), F.pmod(F.instr(F.lit(HEX), c) - 1 + by, F.lit(16)) + 1, F.lit(1)))
@@ -83,7 +82,7 @@ def _shifted(text: Column, pad: Column, hexadecimal: Column) -> Column:
                 .when(c.between("A", "Z"), moved(65, 26)).otherwise(c))
 
     return F.when(F.length(text) == 0, text).otherwise(let(pad, lambda p: F.array_join(
-        F.transform(F.sequence(F.lit(1), F.length(text)), lambda i: char(i, p)), "")))
+        F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c, i: char(c, i, p)), "")))
 
 
 def permute_text(value: Column, key: str, kind: str) -> Column:
@@ -209,14 +208,14 @@ def _email(m: Column, key: str) -> Column:
 
 
 def _secret(m: Column, key: str) -> Column:
-    lead = F.regexp_extract(m, '^([^"]*")', 1)
-    value = F.regexp_extract(m, '"(.*)"$', 1)
-    return F.concat(lead, permute_text(value, key, "secret"), F.lit('"'))
+    lead = F.length(F.regexp_extract(m, r"""^(\w+["']?\s*[=:]\s*["'])""", 1))
+    value = F.substring(m, lead + 1, F.length(m) - lead - 1)
+    return F.concat(F.substring(m, F.lit(1), lead), permute_text(value, key, "secret"), F.right(m, F.lit(1)))
 
 
 REPLACE = {"email": _email, "secret": _secret, "iban": _iban, "phone": _phone, "date": _date, "ssn": _ssn, "ip": _ip, "card": _card}
 #: Which kind a candidate is; the order decides.
-SHAPES = {"email": "@", "secret": '"$', "iban": "^[A-Z]", "phone": r"^(\+|\()|^\d{3}[ .-]\d{3}[ .-]\d{4}$",
+SHAPES = {"email": "@.*[A-Za-z]$", "secret": "[\"']$", "iban": "^[A-Z]", "phone": r"^(\+|\()|^\d{3}[ .-]\d{3}[ .-]\d{4}$",
           "date": r"^(\d{4}[-/.]\d{1,2}[-/.]\d{1,2}|\d{1,2}[-/.]\d{1,2}[-/.]\d{4})$", "ssn": r"^\d{3}-\d\d-\d{4}$", "ip": r"^\d+\.\d+\.\d+\.\d+$", "card": r"^\d"}
 
 
@@ -236,7 +235,7 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """All columns of ``docs`` with ``text`` rewritten, and ``pseudonyms``: array of (kind, value) put in.
 
     A null text stays null, an empty one empty, both without pseudonyms.  Rows are independent: repeated rows give equal
-    rows.  A column of the table named ``pseudonyms`` is replaced.  Texts without a digit or ``@`` or quote are skipped.
+    rows.  A column of the table named ``pseudonyms`` is replaced.  Texts without a digit or ``@`` or quoted value are skipped.
     """
     t = F.col(f"`{text}`")
 
@@ -248,7 +247,7 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
             F.transform(F.filter(n, lambda x: x["kind"].isNotNull()), lambda x: F.struct(x["kind"].alias("kind"), x["v"].alias("value"))).alias("found")))
 
     none = F.array().cast("array<struct<kind:string,value:string>>")
-    result = F.when(t.rlike('[0-9@"]'), let(F.regexp_extract_all(t, F.lit(PATTERN), F.lit(0)), lambda f: F.when(F.size(f) > 0, rewritten(f))))
+    result = F.when(t.rlike("""[0-9@"]|[=:]\\s{0,3}'"""), let(F.regexp_extract_all(t, F.lit(PATTERN), F.lit(0)), lambda f: F.when(F.size(f) > 0, rewritten(f))))
     out = docs.withColumn("_new", result)
     rest = [F.coalesce(F.col("_new.text"), F.col(f"`{c}`")).alias(c) if c == text else F.col(f"`{c}`")
             for c in docs.columns if c != "pseudonyms"]

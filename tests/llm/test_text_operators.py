@@ -158,6 +158,18 @@ def test_forms_of_dates_and_phones(table):
     assert out[1]["text"] == f"{month}/{day}/{year}"
 
 
+def test_forms_of_secrets(table):
+    jwt = "eyJhbGciOi." + "aB3_-x." * 56
+    forms = [f'token = "{jwt}"', f"{{'token': '{jwt}'}}", f'{{"api_key": "{jwt}", "n": 1}}', "password='it''s'", 'secret: "p@ss=\'w0rd1"', "token='short'",
+             'PASSWORD="' + "Ab1" * 20000 + '" end', "it's token 'of a kind'"]
+    out = {r["doc_id"]: r for r in pseudonyms.pseudonymise(table([*enumerate(forms)], DOCS), "key").collect()}
+    assert [[p["kind"] for p in out[i]["pseudonyms"]] for i in range(8)] == [["secret"]] * 3 + [[]] + [["secret"], [], ["secret"], []]
+    new = out[0]["text"][9:-1]
+    assert len(new) == len(jwt) > 400 and new != jwt and [out[i]["text"] for i in range(3)] == [f.replace(jwt, new) for f in forms[:3]]
+    assert re.fullmatch(r"secret: \"[a-z]@[a-z]{2}='[a-z]\d[a-z]{2}\d\"", out[4]["text"]) and out[4]["text"] != forms[4]
+    assert re.fullmatch(r'PASSWORD="(?:[A-Z][a-z]\d){20000}" end', out[6]["text"]) and forms[6] != out[6]["text"]
+
+
 def test_pair_network_is_a_permutation(spark):
     rows = spark.range(7 * 11).select((F.col("id") / 11).cast("int").alias("l"), (F.col("id") % 11).alias("r"))
     out = rows.select(pseudonyms.permute_pair(F.col("l"), F.col("r"), 7, 11, "k", "t").alias("p")).select("p.*").distinct()
