@@ -1,6 +1,11 @@
 """Staging, loading and grouping helpers of the corpus operators."""
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from plumbline.session import shared_folder
 
@@ -21,6 +26,41 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`").alias(name) for name, c in columns.items()])
 
 
+def running_total(rows: DataFrame, order: list[str], total: str, group: str | None = None, weight: str | None = None) -> DataFrame:
+    """``rows`` with ``total``: the weights (1 each) of all rows that come before it in ``order`` within its ``group``.
+
+    ``rows`` must be written already, ``group`` and ``weight`` hold no null.  Rows are range-sorted, a task each sums up its
+    range, and what came before the range is added by a join: a group of any size is spread over many ranges, as long as the
+    last column of ``order`` tells equal rows apart.  A range holds at most about a million rows.
+    """
+    spark, n = rows.sparkSession, rows.count()
+    ranges = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), n >> 10), n >> 20)
+    keys = [*([group] if group else []), *order]
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, last, at = TaskContext.get().partitionId(), None, 0
+        for batch in batches:
+            groups = batch.column(group).to_pylist() if group else [0] * batch.num_rows
+            weights = batch.column(weight).to_pylist() if weight else [1] * batch.num_rows
+            before = []
+            for g, w in zip(groups, weights):
+                if g != last:
+                    last, at = g, 0
+                before.append(at)
+                at += w
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([part] * batch.num_rows, pa.int32()), pa.array(before, pa.int64())],
+                                             [*batch.schema.names, "_range", total])
+
+    schema = StructType([*rows.schema.fields, StructField("_range", IntegerType()), StructField(total, LongType())])
+    ranged = stage(rows.repartitionByRange(ranges, *keys).sortWithinPartitions(*keys).mapInArrow(add_up, schema), "ranges")
+    own = [F.col(group) if group else F.lit(0).alias("_all")]
+    sums = ranged.groupBy(*own, "_range").agg((F.sum(weight) if weight else F.count("*")).alias("_sum"))
+    before = Window.partitionBy(group or "_all").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumn("_base", F.coalesce(F.sum("_sum").over(before), F.lit(0))).drop("_sum", "_all")
+    joined = ranged.join(sums, [group, "_range"] if group else ["_range"])
+    return joined.withColumn(total, F.col(total) + F.col("_base")).drop("_base", "_range")
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component) of an undirected graph given as ``a``, ``b``; the component is its smallest node.
 

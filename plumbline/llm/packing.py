@@ -9,10 +9,11 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import pick, stage
+from plumbline.llm.common import pick, running_total, stage
 
 DIMS, BITS, BUCKETS = 4, 12, 1024
 END_ID = 1
@@ -59,12 +60,14 @@ def hilbert_keys(points: np.ndarray, bits: int = BITS) -> np.ndarray:
 
 SYMBOLS = bytes(b for b in range(33, 127) if not chr(b).isalnum() and b != 39)
 TAIL = re.compile(b"(?<=[a-z])([" + re.escape(SYMBOLS) + rb"]+)(?=\s|$)")
+TAILED = re.compile(b"([A-Za-z]+)([" + re.escape(SYMBOLS) + b"]+)")
 
 
 def _chunked(text: bytes) -> list[bytes]:
     """Text between spaces.  The tokenizer lower-cases and parts letters from symbols: doing the first ahead, and the second
-    where symbols are frequent, leaves fewer different chunks.  Texts that may hold special tokens stay as they are."""
-    if b"<|" not in text:
+    where symbols are frequent, leaves fewer different chunks.  Texts that may hold special tokens stay as they are, and
+    so do those with marks that the tokenizer joins to an ASCII letter before it lower-cases (U+0300 to U+0338: byte CC)."""
+    if b"<|" not in text and b"\xcc" not in text:
         text = text.lower()
         if 30 * (len(text) - len(text.translate(None, SYMBOLS))) > len(text):
             text = TAIL.sub(rb" \1", text)
@@ -74,8 +77,8 @@ def _chunked(text: bytes) -> list[bytes]:
 class _Chunks(dict):
     """Number of each chunk seen; new ones are numbered on the way and noted in ``new``."""
 
-    def __init__(self):
-        super().__init__()
+    def __init__(self, known: list[bytes]):
+        super().__init__(zip(known, range(len(known))))
         self.new: list[bytes] = []
 
     def __missing__(self, chunk: bytes) -> int:
@@ -84,53 +87,96 @@ class _Chunks(dict):
         return number
 
 
+@cache
+def _tokenizer(path: str):
+    """One per worker process."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
 class Encoder:
-    """Token ids of texts.  The tokenizer drops white space, so that what stands between spaces is encoded by itself:
-    each such chunk once per cache life, all new ones of a batch in one call."""
+    """Token ids of texts.  The tokenizer drops white space, so that what stands between spaces is encoded by itself, each
+    such chunk once as long as it is held.  Chunks are held for one task and up to about ``held_bytes``: beyond it those
+    seen more than once stay, the most frequent first, in half of the room."""
 
-    def __init__(self, path: str, held: int = 600_000):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+    #: of a chunk besides its letters: object, table entry, number, place of its ids
+    ENTRY = 170
 
-        self.tokenizer, self.held = Tokenizer.from_file(path), held
+    def __init__(self, path: str, held_bytes: int = 40 << 20):
+        self.tokenizer, self.held_bytes = _tokenizer(path), held_bytes
         vocabulary = self.tokenizer.get_vocab()
         self.dtype = np.dtype("<u2" if len(vocabulary) <= 1 << 16 else "<u4")
         #: ids that end a word; where the vocabulary marks them, many plain words can be encoded as one text
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self._clear()
-
-    def _clear(self) -> None:
-        self.chunks = _Chunks()
-        self.chunks[b""] = 0  # stands for the end of a document
+        self.chunks = _Chunks([b""])  # stands for the end of a document
         self.pool = np.array([END_ID], self.dtype)
-        self.first, self.count = np.zeros(1, np.int32), np.ones(1, np.int32)
+        self.first, self.count, self.uses = np.zeros(1, np.int32), np.ones(1, np.int32), np.full(1, 2, np.int32)
+        self.size = 0
+
+    def _shrink(self) -> None:
+        names = list(self.chunks)
+        cost = np.fromiter(map(len, names), np.int64, len(names)) + self.ENTRY + self.count * self.dtype.itemsize
+        again = np.flatnonzero(self.uses[1:] > 1) + 1
+        again = again[np.argsort(-self.uses[again], kind="stable")]
+        kept = np.sort(np.append(again[np.cumsum(cost[again]) <= self.held_bytes // 2], 0))
+        self.chunks, self.size = _Chunks([names[i] for i in kept.tolist()]), int(cost[kept].sum())
+        count = self.count[kept]
+        first = np.cumsum(count) - count
+        self.pool = self.pool[np.repeat(self.first[kept] - first, count) + np.arange(count.sum())]
+        self.first, self.count, self.uses = first.astype(np.int32), count, np.maximum(self.uses[kept] // 2, 1)
+
+    def _words(self, words: list[bytes]) -> list[np.ndarray]:
+        """Ids of words of ASCII letters: encoded as one text where the vocabulary marks ends of words."""
+        if words and self.ends.any():
+            joined = np.array(self._ids([b" ".join(words)])[0], self.dtype)
+            after = np.flatnonzero(self.ends[joined]) + 1
+            if len(after) == len(words):
+                return np.split(joined, after[:-1])
+        return [np.array(i, self.dtype) for i in self._ids(words)]
 
     def _learn(self, new: list[bytes]) -> None:
-        plain = [c for c in new if c.isalpha()] if self.ends.any() else []  # bytes: ASCII letters only
-        joined = self._ids([b" ".join(plain)])[0] if plain else []
-        joined = np.array(joined, self.dtype)
-        after = np.flatnonzero(self.ends[joined]) + 1
-        if len(after) != len(plain):  # not one word end each
-            plain, joined, after = [], joined[:0], after[:0]
-        other = self._ids([c for c in new if not plain or not c.isalpha()])
-        count = np.empty(len(new), np.int64)
-        is_plain = np.fromiter((bool(plain) and c.isalpha() for c in new), bool, len(new))
-        count[is_plain] = np.diff(after, prepend=0)
-        count[~is_plain] = np.fromiter(map(len, other), np.int64, len(other))
-        first = np.empty(len(new), np.int64)
-        first[is_plain] = len(self.pool) + after - count[is_plain]
-        first[~is_plain] = len(self.pool) + len(joined) + np.cumsum(count[~is_plain]) - count[~is_plain]
-        self.pool = np.concatenate([self.pool, joined, np.fromiter(chain.from_iterable(other), self.dtype, int(count[~is_plain].sum()))])
-        self.first, self.count = np.concatenate([self.first, first.astype(np.int32)]), np.concatenate([self.count, count.astype(np.int32)])
+        """Chunks of letters, or of letters and symbols after them, take the ids of their letters and those of their symbols."""
+        learned = len(self.count)
+        parts, words, others = [], {}, {}
+        for chunk in new:
+            tailed = TAILED.fullmatch(chunk)
+            letters = tailed[1] if tailed else chunk if chunk.isalpha() else None  # isalpha of bytes: ASCII letters only
+            rest = tailed[2] if tailed else chunk if letters is None else None
+            if letters is not None and self.chunks.get(letters, learned) >= learned:
+                words[letters] = None
+            if rest is not None:
+                others[rest] = None
+            parts.append((letters, rest))
+        words = dict(zip(words, self._words(list(words))))
+        others = dict(zip(others, (np.array(i, self.dtype) for i in self._ids(list(others)))))
+        count, found = np.zeros(len(new), np.int32), []
+        for i, (letters, rest) in enumerate(parts):
+            if letters is not None:
+                ids = words.get(letters)
+                if ids is None:
+                    n = self.chunks[letters]
+                    ids = self.pool[self.first[n]:self.first[n] + self.count[n]]
+                found.append(ids)
+                count[i] += len(ids)
+            if rest is not None:
+                found.append(others[rest])
+                count[i] += len(others[rest])
+        self.first = np.concatenate([self.first, (len(self.pool) + np.cumsum(count) - count).astype(np.int32)])
+        self.count = np.concatenate([self.count, count])
+        self.uses = np.concatenate([self.uses, np.zeros(len(new), np.int32)])
+        self.pool = np.concatenate([self.pool, *found])
+        self.size += sum(map(len, new)) + self.ENTRY * len(new) + self.dtype.itemsize * int(count.sum())
 
     def _ids(self, texts: list[bytes]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         """Ids of each text, followed by END_ID."""
-        if len(self.chunks) > self.held or len(self.pool) > 20 * self.held:
-            self._clear()
+        if self.size > self.held_bytes:
+            self._shrink()
         words = [_chunked(t) for t in texts]
         for w in words:
             w.append(b"")
@@ -139,6 +185,7 @@ class Encoder:
         if self.chunks.new:
             self._learn(self.chunks.new)
             self.chunks.new = []
+        self.uses += np.bincount(at, minlength=len(self.uses)).astype(np.int32)
         count = self.count[at]
         ends = np.cumsum(count, dtype=np.int64)
         steps = np.repeat((self.first[at] - (ends - count)).astype(np.int32), count)
@@ -146,12 +193,6 @@ class Encoder:
         return np.split(ids, ends[np.cumsum(sizes)[:-1] - 1]) if texts else []
 
 
-@cache
-def encoder(path: str) -> Encoder:
-    """One per worker process: tasks that follow each other keep the chunks learned."""
-    return Encoder(path)
-
-
 def _keys(texts: list[bytes]) -> np.ndarray:
     return hilbert_keys(np.stack([point_of(t) for t in texts])) if texts else np.zeros(0, np.int64)
 
@@ -161,97 +202,67 @@ def _texts(batch: pa.RecordBatch) -> list[bytes]:
 
 
 def pack(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: str = "text", sequence: int = 2048,
-         part_bytes: int = 16 << 20, with_ids: bool = False) -> DataFrame:
+         with_ids: bool = False) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ``ids``).
 
-    Documents lie one after the other along the curve (ties by doc_id, then text) and are cut at every multiple of
-    ``sequence`` ids: every sequence but the last is full.  A null or empty text is the end id alone.  Repeated rows are
-    packed each.  A first pass over the texts finds range bounds of the curve, about one per ``part_bytes`` of text; the
-    second tokenises, shuffles by range and stores ids with their place in the range; the ranges' sizes give the place
-    in the whole.  Copies share a key but not a doc_id, so that large groups are split among ranges.
+    Documents lie one after the other along the curve (ties by doc_id, then ids) and are cut at every multiple of
+    ``sequence`` ids: every sequence but the last is full.  A null or empty text is the end id alone, a text of any length
+    is cut like others, repeated rows are packed each, and an empty table gives no piece.  Further columns are not read.
+    Texts are tokenised once and written; (key, doc_id, size) alone are range-sorted along the curve, running sizes give
+    each document its place in the whole, and the place is joined back to the ids.
     """
-    docs = pick(docs, doc_id=doc_id, text=text).select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
-
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = _texts(batch)
-            yield pa.RecordBatch.from_arrays([pa.array(_keys(texts)), batch.column("doc_id"), pa.array([len(t) for t in texts], pa.int64())],
-                                             ["key", "doc_id", "size"])
-
-    keys = stage(docs.mapInArrow(keyed, "key long, doc_id long, size long"), "curve")
-    n_parts = max(1, -(-(keys.agg(F.sum("size")).first()[0] or 0) // part_bytes))
-    ranged = keys.repartitionByRange(n_parts, "key", F.coalesce("doc_id", F.lit(-(1 << 63))))
-    first = F.min(F.struct("key", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc_id")))
-    low = sorted(tuple(r[1]) for r in ranged.groupBy(F.spark_partition_id()).agg(first).collect())  # a row per range
-    low_key, low_doc = np.array([k for k, _ in low], np.int64), np.array([d for _, d in low], np.int64)
+    docs = pick(docs, doc_id=doc_id, text=text).select(
+        F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
 
     def tokenised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer_path).encode
+        coder = Encoder(tokenizer_path)
         for whole in batches:
             for batch in _slices(whole):
                 texts = _texts(batch)
-                key = _keys(texts)
-                part = []
-                for k, d in zip(key.tolist(), batch.column("doc_id").to_pylist()):
-                    d = -(1 << 63) if d is None else d
-                    a, b = np.searchsorted(low_key, k, "left"), np.searchsorted(low_key, k, "right")
-                    part.append(max(0, int(a + np.searchsorted(low_doc[a:b], d, "right")) - 1))
-                ids = encode(texts)
+                raw = [i.tobytes() for i in coder.encode(texts)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(part, pa.int32()), pa.array(key), batch.column("doc_id"), pa.array([len(i) for i in ids], pa.int64()),
-                     pa.array([i.tobytes() for i in ids], pa.binary())], ["part", "key", "doc_id", "n", "ids"])
-
-    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, at = None, 0
-        for batch in batches:
-            places = []
-            for p, n in zip(batch.column("part").to_pylist(), batch.column("n").to_pylist()):
-                part, at = p, at if p == part else 0
-                places.append(at)
-                at += n
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("part", "doc_id", "n", "ids")), pa.array(places, pa.int64())],
-                                             ["part", "doc_id", "n", "ids", "place"])
-
-    rows = (docs.mapInArrow(tokenised, "part int, key long, doc_id long, n long, ids binary")
-            .repartition(n_parts, "part").sortWithinPartitions("part", "key", "doc_id", "ids"))
-    rows = stage(rows.mapInArrow(placed, "part int, doc_id long, n long, ids binary, place long"), "packed")
-    sizes = sorted(tuple(r) for r in rows.groupBy("part").agg(F.sum("n")).collect())  # a row per range
-    base, total = {}, 0
-    for p, n in sizes:
-        base[p], total = total, total + n
+                    [batch.column("row"), pa.array(_keys(texts)), batch.column("doc_id"),
+                     pa.array([len(i) // coder.dtype.itemsize for i in raw], pa.int64()), pa.array([zlib.crc32(i) for i in raw], pa.int64()),
+                     pa.array([coder.dtype.itemsize] * len(raw), pa.int32()), pa.array(raw, pa.binary())],
+                    ["row", "key", "doc_id", "n", "mark", "width", "ids"])
+                del texts, raw
+
+    rows = stage(docs.mapInArrow(tokenised, "row long, key long, doc_id long, n long, mark long, width int, ids binary"), "tokens")
+    places = running_total(rows.select("row", "key", "doc_id", "mark", "n"), ["key", "doc_id", "mark", "row"], "begin", weight="n")
+    placed = rows.select("row", "doc_id", "n", "width", "ids").join(places.select("row", "begin"), "row")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        width = encoder(tokenizer_path).dtype
-        for batch in batches:
-            out: list[tuple] = []
-            pieces = []
-            for p, doc, n, raw, place in zip(*(batch.column(c).to_pylist() for c in ("part", "doc_id", "n", "ids", "place"))):
-                ids, begin = np.frombuffer(raw, width).astype("<u4"), base[p] + place
-                start = 0
-                while start < n:
-                    offset = (begin + start) % sequence
-                    length = min(n - start, sequence - offset)
-                    piece = ids[start:start + length]
-                    out.append((doc, start, length, zlib.crc32(piece.tobytes()), n, (begin + start) // sequence, offset))
-                    if with_ids:
-                        pieces.append(piece.astype(np.int32))
-                    start += length
-            columns = [pa.array(c, pa.int64()) for c in zip(*out)] if out else [pa.array([], pa.int64())] * 7
-            names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
-            if with_ids:
-                columns.append(pa.array(pieces, pa.list_(pa.int32())))
-                names.append("ids")
-            yield pa.RecordBatch.from_arrays(columns, names)
-
-    return rows.mapInArrow(cut, PIECES + (", ids array<int>" if with_ids else ""))
-
-
-def _slices(batch: pa.RecordBatch, text_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """A batch in slices of a few MB of text, so that ids of few documents are held at once."""
-    sizes = np.cumsum([len(t or b"") for t in batch.column("text").to_pylist()]) if batch.num_rows else np.zeros(0)
+        for whole in batches:
+            for batch in _slices(whole, "ids"):
+                out: list[tuple] = []
+                pieces = []
+                for doc, n, width, raw, begin in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n", "width", "ids", "begin"))):
+                    ids = np.frombuffer(raw, f"<u{width}").astype("<u4")
+                    start = 0
+                    while start < n:
+                        offset = (begin + start) % sequence
+                        length = min(n - start, sequence - offset)
+                        piece = ids[start:start + length]
+                        out.append((doc, start, length, zlib.crc32(piece.tobytes()), n, (begin + start) // sequence, offset))
+                        if with_ids:
+                            pieces.append(piece.astype(np.int32))
+                        start += length
+                columns = [pa.array(c, pa.int64()) for c in zip(*out)] if out else [pa.array([], pa.int64())] * 7
+                names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+                if with_ids:
+                    columns.append(pa.array(pieces, pa.list_(pa.int32())))
+                    names.append("ids")
+                yield pa.RecordBatch.from_arrays(columns, names)
+
+    return placed.mapInArrow(cut, PIECES + (", ids array<int>" if with_ids else ""))
+
+
+def _slices(batch: pa.RecordBatch, column: str = "text", slice_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of about a MB, so that values of few documents are held at once."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     at = 0
     while at < batch.num_rows:
         before = sizes[at - 1] if at else 0
-        end = max(at + 1, int(np.searchsorted(sizes, before + text_bytes, "right")))
+        end = max(at + 1, int(np.searchsorted(sizes, before + slice_bytes, "right")))
         yield batch.slice(at, end - at)
         at = end

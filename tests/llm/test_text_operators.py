@@ -60,13 +60,12 @@ def pack_rows():
         (504, "A!! B** " * 300), (505, "\u2003wide\u3000space\x1cx")] + [(1000 + i, "the very same copy") for i in range(300)]
 
 
-@pytest.mark.parametrize("part_bytes", [1 << 24, 2000])
-def test_packing_holds_every_id_once(table, part_bytes):
+def test_packing_holds_every_id_once(table):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(tokenizer_path())
     rows = pack_rows()
-    out = [r.asDict() for r in packing.pack(table(rows, DOCS), tokenizer_path(), part_bytes=part_bytes, with_ids=True).collect()]
+    out = [r.asDict() for r in packing.pack(table(rows, DOCS), tokenizer_path(), with_ids=True).collect()]
     pieces, sequences = defaultdict(list), defaultdict(list)
     for r in out:
         assert r["ids_crc32"] == zlib.crc32(np.array(r["ids"], "<u4").tobytes()) and r["length"] == len(r["ids"]) > 0
@@ -87,6 +86,20 @@ def test_packing_holds_every_id_once(table, part_bytes):
     assert packing.pack(table([], DOCS), tokenizer_path()).count() == 0
 
 
+def test_ids_of_any_unicode_text_whatever_is_held():
+    from tokenizers import Tokenizer
+
+    tok, random = Tokenizer.from_file(tokenizer_path()), np.random.default_rng(5)
+    marks = [chr(c) for c in (0x300, 0x308, 0x30C, 0x331, 0x338, 0x345, 0x1DC4, 0x20D7)]
+    pool = [*"abJTHIjtk AZ.!?'\"<>|=09 \n\t", *marks, *"éÉßſİıǰ中語한글अの𝔄𐐀", "\u00a0", "\u2003", "\x1c", "\ufb01", "'s ", "<|endoftext|>", "abc ", "Word. "]
+    texts = ["".join(random.choice(pool, random.integers(0, 40))) for _ in range(3000)] + ["J\u030c T\u0308 H\u0331 J\u0323\u030c", "=\u0338 abc=\u0338"]
+    for held in (1 << 30, 1 << 15):
+        coder = packing.Encoder(tokenizer_path(), held)
+        got = [i.tolist() for k in range(0, len(texts), 50) for i in coder.encode([t.encode() for t in texts[k:k + 50]])]
+        assert got == [[*tok.encode(t, add_special_tokens=False).ids, 1] for t in texts]
+        assert coder.size < held + 50 * 300 * 40  # never more than the bound and what one call adds
+
+
 def test_hilbert_neighbours_touch():
     grid = np.array([[i, j, k] for i in range(8) for j in range(8) for k in range(8)])
     keys = packing.hilbert_keys(grid + 0.0 - 4, bits=3)
