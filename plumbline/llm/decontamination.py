@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 from plumbline.llm.common import pick
 
@@ -74,7 +75,10 @@ def _merged(found: list[tuple[int, int]]) -> tuple[list[int], list[int]]:
 
 def _scan(docs: DataFrame, benchmark: list[tuple[str, bytes]], window: int) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(benchmark)
-    schema = "doc_id long, _text_hash long, n_words long, starts array<int>, ends array<int>, items array<string>"
+    own = [f for f in docs.schema.fields if f.name not in ("doc_id", "_text_hash", "text")]
+    numbers = ArrayType(IntegerType())
+    schema = StructType([StructField("doc_id", LongType()), StructField("_text_hash", LongType()), StructField("n_words", LongType()),
+                         StructField("starts", numbers), StructField("ends", numbers), StructField("items", ArrayType(StringType())), *own])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = searches(shared.value, window)
@@ -91,25 +95,27 @@ def _scan(docs: DataFrame, benchmark: list[tuple[str, bytes]], window: int) -> D
                 items.append(sorted(seen))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("_text_hash"), pa.array(n_words, pa.int64()), pa.array(starts, pa.list_(pa.int32())),
-                 pa.array(ends, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))],
-                ["doc_id", "_text_hash", "n_words", "starts", "ends", "items"])
+                 pa.array(ends, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string())), *(batch.column(f.name) for f in own)],
+                schema.names)
 
     return docs.mapInArrow(run, schema)
 
 
 def find_benchmark(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text",
                    item_id: str = "item_id", item_text: str = "text", window: int = WINDOW,
-                   group_bytes: int = 16 << 20) -> DataFrame:
+                   group_bytes: int = 16 << 20, row: str | None = None) -> DataFrame:
     """One row per document row: doc_id, n_words, the hit word runs (``starts``, ``ends``) and the ids of the ``items``
     with an occurring window.
 
     Only ``group_bytes`` of benchmark text are broadcast at a time: a larger benchmark is cut into groups by item, each
     searched over all documents, and the hits are merged.  Null or empty texts have no words and no hits; items without
     words are never found; a null item id is written as an empty string; a repeated item counts once; repeated
-    documents give repeated rows.
+    documents give repeated rows; texts of any length are searched whole; an empty table of either kind gives no hits.
+    A column named by ``row`` is handed on; others are not read.
     """
-    docs = pick(docs, doc_id=doc_id, text=text).select(
-        F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"), F.xxhash64("text").alias("_text_hash"))
+    own = [row] if row else []
+    docs = pick(docs, doc_id=doc_id, _text=text, **{c: c for c in own}).select(
+        F.col("doc_id").cast("long"), F.col("_text").cast("binary").alias("text"), F.xxhash64("_text").alias("_text_hash"), *own)
     bench = pick(benchmark, item=item_id, text=item_text).select(
         F.coalesce(F.col("item").cast("string"), F.lit("")).alias("item"), F.col("text").cast("binary").alias("text"))
     bench = bench.where("text is not null").distinct()
@@ -125,7 +131,7 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id"
         return first.drop("_text_hash")
     hits = first.where(F.size("starts") > 0)
     for i in range(1, n_groups):
-        hits = hits.unionByName(_scan(docs, group(i), window).where(F.size("starts") > 0))
+        hits = hits.unionByName(_scan(docs, group(i), window).where(F.size("starts") > 0))  # one more pass over the documents
     runs = F.array_distinct(F.flatten(F.collect_list(F.arrays_zip("starts", "ends"))))
     merged = hits.groupBy("doc_id", "_text_hash").agg(runs.alias("runs"), F.array_sort(
         F.array_distinct(F.flatten(F.collect_list("items")))).alias("_items"))
@@ -140,13 +146,13 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id"
     same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_text_hash") == F.col("_hash"))
     return first.join(merged, same, "left").select(
         "doc_id", "n_words", F.coalesce("_runs.starts", none.cast("array<int>")).alias("starts"),
-        F.coalesce("_runs.ends", none.cast("array<int>")).alias("ends"), F.coalesce("_items", none.cast("array<string>")).alias("items"))
+        F.coalesce("_runs.ends", none.cast("array<int>")).alias("ends"), F.coalesce("_items", none.cast("array<string>")).alias("items"), *own)
 
 
-def summary(found: DataFrame) -> DataFrame:
-    """Counts, item digest and verdict: contaminated from five words in a hundred."""
+def summary(found: DataFrame, row: str | None = None) -> DataFrame:
+    """Counts, item digest and verdict: contaminated from five words in a hundred.  A column named by ``row`` is handed on."""
     n_hit = F.aggregate(F.zip_with("ends", "starts", lambda e, s: (e - s).cast("long")), F.lit(0).cast("long"), lambda a, x: a + x)
     return found.withColumn("n_hit", n_hit).select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
-        ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
+        ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"), *([row] if row else []))

@@ -72,6 +72,20 @@ def test_one_of_repeated_rows_is_kept(spark):
     assert rows_of(after) == sorted((str(i), str(t)) for i, t in [(3, x + " end"), (7, y), (8, z), (None, x), (None, y), (5, ""), (6, None), (None, None)])
 
 
+def test_long_texts_and_clashing_columns(spark):
+    passage, text = load(spark, SF_DIR, "benchmark").first()["text"], load(spark, SF_DIR, "documents").where("n_chars > 3000").orderBy("doc_id").first()["text"]
+    other = " ".join(f"word{i}" for i in range(120_000))  # a MB
+    rows = [(1, text), (2, other), (3, other + " end"), (4, passage), (5, None), (6, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or ""), "own", "k", -1) for i, t in rows],
+                                 "doc_id long, text string, lang string, source string, n_chars long, whole string, _row_key string, id long")
+    for name, step in cp.STAGES[:-1]:
+        after = stage(step(spark, docs, SF_DIR), name)
+        assert after.columns == docs.columns and after.where("whole = 'own' and _row_key = 'k' and id = -1").count() == after.count(), name
+    assert set(ids(cp.reject_low_quality(spark, docs, SF_DIR))) <= {1, 2, 3, 4}
+    assert ids(cp.keep_one_of_copies(spark, docs, SF_DIR)) == [1, 2, 4, 5, 6]
+    assert ids(decontaminated(spark, docs)) == [1, 2, 3, 5, 6]
+
+
 def test_no_rows(spark):
     docs = load(spark, SF_DIR, "documents").limit(0)
     for name, step in cp.STAGES:
