@@ -1,6 +1,6 @@
 """Corpus preparation in stages.  Each stage takes (spark, docs, sf_dir), works on all documents its predecessor kept and
 is written before the next one reads it."""
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm import decontamination, near_dedup, packing, pseudonyms, quality_rules
@@ -8,59 +8,57 @@ from plumbline.llm.common import load, stage
 from plumbline.llm.queries import PSEUDONYM_KEY, tokenizer_path
 
 
-ROW = "_row_key"
-
-
-def keyed(docs: DataFrame) -> DataFrame:
-    """``docs`` with a key of doc_id and text, nulls told apart: equal for rows that repeat both, different otherwise (64 bits:
-    of 100 million rows any two share one by chance with probability 3e-4)."""
-    return docs.withColumn(ROW, F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text"))
+def whole(docs: DataFrame) -> Column:
+    """The row as one value: whatever its columns are named, nothing of an operator clashes with them."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that pass the base rule and the learned decision list.
 
     Every row is judged by its own text, also without doc_id or under a doc_id that comes again; repeated rows stay repeated.
+    Null and empty texts fail the base rule and go; texts of any length are judged whole; an empty table stays empty.
     """
-    rows = keyed(docs)
-    judged = quality_rules.judge(rows, load(spark, sf_dir, "labels"), row=ROW)
-    return rows.join(judged.where("kept").select(ROW).distinct(), ROW, "left_semi").select(*docs.columns)
+    rows = docs.select("doc_id", "text", whole(docs).alias("whole"))
+    return quality_rules.judge(rows, load(spark, sf_dir, "labels"), row="whole").where("kept").select("whole.*")
 
 
 def keep_one_of_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The smallest doc_id of each group of near duplicates.
 
     Rows under one doc_id with different texts are documents of their own; near copies among them leave one.  Of rows that
-    repeat doc_id and text one is kept.  A row without doc_id is grouped with nothing else and kept.
+    repeat doc_id and text one is kept.  A row without doc_id is grouped with nothing else and kept, and so is a row with a
+    null or empty text.  Texts of any length are compared whole; an empty table stays empty.
     """
-    rows = keyed(docs)
-    found = near_dedup.near_duplicates(rows.where("doc_id is not null"), doc_id=ROW).select(F.col("doc_id").alias(ROW), "component_id").distinct()
-    keys = rows.groupBy(ROW).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"))
-    grouped = keys.join(found, ROW, "left").groupBy(F.coalesce("component_id", ROW).alias("component_id"), F.col("doc_id").isNull())
-    chosen = stage(grouped.agg(F.min(F.struct("doc_id", ROW, "n")).alias("first")).select(f"first.{ROW}", "first.n"), "chosen")
-    once = rows.join(chosen.where("n = 1"), ROW, "left_semi")
-    repeated = rows.join(chosen.where("n > 1"), ROW, "left_semi").dropDuplicates([ROW])
-    return once.unionByName(repeated).select(*docs.columns)
+    rows = stage(docs.select(F.monotonically_increasing_id().alias("id"), whole(docs).alias("whole")), "rows")
+    text = F.coalesce(F.concat(F.lit("+"), F.col("whole.text")), F.lit("-"))
+    keys = rows.select("id", F.col("whole.doc_id").alias("doc_id"), F.md5(F.concat(F.coalesce(F.col("whole.doc_id").cast("string"), F.lit("")), text)).alias("same"))
+    found = near_dedup.near_duplicates(rows.where("whole.doc_id is not null").select("id", "whole.text"), doc_id="id")
+    found = found.where("n_shingles > 0").select(F.col("doc_id").alias("id"), F.col("component_id").cast("string").alias("near"))
+    first = keys.join(found, "id", "left").groupBy(F.coalesce("near", "same")).agg(F.min(F.struct("doc_id", "id")).alias("first"))
+    return rows.join(stage(first.select("first.id"), "chosen"), "id", "left_semi").select("whole.*")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that hold no benchmark passage by the contract's rule.
 
     Every row is judged by its own text, also without doc_id or under a doc_id that comes again; repeated rows stay repeated.
+    Null and empty texts hold no passage and stay; texts of any length are searched whole; an empty table stays empty.
     """
-    rows = keyed(docs)
-    found = decontamination.summary(decontamination.find_benchmark(rows, load(spark, sf_dir, "benchmark"), doc_id=ROW))
-    return rows.join(found.where(~F.col("contaminated")).select(F.col("doc_id").alias(ROW)).distinct(), ROW, "left_semi").select(*docs.columns)
+    rows = docs.select("doc_id", "text", whole(docs).alias("whole"))
+    found = decontamination.summary(decontamination.find_benchmark(rows, load(spark, sf_dir, "benchmark"), row="whole"), row="whole")
+    return found.where(~F.col("contaminated")).select("whole.*")
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts with pseudonyms; n_chars follows the new text."""
+    """Texts with pseudonyms; n_chars follows the new text.  Null texts stay null, empty ones empty, repeated rows repeated;
+    texts of any length are read whole; an empty table stays empty."""
     new = pseudonyms.pseudonymise(docs, PSEUDONYM_KEY)
     return new.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of token sequences."""
+    """Pieces of token sequences; a null or empty text is its end id alone, an empty table gives none."""
     return packing.pack(docs, tokenizer_path())
 
 
