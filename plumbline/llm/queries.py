@@ -3,7 +3,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm import (
-    decontamination, html_extraction, near_dedup, packing, pseudonyms, quality_classifier, quality_rules, sql, suffix_dedup, url_filters, warc)
+    decontamination, html_extraction, merkle, near_dedup, packing, pseudonyms, quality_classifier, quality_rules, sql, suffix_dedup, url_filters, warc)
 from plumbline.llm.common import load
 
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -19,7 +19,9 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.remove_repeats(load(spark, sf_dir, "documents"))
+    """The contract's columns and the text that is left; a character cut in two is U+FFFD there."""
+    found = suffix_dedup.remove_repeats(load(spark, sf_dir, "documents"), with_kept=True)
+    return found.withColumn("kept_text", F.make_valid_utf8(F.col("kept").cast("string"))).drop("kept")
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,7 +70,11 @@ def op10_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
                                             for kind in pseudonyms.KINDS])
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verify(load(spark, sf_dir, "documents"))
+
+
 QUERIES = {q.__name__: q for q in (
     op1_suffix_dedup, op2_decontamination, op3_quality_classifier, op4_packing, op5_near_dedup, op6_quality_rules, op7_url_filters,
-    op8_html_extraction, op9_warc, op10_pseudonyms)}
-SQL = {"op2_decontamination": sql.DECONTAMINATION, "op7_url_filters": sql.URL_FILTERS, "op9_warc": sql.WARC}
+    op8_html_extraction, op9_warc, op10_pseudonyms, op11_merkle_manifest)}
+SQL = {"op2_decontamination": sql.DECONTAMINATION, "op7_url_filters": sql.URL_FILTERS, "op9_warc": sql.WARC, "op11_merkle_manifest": sql.MANIFEST}
