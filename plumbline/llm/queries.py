@@ -3,7 +3,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm import (
-    decontamination, html_extraction, merkle, near_dedup, packing, pseudonyms, quality_classifier, quality_rules, sql, suffix_dedup, url_filters, warc, whitening)
+    decontamination, html_extraction, language_id, merkle, near_dedup, packing, pseudonyms, quality_classifier, quality_rules, sql, suffix_dedup, url_filters, warc, whitening)
 from plumbline.llm.common import load
 
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -78,7 +78,12 @@ def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(load(spark, sf_dir, "embeddings"))
 
 
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(load(spark, sf_dir, "documents"))
+
+
 QUERIES = {q.__name__: q for q in (
     op1_suffix_dedup, op2_decontamination, op3_quality_classifier, op4_packing, op5_near_dedup, op6_quality_rules, op7_url_filters,
-    op8_html_extraction, op9_warc, op10_pseudonyms, op11_merkle_manifest, op12_embedding_whitening)}
+    op8_html_extraction, op9_warc, op10_pseudonyms, op11_merkle_manifest, op12_embedding_whitening,
+    op13_language_id)}
 SQL = {"op2_decontamination": sql.DECONTAMINATION, "op7_url_filters": sql.URL_FILTERS, "op9_warc": sql.WARC, "op11_merkle_manifest": sql.MANIFEST}
