@@ -2,7 +2,7 @@
 from pyspark.sql import functions as F
 
 from plumbline.functions import intent, prompts
-from plumbline.operators import chat, dense, evaluation, fusion, models, sparse
+from plumbline.operators import chat, dense, evaluation, fusion, models, postings, sparse
 from plumbline.plans import retrieval
 from plumbline.schemas import MODALITIES
 from plumbline.session import shared_folder, spread
@@ -160,6 +160,25 @@ def bm25_topk(spark, d):
         "qid", "modality", "chunk_id", "score", "rnk")
 
 
+BM25_TOPK = SEARCHED + f"""SELECT qid, modality, chunk_id, score, rnk FROM (SELECT s.*, query, row_number() OVER (
+  PARTITION BY qid, modality ORDER BY score DESC, chunk_id) AS rnk FROM scored s JOIN q USING (qid) WHERE score <> 0)
+  WHERE rnk <= {sql.ADAPTIVE_K}"""
+
+
+@register("T2 J3", BM25_TOPK, ints="rnk")
+def bm25_topk_by_postings(spark, d):
+    """The same lists from stored posting blocks, cut by each query's floor; only files with the terms asked for are opened."""
+    found = postings.postings_topk(_asked(spark, d), tables.postings(spark, d), tables.index(spark, d).term_stats, max_k=45)
+    return found.select("qid", "modality", "chunk_id", "score", "rnk")
+
+
+@register("T2 J3", BM25_TOPK, ints="rnk")
+def bm25_topk_by_joined_postings(spark, d):
+    """The search used when the terms asked for lie in too many partitions to be named: blocks are found by joins alone."""
+    found = postings.postings_topk(_asked(spark, d), tables.postings(spark, d), tables.index(spark, d).term_stats, max_k=45, max_named=0)
+    return found.select("qid", "modality", "chunk_id", "score", "rnk")
+
+
 @register("T2", SEARCHED + """SELECT qid, modality, chunk_id, score, rnk FROM (SELECT *, row_number() OVER (
   PARTITION BY qid, modality ORDER BY score DESC, chunk_id) AS rnk FROM (SELECT q.qid, c.modality, c.chunk_id,
   coalesce(s.score, 0.0) AS score FROM q CROSS JOIN chunks c LEFT JOIN scored s USING (qid, modality, chunk_id)))

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.text import clean_text
 from plumbline.operators import chunking
+from plumbline.operators.postings import Postings, write_postings
 from plumbline.plans.retrieval import RetrievalIndex, write_index
 from plumbline.schemas import CHUNK_COLUMNS
 from plumbline.session import shared_folder, spread
@@ -13,6 +14,7 @@ ORG = "default"
 ANCHOR_WORDS = 4
 MAX_SHORT = 1000
 _indexes: dict[tuple[str, str], RetrievalIndex] = {}
+_postings: dict[tuple[str, str], Postings] = {}
 _qrels: dict[tuple[str, str], DataFrame] = {}
 
 
@@ -84,6 +86,14 @@ def index(spark: SparkSession, sf_dir: str) -> RetrievalIndex:
     return _indexes[key]
 
 
+def postings(spark: SparkSession, sf_dir: str) -> Postings:
+    """Stored posting blocks of :func:`index`, in small parts as the test tables are small."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _postings:
+        _postings[key] = write_postings(index(spark, sf_dir).forward, shared_folder(spark, "postings"), bucket_chunks=128, part_entries=50_000)
+    return _postings[key]
+
+
 def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "benchmark").select(
         F.col("item_id").cast("string").alias("qid"), F.lit(ORG).alias("org_id"), F.col("text").alias("query"))
