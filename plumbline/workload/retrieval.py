@@ -1,4 +1,6 @@
 """Registered queries: index tables, dense and sparse search, fusion, retrieval, evaluation, models, prompts."""
+import re
+
 from pyspark.sql import functions as F
 
 from plumbline.functions import intent, prompts
@@ -413,37 +415,53 @@ def judged_pairs(spark, d):
     return tables.find_qrels(spark, d)
 
 
+#: A stored passage for every query: another query's words, many times, so that an expanded query lies elsewhere.
+PASSAGES = """qp AS (SELECT q.qid, q.query || ' ' || repeat(o.query || ' ', 20) AS query
+  FROM q JOIN q o ON o.qid::BIGINT = (q.qid::BIGINT * 7 + 3) % (SELECT count(*) FROM q))"""
+
+
+def _passages(spark, d):
+    queries = tables.queries(spark, d).select("qid", "query")
+    n = queries.count()
+    other = queries.select(F.col("qid").cast("long").alias("o"), F.repeat(F.concat("query", F.lit(" ")), F.lit(20)).alias("passage"))
+    return queries.join(other, (F.col("qid").cast("long") * 7 + 3) % n == F.col("o")).select("qid", "passage")
+
+
 def _ablation_sql():
-    """Each mode ranks its own lists; without passages the two expansion settings agree."""
-    parts, modes = [], {"dense": "list_no = 0", "sparse": "list_no = 1", "hybrid": "true"}
-    lists = """dense_list AS (SELECT * FROM (SELECT qid, modality, chunk_id, row_number() OVER (PARTITION BY qid, modality
-  ORDER BY score DESC, chunk_id) AS rnk FROM nearest) WHERE rnk <= CASE modality WHEN 'image' THEN 20 ELSE 30 END),
-sparse_list AS (SELECT * FROM (SELECT qid, modality, chunk_id, row_number() OVER (PARTITION BY qid, modality
-  ORDER BY score DESC, chunk_id) AS rnk FROM scored WHERE score <> 0)
-  WHERE rnk <= CASE modality WHEN 'image' THEN 20 ELSE 30 END),
-both_lists AS (SELECT qid, modality, chunk_id, rnk, 0 AS list_no FROM dense_list
-  UNION ALL SELECT qid, modality, chunk_id, rnk, 1 FROM sparse_list)"""
-    for mode, keep in modes.items():
-        parts.append(f"""h_{mode} AS (SELECT *, row_number() OVER (PARTITION BY qid, modality ORDER BY s DESC, f, chunk_id)
+    """Each mode ranks its own lists; with expansion the dense list is that of query and passage."""
+    renamed = {"ce": "cx", "ce_c": "cx_c", "cn": "cxn", "qe": "qx", "qe_c": "qx_c", "qn": "qxn", "nearest": "nearest_x"}
+    expanded = re.sub(r"\b(" + "|".join(renamed) + r")\b", lambda m: renamed[m[1]], sql.dense(source="qp"))
+    cut = "<= CASE modality WHEN 'image' THEN 20 ELSE 30 END"
+    lists = [PASSAGES, expanded] + [f"""dense_list_{hyde} AS (SELECT * FROM (SELECT qid, modality, chunk_id, row_number() OVER (
+  PARTITION BY qid, modality ORDER BY score DESC, chunk_id) AS rnk FROM {nearest}) WHERE rnk {cut})"""
+        for hyde, nearest in (("false", "nearest"), ("true", "nearest_x"))]
+    lists.append(f"""sparse_list AS (SELECT * FROM (SELECT qid, modality, chunk_id, row_number() OVER (
+  PARTITION BY qid, modality ORDER BY score DESC, chunk_id) AS rnk FROM scored WHERE score <> 0) WHERE rnk {cut})""")
+    found = []
+    for hyde in ("false", "true"):
+        lists.append(f"""both_{hyde} AS (SELECT qid, modality, chunk_id, rnk, 0 AS list_no FROM dense_list_{hyde}
+  UNION ALL SELECT qid, modality, chunk_id, rnk, 1 FROM sparse_list)""")
+        for mode, keep in {"dense": "list_no = 0", "sparse": "list_no = 1", "hybrid": "true"}.items():
+            name = f"{mode}_{hyde}"
+            lists.append(f"""h_{name} AS (SELECT *, row_number() OVER (PARTITION BY qid, modality ORDER BY s DESC, f, chunk_id)
   AS rnk FROM (SELECT qid, modality, chunk_id, round(sum(1.0::DOUBLE / (60 + rnk)), 12) AS s,
-  min(list_no * 1000 + rnk) AS f FROM both_lists WHERE {keep} GROUP BY ALL)),
-x_{mode} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY s DESC, f, chunk_id) AS fused_rnk
+  min(list_no * 1000 + rnk) AS f FROM both_{hyde} WHERE {keep} GROUP BY ALL)),
+x_{name} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY s DESC, f, chunk_id) AS fused_rnk
   FROM (SELECT qid, chunk_id, round(sum({sql.CROSS_WEIGHT} / (60 + rnk)), 12) AS s, min({sql.LIST_NO} * 1000 + rnk) AS f
-  FROM h_{mode} JOIN q USING (qid) GROUP BY ALL)) WHERE fused_rnk <= 50),
-r_{mode} AS (SELECT * FROM (SELECT qid, doc_id, row_number() OVER (PARTITION BY qid ORDER BY {sql.overlap()} DESC,
-  fused_rnk) AS rnk FROM x_{mode} JOIN chunks USING (chunk_id) JOIN q USING (qid)) WHERE rnk <= 8)""")
-    union = " UNION ALL ".join(
-        f"SELECT '{m}' AS mode, qid, coalesce(min(rnk) <= 5, false)::INT::DOUBLE AS hit FROM (SELECT DISTINCT qid FROM qrels) "
-        f"LEFT JOIN (SELECT qid, rnk FROM r_{m} JOIN qrels USING (qid, doc_id)) USING (qid) GROUP BY qid" for m in modes)
-    return (sql.with_(sql.CORPUS, sql.QUERIES, sql.bm25(), sql.dense(), sql.QRELS, lists, *parts)
-            + f"""SELECT mode, hyde, round(avg(hit), 6) AS recall_at_5, count(*) AS n_queries FROM ({union}),
-  (VALUES (true), (false)) AS v(hyde) GROUP BY mode, hyde""")
+  FROM h_{name} JOIN q USING (qid) GROUP BY ALL)) WHERE fused_rnk <= 50),
+r_{name} AS (SELECT * FROM (SELECT qid, doc_id, row_number() OVER (PARTITION BY qid ORDER BY {sql.overlap()} DESC,
+  fused_rnk) AS rnk FROM x_{name} JOIN chunks USING (chunk_id) JOIN q USING (qid)) WHERE rnk <= 8)""")
+            found.append(f"""SELECT '{mode}' AS mode, {hyde} AS hyde, qid, coalesce(min(rnk) <= 5, false)::INT::DOUBLE AS hit
+  FROM (SELECT DISTINCT qid FROM qrels) LEFT JOIN (SELECT qid, rnk FROM r_{name} JOIN qrels USING (qid, doc_id)) USING (qid) GROUP BY qid""")
+    return (sql.with_(sql.CORPUS, sql.QUERIES, sql.bm25(), sql.dense(), sql.QRELS, *lists)
+            + f"SELECT mode, hyde, round(avg(hit), 6) AS recall_at_5, count(*) AS n_queries FROM ({' UNION ALL '.join(found)}) GROUP BY mode, hyde")
 
 
 @register("E5 A8", _ablation_sql())
 def ablation_grid(spark, d):
+    """Recall by mode, without and with expansion by stored passages."""
     queries = tables.queries(spark, d)
-    results = retrieval.ablation(queries, tables.index(spark, d), dim=tables.DIM)
+    results = retrieval.ablation(queries, tables.index(spark, d), _passages(spark, d), dim=tables.DIM)
     return retrieval.ablation_grid(results, queries, tables.qrels(spark, d))
 
 

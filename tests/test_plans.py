@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.operators import chat, dense
+from plumbline.plans import retrieval
 from plumbline.sources import store
 from plumbline.workload import operations, tables
 from plumbline.workload.catalog import ENTRIES
@@ -26,12 +27,24 @@ def test_ranks_are_cut_before_the_shuffle(spark):
     assert "WindowGroupLimit" in plan(chat.history_window(operations._messages(spark, SF_DIR)))
 
 
-def test_search_scans_in_place_and_prunes(spark):
-    index = tables.index(spark, SF_DIR)
+def below(df, node):
+    """The plan's lines under its one ``node``: those that follow it and stand further in."""
+    lines = plan(df).splitlines()
+    depth = lambda line: next((i for i, c in enumerate(line) if c.isalpha()), len(line))
+    [at] = [i for i, line in enumerate(lines) if line.lstrip(" :+-*()0123456789").startswith(node)][:1]
+    under = []
+    for line in lines[at + 1:]:
+        if depth(line) <= depth(lines[at]):
+            break
+        under.append(line)
+    return "\n".join(under)
+
+
+def test_search_scans_in_place_and_prunes(spark, tmp_path):
+    index = retrieval.write_index(tables.corpus_chunks(spark, SF_DIR), str(tmp_path), dim=16)
     asked = index.vectors.where("modality = 'image'").select(F.col("chunk_id").alias("qid"), "org_id", "modality", "embedding")
-    text = plan(dense.dense_topk(asked, index.vectors, k=3))
-    below = text[text.index("MapInArrow"):]
-    assert "Exchange" not in below and "modality" in below[below.index("PartitionFilters"):] and "image" in below
+    scan = below(dense.dense_topk(asked, index.vectors, k=3), "MapInArrow")
+    assert "Exchange" not in scan and "Scan parquet" in scan and "modality" in scan[scan.index("PartitionFilters"):] and "image" in scan
 
 
 def test_tenant_filter_reaches_the_scan(spark):
