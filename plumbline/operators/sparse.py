@@ -63,6 +63,11 @@ def term_stats(forward: DataFrame, stats: DataFrame, epsilon: float = BM25_EPSIL
     """
     df = forward.select(*GROUP, F.explode("terms").alias("term")).groupBy(*GROUP, "term").agg(
         F.count(F.lit(1)).alias("df"))
+    return with_idf(df, stats, epsilon)
+
+
+def with_idf(df: DataFrame, stats: DataFrame, epsilon: float = BM25_EPSILON) -> DataFrame:
+    """Term statistics from document frequencies (``org_id, modality, term, df``)."""
     raw = df.join(stats, GROUP).withColumn(
         "raw", F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     floor = raw.groupBy(*GROUP).agg((F.avg("raw") * epsilon).alias("floor"))

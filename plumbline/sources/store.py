@@ -109,17 +109,18 @@ def upsert(target: DataFrame, rows: DataFrame, keys: list[str],
     return joined.select(*[merged(c) for c in target.columns]).unionByName(inserts)
 
 
-def store_chunks(target: DataFrame, rows: DataFrame) -> DataFrame:
-    return upsert(target, rows, ["chunk_id"], ["content", "metadata"])
+def store_chunks(target: DataFrame, rows: DataFrame, keys: tuple = ("chunk_id",)) -> DataFrame:
+    return upsert(target, rows, list(keys), ["content", "metadata"])
 
 
-def store_embeddings(target: DataFrame, rows: DataFrame) -> DataFrame:
-    return upsert(target, rows.where(F.col("embedding").isNotNull()), ["chunk_id"], ["embedding"])
+def store_embeddings(target: DataFrame, rows: DataFrame, keys: tuple = ("chunk_id",)) -> DataFrame:
+    return upsert(target, rows.where(F.col("embedding").isNotNull()), list(keys), ["embedding"])
 
 
 def store_files(target: DataFrame, rows: DataFrame) -> DataFrame:
-    """A file uploaded again only goes back to ``processing``."""
-    return upsert(target, rows.withColumn("status", F.lit("processing")), ["file_id"], {"status": F.lit("processing")})
+    """A file uploaded again only goes back to ``processing``.  Tenants may use the same file ids."""
+    keys = [c for c in ("org_id", "file_id") if c in target.columns and c in rows.columns]
+    return upsert(target, rows.withColumn("status", F.lit("processing")), keys, {"status": F.lit("processing")})
 
 
 def ensure_orgs(target: DataFrame, rows: DataFrame) -> DataFrame:
@@ -138,13 +139,15 @@ def create_sessions(target: DataFrame, rows: DataFrame, now: Column) -> DataFram
 
 
 def update_file_status(files: DataFrame, results: DataFrame, now: Column) -> DataFrame:
-    """Write back ``status, chunk_count, error`` per file; files without a result stay."""
-    new = results.select("file_id", F.col("status").alias("_s"), F.coalesce("chunk_count", F.lit(0)).alias("_n"),
+    """Write back ``status, chunk_count, error`` per file; files without a result stay.  Results with ``org_id`` are those of
+    their tenant's files alone."""
+    keys = [c for c in ("org_id", "file_id") if c in results.columns]
+    new = results.select(*keys, F.col("status").alias("_s"), F.coalesce("chunk_count", F.lit(0)).alias("_n"),
                          F.coalesce("error", F.lit("")).alias("_e"))
     hit = F.col("_s").isNotNull()
     pick = lambda column, name: F.when(hit, column).otherwise(F.col(name)).alias(name)
     changes = {"status": F.col("_s"), "chunk_count": F.col("_n").cast("int"), "error": F.col("_e"), "updated_at": now}
-    return files.join(new, "file_id", "left").select(
+    return files.join(new, keys, "left").select(
         *[pick(changes[c], c) if c in changes else F.col(c) for c in files.columns])
 
 

@@ -1,4 +1,6 @@
 """Structured Streaming jobs.  Aggregating ones take a batch or a streaming DataFrame alike."""
+import hashlib
+import uuid
 from typing import Iterator
 
 import numpy as np
@@ -14,6 +16,7 @@ from plumbline.operators.chat import touch_sessions
 from plumbline.schemas import CHUNK, CHUNK_COLUMNS, FILE
 from plumbline.session import remove_folder, shared_folder
 from plumbline.sources import store
+from plumbline.streaming import statistics as changes
 
 # Progress of ingestion stages, life of a cached answer, request limit.
 STAGE_PROGRESS = {"parsing": 5, "captioning": 25, "preparing": 40, "embedding": 45, "storing": 80, "indexing": 90,
@@ -36,6 +39,9 @@ INGEST_VECTOR = T.StructType([T.StructField(c, T.StringType()) for c in ("chunk_
                              + [T.StructField("bucket", T.IntegerType())])
 
 
+KEYS = [*GROUP, "chunk_id"]
+
+
 def _bucket(buckets: int) -> Column:
     return F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int")
 
@@ -46,19 +52,25 @@ def _stored(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
 
 
 def ingest_batch(documents: DataFrame, path: str, load=None, dim: int = 1024, buckets: int = BUCKETS,
-                 arrival: str | None = None, describe=None) -> None:
+                 arrival: str | None = None, describe=None, statistics: str = "whole", batch: str | None = None) -> None:
     """Chunk, embed and upsert one batch of ``doc_id, section_id, text, org_id, file_id``; refresh BM25 statistics and
     the status of its files.
 
     Sections with ``tables`` and ``images`` (as :func:`plumbline.sources.readers.read_corpus` gives them) are chunked
     in all modalities.  A section that comes twice in a batch counts once: the last by the column ``arrival``, or
     without one the greatest text.  Tables are split by tenant, modality and a bucket of the document, and only the
-    touched parts are rewritten, so one busy tenant is not rewritten whole.  Upserts go by chunk id: a batch that runs
-    again changes nothing.
+    touched parts are rewritten, so one busy tenant is not rewritten whole.  Upserts go by tenant and chunk id: a batch that
+    runs again changes nothing, and tenants may use the same document and file ids.
+
+    ``statistics``: ``whole`` recounts the touched tenants and modalities into ``corpus_stats`` and ``term_stats``; ``changes`` appends
+    what the batch changes (:mod:`plumbline.streaming.statistics`), under the name ``batch``: a batch that may run again must
+    bring one.
     """
+    if statistics not in ("whole", "changes"):
+        raise ValueError(f"statistics: {statistics}")
     spark = documents.sparkSession
     arrived = shared_folder(spark, "arrived")
-    last = store.latest(documents, ["doc_id", "section_id"], F.col(arrival or "text"))
+    last = store.latest(documents, ["org_id", "doc_id", "section_id"], F.col(arrival or "text"))
     (last.drop(arrival) if arrival else last).write.parquet(arrived)
     documents = spark.read.parquet(arrived)
     whole_sections = {"tables", "images", "caption"} <= set(documents.columns)
@@ -71,7 +83,7 @@ def ingest_batch(documents: DataFrame, path: str, load=None, dim: int = 1024, bu
 
     def merge(name, schema, rows, rule):
         table = _stored(spark, f"{path}/{name}", schema).join(touched, PLACE, "left_semi").select(*schema.names)
-        store.replace_partitions(rule(table, rows.select(*schema.names)), f"{path}/{name}", PLACE)
+        store.replace_partitions(rule(table, rows.select(*schema.names), KEYS), f"{path}/{name}", PLACE)
 
     _register_files(documents, path)
 
@@ -79,11 +91,20 @@ def ingest_batch(documents: DataFrame, path: str, load=None, dim: int = 1024, bu
     vectors = models.embed_job(fresh.select("chunk_id", "file_id", "content", *PLACE), load, dim)
     merge("vectors", INGEST_VECTOR, vectors, store.store_embeddings)
     changed = spark.read.schema(INGEST_CHUNK).parquet(f"{path}/chunks").join(touched, PLACE, "left_semi")
-    forward = sparse.forward_index(changed, keep=("bucket",))
-    store.replace_partitions(forward, f"{path}/forward", PLACE)
-    _renew_statistics(spark, path, forward.schema, touched)
+    counted = shared_folder(spark, "counted")
+    if statistics == "whole":
+        forward = sparse.forward_index(changed, keep=("bucket",))
+        store.replace_partitions(forward, f"{path}/forward", PLACE)
+        _renew_statistics(spark, path, forward.schema, touched)
+    else:  # only what came is counted
+        sparse.forward_index(changed.join(fresh.select(*KEYS), KEYS, "left_semi"), keep=("bucket",)).write.parquet(counted)
+        new = spark.read.parquet(counted)
+        new = spark.read.schema(_as_text(new.schema)).parquet(counted)
+        old = _stored(spark, f"{path}/forward", new.schema).join(touched, PLACE, "left_semi").select(*new.columns)
+        changes.record(spark, path, batch or uuid.uuid4().hex, new, old.join(new.select(*KEYS), KEYS, "left_semi"))
+        store.replace_partitions(old.join(new.select(*KEYS), KEYS, "left_anti").unionByName(new), f"{path}/forward", PLACE)
     _finish_files(documents, path)
-    for folder in (staged, arrived):
+    for folder in (staged, arrived, counted):
         remove_folder(spark, folder)
 
 
@@ -120,7 +141,7 @@ def _finish_files(documents: DataFrame, path: str) -> None:
     files = documents.select("file_id", "org_id").distinct()
     chunks = spark.read.schema(INGEST_CHUNK).parquet(f"{path}/chunks").join(files, ["org_id", "file_id"], "left_semi")
     counted = files.join(store.file_chunk_counts(chunks), ["org_id", "file_id"], "left")
-    results = counted.select("file_id", "chunk_count",
+    results = counted.select("org_id", "file_id", "chunk_count",
                              F.when(F.col("chunk_count").isNull(), "error").otherwise("indexed").alias("status"),
                              F.when(F.col("chunk_count").isNull(), "No chunks extracted").alias("error"))
     known = _files(spark, path).join(files.select("org_id").distinct(), "org_id", "left_semi").select(*INGEST_FILE.names)
@@ -128,9 +149,9 @@ def _finish_files(documents: DataFrame, path: str) -> None:
     store.replace_partitions(done.select(*INGEST_FILE.names), f"{path}/files", ["org_id"])
 
 
-def delete_stored_files(spark: SparkSession, path: str, doomed: DataFrame) -> None:
+def delete_stored_files(spark: SparkSession, path: str, doomed: DataFrame, statistics: str = "whole", batch: str | None = None) -> None:
     """Remove files (``org_id, file_id``) from an index that :func:`ingest_batch` wrote: chunks, vectors, forward rows
-    and file rows go, statistics are renewed, and partitions and groups that held nothing else vanish."""
+    and file rows go, statistics are renewed (as there), and partitions and groups that held nothing else vanish."""
     pair = ["org_id", "file_id"]
     doomed = doomed.select(*pair).distinct()
     chunks = spark.read.schema(INGEST_CHUNK).parquet(f"{path}/chunks")
@@ -138,28 +159,38 @@ def delete_stored_files(spark: SparkSession, path: str, doomed: DataFrame) -> No
     chunks.join(doomed, pair, "left_semi").select(*PLACE).distinct().write.parquet(kept_in)
     touched = spark.read.schema(T.StructType([INGEST_CHUNK[c] for c in PLACE])).parquet(kept_in)
     forward_schema = read_placed(spark, f"{path}/forward").schema
+    if statistics == "changes":
+        gone = spark.read.schema(forward_schema).parquet(f"{path}/forward").join(touched, PLACE, "left_semi").join(doomed, pair, "left_semi")
+        changes.record(spark, path, batch or uuid.uuid4().hex, gone.limit(0), gone)
     for name, schema in (("chunks", INGEST_CHUNK), ("vectors", INGEST_VECTOR), ("forward", forward_schema)):
         table = spark.read.schema(schema).parquet(f"{path}/{name}").join(touched, PLACE, "left_semi").select(*schema.names)
         store.replace_partitions(table.join(doomed, pair, "left_anti").select(*schema.names), f"{path}/{name}", PLACE, touched)
-    _renew_statistics(spark, path, forward_schema, touched)
+    if statistics == "whole":
+        _renew_statistics(spark, path, forward_schema, touched)
     tenants = doomed.select("org_id").distinct()
     files = _files(spark, path).join(tenants, "org_id", "left_semi").select(*INGEST_FILE.names)
     store.replace_partitions(files.join(doomed, pair, "left_anti").select(*INGEST_FILE.names), f"{path}/files", ["org_id"], tenants)
     remove_folder(spark, kept_in)
 
 
+def _as_text(schema: T.StructType) -> T.StructType:
+    kinds = {"org_id": T.StringType(), "modality": T.StringType(), "bucket": T.IntegerType()}
+    return T.StructType([T.StructField(f.name, kinds.get(f.name, f.dataType)) for f in schema])
+
+
 def read_placed(spark: SparkSession, path: str) -> DataFrame:
     """A table of the ingested index with tenant and modality as text, whatever they look like."""
-    kinds = {"org_id": T.StringType(), "modality": T.StringType(), "bucket": T.IntegerType()}
-    fields = [T.StructField(f.name, kinds.get(f.name, f.dataType)) for f in spark.read.parquet(path).schema]
-    return spark.read.schema(T.StructType(fields)).parquet(path)
+    return spark.read.schema(_as_text(spark.read.parquet(path).schema)).parquet(path)
 
 
 def stream_ingest(documents: DataFrame, path: str, checkpoint: str, load=None, dim: int = 1024,
-                  buckets: int = BUCKETS, arrival: str | None = None, **trigger) -> StreamingQuery:
-    """Run :func:`ingest_batch` on every micro-batch of a stream of documents."""
+                  buckets: int = BUCKETS, arrival: str | None = None, statistics: str = "changes", **trigger) -> StreamingQuery:
+    """Run :func:`ingest_batch` on every micro-batch of a stream of documents.  Its changes of statistics are named by the
+    stream and the batch's number, so that a batch that runs again after a failure counts once."""
+    named = hashlib.md5(checkpoint.encode()).hexdigest()[:12]
     return (documents.writeStream.option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True}))
-            .foreachBatch(lambda batch, _: ingest_batch(batch, path, load, dim, buckets, arrival)).start())
+            .foreachBatch(lambda batch, number: ingest_batch(
+                batch, path, load, dim, buckets, arrival, statistics=statistics, batch=f"{named}-{number}")).start())
 
 
 # ---- status --------------------------------------------------------------------------------------------------------

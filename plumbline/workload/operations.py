@@ -6,6 +6,7 @@ from plumbline.schemas import CHAT_SESSION, ORG
 from plumbline.session import shared_folder
 from plumbline.sources import store
 from plumbline.streaming import jobs
+from plumbline.streaming import statistics as changes
 from plumbline.workload import sql, tables
 from plumbline.workload.registry import register
 
@@ -442,12 +443,12 @@ def streamed_messages(spark, d):
         "session_id", "n_messages", F.unix_seconds("updated_at").alias("updated"))
 
 
-def _ingested(spark, d):
+def _ingested(spark, d, statistics="whole"):
     path = shared_folder(spark, "ingested")
     doc = _str("doc_id")
     documents = _stream(spark, d, "documents").select(doc.alias("doc_id"), F.lit(0).alias("section_id"), "text",
                                                       F.col("lang").alias("org_id"), doc.alias("file_id"))
-    jobs.stream_ingest(documents, path, shared_folder(spark, "checkpoint"), dim=64, buckets=4).awaitTermination()
+    jobs.stream_ingest(documents, path, shared_folder(spark, "checkpoint"), dim=64, buckets=4, statistics=statistics).awaitTermination()
     return path
 
 
@@ -458,6 +459,28 @@ def streamed_ingest(spark, d):
         "org_id", "modality", "term", "df", F.round("idf", 6).alias("idf"))
 
 
+@register("ST1 A1 S10 D1", sql.with_(sql.text_chunks("lang", "lang_chunks"), sql.text_chunks("'all'", "all_chunks"),
+                                     "chunks AS (SELECT * FROM lang_chunks UNION ALL SELECT * FROM all_chunks)", sql.QUERIES, sql.bm25())
+          + "SELECT org_id, modality, term, df, round(idf, 6) AS idf, n_docs, round(avgdl, 6) AS avgdl FROM ts JOIN cs USING (org_id, modality)")
+def streamed_ingest_in_batches(spark, d):
+    """Three micro-batches and a deletion; every document belongs to its language's tenant and, under the same ids, to a tenant of
+    all.  The first batch brings reversed texts and files that are deleted again.  Statistics are sums of the batches' changes."""
+    path, files, doc = shared_folder(spark, "ingested"), shared_folder(spark, "arriving"), _str("doc_id")
+    tenants = F.explode(F.array("lang", F.lit("all"))).alias("org_id")
+    documents = tables.load(spark, d, "documents").select(doc.alias("doc_id"), F.lit(0).alias("section_id"), "text", tenants, doc.alias("file_id"))
+    extra = documents.where("length(text) < 2000").withColumns({c: F.concat(F.lit("gone"), c) for c in ("doc_id", "file_id")})
+    half = F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0
+    for rows in (documents.where(half).withColumn("text", F.reverse("text")).unionByName(extra), documents.where(~half), documents.where(half)):
+        rows.coalesce(1).write.mode("append").parquet(files)  # a file for each micro-batch, in order of time
+        stream = spark.readStream.schema(documents.schema).parquet(files)
+        jobs.stream_ingest(stream, path, f"{files}-checkpoint", dim=16, buckets=4).awaitTermination()
+    changes.compact(spark, path)
+    jobs.delete_stored_files(spark, path, extra.select("org_id", "file_id"), statistics="changes")
+    stats, terms = changes.read_statistics(spark, path)
+    return terms.join(stats, ["org_id", "modality"]).select("org_id", "modality", "term", "df", F.round("idf", 6).alias("idf"), "n_docs",
+                                                            F.round("avgdl", 6).alias("avgdl"))
+
+
 @register("ST1 S8 G1", sql.with_(LANG_TEXT) + "SELECT chunk_id, doc_id, section_id, modality, content, org_id, file_id FROM text_chunks",
           ints="section_id")
 def ingested_chunks(spark, d):

