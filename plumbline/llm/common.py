@@ -1,5 +1,6 @@
 """Staging, loading and grouping helpers of the corpus operators."""
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -7,20 +8,54 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
-from plumbline.session import shared_folder
+from plumbline.session import remove_folder, shared_folder
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Folders written inside :func:`scratch`, by application; None outside of it.
+_held: dict[str, list[str]] = {}
+_open: set[str] = set()
+
+
 def stage(df: DataFrame, purpose: str) -> DataFrame:
     """Write to the shared folder and read back: later jobs neither repeat the work nor depend on one executor."""
     path = shared_folder(df.sparkSession, purpose)
     df.write.parquet(path)
+    application = df.sparkSession.sparkContext.applicationId
+    if application in _open:
+        _held.setdefault(application, []).append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Remove a table that :func:`stage` wrote and nothing reads any more."""
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        remove_folder(df.sparkSession, folder)
+
+
+@contextmanager
+def scratch(docs: DataFrame):
+    """What is staged inside stays until the next scratch begins on documents that do not read from it.
+
+    For steps whose result is written before the next step starts: its intermediate tables are of no more use then."""
+    spark = docs.sparkSession
+    application = spark.sparkContext.applicationId
+    before = _held.get(application, [])
+    read = "\n".join({f.rsplit("/", 1)[0] for f in docs.inputFiles()}) if before else ""
+    _held[application] = [path for path in before if path.rsplit("/", 1)[1] in read]
+    for path in before:
+        if path not in _held[application]:
+            remove_folder(spark, path)
+    _open.add(application)
+    try:
+        yield
+    finally:
+        _open.discard(application)
+
+
 def pick(df: DataFrame, **columns: str) -> DataFrame:
     """The wanted columns under the operator's own names, whatever else the table holds."""
     return df.select(*[F.col(f"`{c}`").alias(name) for name, c in columns.items()])
@@ -65,7 +100,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component) of an undirected graph given as ``a``, ``b``; the component is its smallest node.
 
     Rounds of large-star and small-star (Kiveris et al., 2014): each points nodes at the smallest neighbour, keeps
-    connectivity and ends as stars after about log(n) rounds.  Every round is written to the shared folder.
+    connectivity and ends as stars after about log(n) rounds.  Every round is written to the shared folder, and the one
+    before it removed.
     """
     spark = edges.sparkSession
     flat = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
@@ -78,7 +114,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.explode(F.array(
             F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
-        current = stage(small.select("e.a", "e.b").where("a <> b").distinct(), "edges")
+        past, current = current, stage(small.select("e.a", "e.b").where("a <> b").distinct(), "edges")
+        discard(past)
         now = tuple(current.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == mark or now[0] == 0:
             break

@@ -248,7 +248,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     star = banded.join(hubs, "key").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
     clusters = nodes.join(components(star).withColumnRenamed("component", "cluster"), "node")
     places = _places(clusters, percent, block_docs, block_shingles).select("node", "digest", "keys", "places")
-    members = docs.join(places, docs["doc_id"] == places["node"]).select("places", "node", "digest", "keys", "text")
+    # as many places as clustered documents: merged at every size, never broadcast
+    members = docs.join(places.hint("merge"), docs["doc_id"] == places["node"]).select("places", "node", "digest", "keys", "text")
     members = _with_sets(members).select(F.explode("places").alias("p"), "node", "keys", "members").select("p.*", "node", "keys", "members")
 
     def verify(table: pa.Table) -> pa.Table:
