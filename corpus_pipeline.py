@@ -1,10 +1,12 @@
 """Corpus preparation in stages.  Each stage takes (spark, docs, sf_dir), works on all documents its predecessor kept and
 is written before the next one reads it."""
+from functools import wraps
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm import decontamination, near_dedup, packing, pseudonyms, quality_rules
-from plumbline.llm.common import load, stage
+from plumbline.llm.common import load, scratch, stage
 from plumbline.llm.queries import PSEUDONYM_KEY, tokenizer_path
 
 
@@ -29,14 +31,21 @@ def keep_one_of_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     Rows under one doc_id with different texts are documents of their own; near copies among them leave one.  Of rows that
     repeat doc_id and text one is kept.  A row without doc_id is grouped with nothing else and kept, and so is a row with a
     null or empty text.  Texts of any length are compared whole; an empty table stays empty.
+
+    Rows are told apart by 64 bits of doc_id and text while they are grouped (two of 100 million share them with probability
+    3e-4), and by 128 bits more where one of a group is chosen.
     """
-    rows = stage(docs.select(F.monotonically_increasing_id().alias("id"), whole(docs).alias("whole")), "rows")
     text = F.coalesce(F.concat(F.lit("+"), F.col("whole.text")), F.lit("-"))
-    keys = rows.select("id", F.col("whole.doc_id").alias("doc_id"), F.md5(F.concat(F.coalesce(F.col("whole.doc_id").cast("string"), F.lit("")), text)).alias("same"))
+    same = F.concat(F.coalesce(F.col("whole.doc_id").cast("string"), F.lit("")), text)
+    rows = docs.select(whole(docs).alias("whole")).select(F.xxhash64(same).alias("id"), F.md5(same).alias("same"), "whole")
     found = near_dedup.near_duplicates(rows.where("whole.doc_id is not null").select("id", "whole.text"), doc_id="id")
-    found = found.where("n_shingles > 0").select(F.col("doc_id").alias("id"), F.col("component_id").cast("string").alias("near"))
-    first = keys.join(found, "id", "left").groupBy(F.coalesce("near", "same")).agg(F.min(F.struct("doc_id", "id")).alias("first"))
-    return rows.join(stage(first.select("first.id"), "chosen"), "id", "left_semi").select("whole.*")
+    found = found.where("n_shingles > 0").select(F.col("doc_id").alias("id"), F.col("component_id").cast("string").alias("near")).distinct()
+    keys = rows.groupBy("id", "same").agg(F.min("whole.doc_id").alias("doc_id"), F.count("*").alias("n"))
+    first = keys.join(found, "id", "left").groupBy(F.coalesce("near", "same")).agg(F.min(F.struct("doc_id", "same", "id", "n")).alias("first"))
+    chosen = stage(first.select("first.id", "first.same", "first.n"), "chosen").hint("merge")  # grows with the documents: never broadcast
+    once = rows.join(chosen.where("n = 1"), ["id", "same"], "left_semi")
+    repeated = rows.join(chosen.where("n > 1"), ["id", "same"], "left_semi").dropDuplicates(["id", "same"])
+    return once.unionByName(repeated).select("whole.*")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,12 +71,21 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return packing.pack(docs, tokenizer_path())
 
 
+def tidy(step):
+    """The step, before which what earlier steps staged is removed, unless ``docs`` still reads from it."""
+    @wraps(step)
+    def run_step(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        with scratch(docs):
+            return step(spark, docs, sf_dir)
+    return run_step
+
+
 STAGES = [
-    ("quality_rules", reject_low_quality),
-    ("near_dedup", keep_one_of_copies),
-    ("decontamination", drop_contaminated),
-    ("pseudonyms", replace_personal_data),
-    ("packing", pack_sequences),
+    ("quality_rules", tidy(reject_low_quality)),
+    ("near_dedup", tidy(keep_one_of_copies)),
+    ("decontamination", tidy(drop_contaminated)),
+    ("pseudonyms", tidy(replace_personal_data)),
+    ("packing", tidy(pack_sequences)),
 ]
 
 #: Rules are learned and signatures hashed: not for SQL.
