@@ -5,7 +5,7 @@ from plumbline.operators import chat
 from plumbline.schemas import CHAT_SESSION, ORG
 from plumbline.session import shared_folder
 from plumbline.sources import store
-from plumbline.streaming import jobs
+from plumbline.streaming import jobs, state
 from plumbline.streaming import statistics as changes
 from plumbline.workload import sql, tables
 from plumbline.workload.registry import register
@@ -408,6 +408,54 @@ def streamed_rate_limits(spark, d):
     return _drain(spark, _rates(_stream(spark, d, "events")))
 
 
+def _arriving(spark, parts, stream, mode="append", keys=None):
+    """Run a stream over parts of a table that arrive one after the other, each a batch (or more) of its own; its state and its
+    watermark go on from batch to batch.  With ``keys`` changed rows replace those of their key."""
+    files, out, checkpoint = (shared_folder(spark, name) for name in ("arriving", "out", "checkpoint"))
+    for rows in parts:
+        rows.write.mode("append").parquet(files)
+        made = stream(spark.readStream.schema(rows.schema).parquet(files)).writeStream.outputMode(mode)
+        writer = made.option("checkpointLocation", checkpoint).trigger(availableNow=True)
+        with state.rocksdb_state(spark):
+            query = (writer.foreachBatch(state.upsert_sink(out, keys)) if keys else writer.format("parquet").option("path", out)).start()
+        query.awaitTermination()
+    return spark.read.parquet(out)
+
+
+def _thirds(rows, ts="ts"):
+    """Three parts of a table, by time."""
+    first, last = rows.agg(F.min(F.unix_millis(ts)), F.max(F.unix_millis(ts))).first()
+    third = F.least(F.floor((F.unix_millis(ts) - first) * 3 / max(1, last - first)), F.lit(2))
+    return [rows.where(third == i) for i in range(3)]
+
+
+def _timed_events(spark, d):
+    return tables.load(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+@register("ST2", STATUS_SQL)
+def streamed_status_in_batches(spark, d):
+    """Status changes of three batches, upserted by file; a file's state goes a day after its newest event."""
+    log = _status_log(_timed_events(spark, d))
+    stream = lambda rows: state.latest_changes(rows, ["file_id"], ["stage", "progress"], ties=("event_id",), delay="1 hour", life="1 day")
+    return _arriving(spark, _thirds(log), stream, "update", ["file_id"]).select("file_id", "stage", "progress")
+
+
+@register("ST3", TTL_SQL)
+def streamed_answered_in_batches(spark, d):
+    """Requests answered afresh over three batches; an answer's state goes when its life has ended."""
+    stream = lambda rows: state.answered_once(rows, ["user_id", "event_type"], ttl_ms=TTL_MS, delay="1 hour")
+    return _arriving(spark, _thirds(_timed_events(spark, d)), stream)
+
+
+@register("ST4", RATE_SQL)
+def streamed_rates_in_batches(spark, d):
+    """Windows of three batches, upserted by user and window; a window's state goes with the watermark."""
+    stream = lambda rows: jobs.rate_limit_flags(rows, "user_id", window="6 hours", limit=2, delay="1 hour")
+    found = _arriving(spark, _thirds(_timed_events(spark, d)), stream, "update", ["user_id", "window_start"])
+    return found.select("user_id", F.unix_seconds("window_start").alias("window_start"), "n_requests", "n_rejected")
+
+
 def _tokens(messages):
     words = messages.select("conv_id", "turn", "role", F.posexplode(F.split("text", "(?<= )")).alias("seq", "token"))
     body = words.select("conv_id", "turn", "seq", "token", F.lit(False).alias("done"))
@@ -427,6 +475,16 @@ def streamed_answers(spark, d):
     return _drain(spark, jobs.assemble_answers(_tokens(_stream(spark, d, "conversations")), ["conv_id", "turn"]))
 
 
+@register("ST5", "SELECT conv_id, turn, text AS answer FROM conversations WHERE role <> 'system'")
+def streamed_answers_in_batches(spark, d):
+    """Tokens of every answer over three batches; it is given out, and its tokens leave the state, with its done event."""
+    tokens = _tokens(tables.load(spark, d, "conversations"))
+    part = F.when(F.col("done"), F.lit(2)).otherwise(F.pmod(F.xxhash64("conv_id", "turn", "seq"), F.lit(3)))
+    timed = tokens.withColumn("part", part).withColumn("ts", F.timestamp_seconds(F.lit(1704067200) + F.col("part")))
+    stream = lambda rows: state.answers_as_they_end(rows, ["conv_id", "turn"])
+    return _arriving(spark, [timed.where(F.col("part") == i).drop("part") for i in range(3)], stream)
+
+
 @register("ST6", """SELECT conv_id::VARCHAR AS session_id, count(*) AS n_messages, 1704067200 + conv_id * 3600 + max(turn) * 60 AS updated
 FROM conversations GROUP BY conv_id""")
 def streamed_messages(spark, d):
@@ -459,8 +517,7 @@ def streamed_ingest(spark, d):
         "org_id", "modality", "term", "df", F.round("idf", 6).alias("idf"))
 
 
-@register("ST1 A1 S10 D1", sql.with_(sql.text_chunks("lang", "lang_chunks"), sql.text_chunks("'all'", "all_chunks"),
-                                     "chunks AS (SELECT * FROM lang_chunks UNION ALL SELECT * FROM all_chunks)", sql.QUERIES, sql.bm25())
+@register("ST1 A1 S10 D1", sql.with_(sql.text_chunks("lang", "own"), "chunks AS (SELECT * FROM own UNION ALL SELECT * REPLACE ('all' AS org_id) FROM own)", sql.QUERIES, sql.bm25())
           + "SELECT org_id, modality, term, df, round(idf, 6) AS idf, n_docs, round(avgdl, 6) AS avgdl FROM ts JOIN cs USING (org_id, modality)")
 def streamed_ingest_in_batches(spark, d):
     """Three micro-batches and a deletion; every document belongs to its language's tenant and, under the same ids, to a tenant of
