@@ -98,13 +98,13 @@ def _tokenizer(path: str):
 
 class Encoder:
     """Token ids of texts.  The tokenizer drops white space, so that what stands between spaces is encoded by itself, each
-    such chunk once as long as it is held.  Chunks are held for one task and up to about ``held_bytes``: beyond it those
-    seen more than once stay, the most frequent first, in half of the room."""
+    such chunk once as long as it is held.  Chunks are held up to about ``held_bytes``: beyond it those seen more than
+    once stay, the most frequent first, in half of the room."""
 
     #: of a chunk besides its letters: object, table entry, number, place of its ids
     ENTRY = 170
 
-    def __init__(self, path: str, held_bytes: int = 40 << 20):
+    def __init__(self, path: str, held_bytes: int = 160 << 20):
         self.tokenizer, self.held_bytes = _tokenizer(path), held_bytes
         vocabulary = self.tokenizer.get_vocab()
         self.dtype = np.dtype("<u2" if len(vocabulary) <= 1 << 16 else "<u4")
@@ -193,6 +193,12 @@ class Encoder:
         return np.split(ids, ends[np.cumsum(sizes)[:-1] - 1]) if texts else []
 
 
+@cache
+def encoder(path: str) -> Encoder:
+    """One per worker process: tasks that follow each other keep the chunks learned, within the bound."""
+    return Encoder(path)
+
+
 def _keys(texts: list[bytes]) -> np.ndarray:
     return hilbert_keys(np.stack([point_of(t) for t in texts])) if texts else np.zeros(0, np.int64)
 
@@ -215,7 +221,7 @@ def pack(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: str
         F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
 
     def tokenised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Encoder(tokenizer_path)
+        coder = encoder(tokenizer_path)
         for whole in batches:
             for batch in _slices(whole):
                 texts = _texts(batch)
@@ -257,8 +263,8 @@ def pack(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: str
     return placed.mapInArrow(cut, PIECES + (", ids array<int>" if with_ids else ""))
 
 
-def _slices(batch: pa.RecordBatch, column: str = "text", slice_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
-    """A batch in slices of about a MB, so that values of few documents are held at once."""
+def _slices(batch: pa.RecordBatch, column: str = "text", slice_bytes: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of about two MB, so that values of few documents are held at once."""
     sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     at = 0
     while at < batch.num_rows:
