@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.text import clean_text
 from plumbline.operators import chunking
+from plumbline.operators.passages import verbatim_places
 from plumbline.operators.postings import Postings, write_postings
 from plumbline.plans.retrieval import RetrievalIndex, write_index
 from plumbline.schemas import CHUNK_COLUMNS
@@ -11,8 +12,6 @@ from plumbline.session import shared_folder, spread
 
 DIM = 128
 ORG = "default"
-ANCHOR_WORDS = 4
-MAX_SHORT = 1000
 _indexes: dict[tuple[str, str], RetrievalIndex] = {}
 _postings: dict[tuple[str, str], Postings] = {}
 _qrels: dict[tuple[str, str], DataFrame] = {}
@@ -110,45 +109,11 @@ def qrels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def find_qrels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``qid, doc_id, section_id``: documents that contain the query text verbatim.
-
-    Found by an anchor instead of comparing all pairs: words two to five of the passage are whole words wherever the
-    passage occurs, so they are joined with the word runs of the documents and only those pairs are compared.
-    Shorter passages have shorter anchors, each length with its own runs; those of one or two words have no word that
-    is surely whole and are looked up one after the other in each text.
-    """
+    """``qid, doc_id, section_id``: documents that contain the query text verbatim."""
     docs = text_sections(spark, sf_dir).select("doc_id", "section_id", "text")
     return verbatim_places(queries(spark, sf_dir).select("qid", "query"), docs)
 
 
-def verbatim_places(items: DataFrame, docs: DataFrame) -> DataFrame:
-    words = lambda c: F.split(c, "\\s+")
-    items = items.where("query <> ''").withColumn("_w", words(F.trim("query")))
-    items = items.withColumn("_n", F.least(F.size("_w") - 2, F.lit(ANCHOR_WORDS)))
-    anchored = items.where("_n > 0").select(
-        "qid", "query", "_n", F.xxhash64(F.array_join(F.slice("_w", F.lit(2), F.col("_n")), " ")).alias("anchor"))
-    lengths = sorted(r[0] for r in anchored.select("_n").distinct().collect())  # at most ANCHOR_WORDS numbers
-    runs = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.size("_w") - n + 1, F.lit(1))), lambda i: F.struct(
-        F.lit(n).alias("n"), F.xxhash64(F.array_join(F.slice("_w", i, F.lit(n)), " ")).alias("h")))
-    found = docs.select(F.lit("").alias("qid"), "doc_id", "section_id").limit(0)
-    if lengths:
-        grams = (docs.withColumn("_w", words(F.col("text")))
-                 .select("doc_id", F.explode(F.array_distinct(F.flatten(F.array(*[runs(n) for n in lengths])))).alias("g"))
-                 .select("doc_id", F.col("g.n").alias("_n"), F.col("g.h").alias("anchor")))
-        pairs = grams.join(anchored, ["_n", "anchor"]).select("doc_id", "qid", "query")
-        hits = docs.join(pairs, "doc_id").where(F.col("text").contains(F.col("query")))
-        found = found.unionByName(hits.select("qid", "doc_id", "section_id"))
-    short = items.where("_n <= 0").select("qid", "query").limit(MAX_SHORT + 1).collect()
-    if len(short) > MAX_SHORT:
-        raise ValueError(f"more than {MAX_SHORT} passages of one or two words")
-    if short:
-        asked = F.array(*[F.struct(F.lit(r.qid).alias("qid"), F.lit(r.query).alias("q")) for r in short])
-        inside = F.filter(asked, lambda a: F.col("text").contains(a["q"]))
-        found = found.unionByName(docs.select(F.explode(inside).alias("a"), "doc_id", "section_id")
-                                  .select("a.qid", "doc_id", "section_id"))
-    return found.distinct()
-
-
 def described_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Queries with the columns evaluation groups by: ``type`` by length, ``source`` of the first gold document."""
     items = queries(spark, sf_dir)
