@@ -1,10 +1,11 @@
 """Registered queries: stored tables, deletes, conversations, streaming jobs."""
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbline.operators import chat
 from plumbline.schemas import CHAT_SESSION, ORG
 from plumbline.session import shared_folder
-from plumbline.sources import store
+from plumbline.sources import merge_table, store
 from plumbline.streaming import jobs, state
 from plumbline.streaming import statistics as changes
 from plumbline.workload import sql, tables
@@ -501,6 +502,24 @@ def streamed_messages(spark, d):
         "session_id", "n_messages", F.unix_seconds("updated_at").alias("updated"))
 
 
+@register("D1 S8 J7 S12", """SELECT doc_id::VARCHAR AS doc_id, CASE WHEN doc_id % 10 = 0 THEN 'again' ELSE source END AS source, lang,
+  CASE WHEN doc_id % 10 = 0 OR doc_id % 3 = 0 THEN text ELSE reverse(text) END AS text FROM documents WHERE doc_id % 10 = 0 OR doc_id % 5 <> 0""")
+def merged_on_read(spark, d):
+    """Upserts, a delete and inserts as changes over a stored base, compacted on the way: known rows take the new text only, deleted
+    ones come back whole."""
+    docs = tables.load(spark, d, "documents")
+    row = lambda source, text: docs.select("doc_id", _str("doc_id").alias("id"), source.alias("source"), "lang", text.alias("text"))
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in ("doc_id", "source", "lang", "text")])
+    table = merge_table.MergeTable(spark, shared_folder(spark, "merged"), schema, ("doc_id",), ("text",), ("lang",))
+    part = lambda rows, where: rows.where(where).drop("doc_id").withColumnRenamed("id", "doc_id")
+    table.upsert(part(row(F.col("source"), F.reverse("text")), "true"), 0)
+    table.upsert(part(row(F.lit("changed"), F.col("text")), "doc_id % 3 = 0"), 1)
+    table.compact()
+    table.delete(part(row(F.col("source"), F.col("text")), "doc_id % 5 = 0"), 2)
+    table.upsert(part(row(F.lit("again"), F.col("text")), "doc_id % 10 = 0"), 3)
+    return table.read()
+
+
 def _ingested(spark, d, statistics="whole"):
     path = shared_folder(spark, "ingested")
     doc = _str("doc_id")
