@@ -175,3 +175,10 @@ def test_messages_give_the_exact_marginals():
         content += np.exp(log) * np.array(states)
     assert np.allclose(he.marginals([page], model)[0], content / total)
     assert pytest.approx(content[0] / total, abs=1) == 0
+
+
+def test_url_rules_without_a_leading_slash(spark, table):
+    rules = spark.createDataFrame([("example.net", "en", "block"), ("x.org", None, "block"), ("y.org", "/a", "block")], "host string, path string, action string")
+    urls = ["http://example.net/en/a", "http://a.example.neten/x", "http://example.neten", "http://a.x.org/en", "http://y.org/ab", "http://y.org/b", "http://y.org" + "/a" * 50_000]
+    out = url_filters.judge(table([(i, u, "") for i, u in enumerate(urls)], PAGES), rules)
+    assert {r["page_id"]: r["rule"] for r in out.collect()} == {0: None, 1: None, 2: None, 3: "x.org", 4: "y.org/a", 5: None, 6: "y.org/a"}
