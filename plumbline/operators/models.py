@@ -5,10 +5,12 @@ loaded on the worker and never shipped.  Every job has a deterministic default t
 """
 import hashlib
 import re
+from itertools import chain
 from typing import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,24 +38,17 @@ def _batched(values: list, size: int) -> Iterator[list]:
 
 
 def hashing_embedder(dim: int) -> Callable[[], TextToVectors]:
-    """Default embedder: token counts in md5 buckets."""
+    """Default embedder: token counts in md5 buckets.  Each different token of a call is hashed once, all are counted at once."""
     def load():
-        pattern, buckets = re.compile(TOKEN), {}
-
-        def bucket(token):
-            if token not in buckets:
-                if len(buckets) > 500_000:
-                    buckets.clear()
-                buckets[token] = int(hashlib.md5(token.encode()).hexdigest()[:8], 16) % dim
-            return buckets[token]
+        pattern = re.compile(TOKEN)
 
         def embed(texts):
-            out = np.zeros((len(texts), dim))
-            for i, text in enumerate(texts):
-                hits = [bucket(t) for t in pattern.findall((text or "").lower())]
-                if hits:
-                    out[i] = np.bincount(hits, minlength=dim)
-            return out
+            found = [pattern.findall((text or "").lower()) for text in texts]
+            coded = pa.array(chain.from_iterable(found), pa.string()).dictionary_encode()
+            buckets = np.array([int(hashlib.md5(t.encode()).hexdigest()[:8], 16) % dim for t in coded.dictionary.to_pylist()], dtype=np.int64)
+            owner = np.repeat(np.arange(len(texts)), [len(tokens) for tokens in found])
+            cells = owner * dim + buckets[coded.indices.to_numpy(zero_copy_only=False)] if len(owner) else owner
+            return np.bincount(cells, minlength=len(texts) * dim).reshape(len(texts), dim)
         return embed
     return load
 

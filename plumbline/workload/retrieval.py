@@ -4,7 +4,7 @@ import re
 from pyspark.sql import functions as F
 
 from plumbline.functions import intent, prompts
-from plumbline.operators import chat, dense, evaluation, fusion, ivf, models, postings, sparse
+from plumbline.operators import chat, dense, evaluation, fusion, ivf, models, postings, results, sparse
 from plumbline.plans import retrieval
 from plumbline.schemas import MODALITIES
 from plumbline.session import shared_folder, spread
@@ -377,6 +377,17 @@ def hashed_embeddings(spark, d):
         "chunk_id", F.col("b").cast("long").alias("b"), F.round(F.col("w").cast("double"), 6).alias("w"))
 
 
+@register("M1 F15", sql.with_(sql.text_chunks(), sql.embedded("e", "text_chunks", "chunk_id", "content", 64))
+          + "SELECT chunk_id, b, round(w, 6) AS w FROM e")
+def embeddings_kept_by_content(spark, d):
+    """Vectors stored by content: half of the chunks are embedded first, all of them then, each distinct text once."""
+    chunks, path = tables.text_chunks(spark, d).select("chunk_id", "content"), shared_folder(spark, "vectors")
+    results.embed_once(chunks.where(F.pmod(F.xxhash64("chunk_id"), F.lit(2)) == 0), path, "hashed", dim=64)
+    vectors = results.embed_once(chunks, path, "hashed", dim=64)
+    return vectors.select("chunk_id", F.posexplode("embedding").alias("b", "w")).where("w <> 0").select(
+        "chunk_id", F.col("b").cast("long").alias("b"), F.round(F.col("w").cast("double"), 6).alias("w"))
+
+
 # ---- evaluation ----------------------------------------------------------------------------------------------------
 
 EVALUATED = sql.with_(*sql.RETRIEVE, sql.reranked(TOP), sql.QRELS, sql.evaluated())
