@@ -12,6 +12,7 @@ from plumbline.functions.prompts import build_prompt, source_card
 from plumbline.operators import fusion, models, sparse
 from plumbline.operators.dense import dense_topk
 from plumbline.operators.evaluation import first_hits, recall_at_k
+from plumbline.operators.postings import Postings, postings_topk
 from plumbline.schemas import BASE_K, MODALITIES, RERANK_TOP_N, RRF_K
 from plumbline.session import spread
 
@@ -93,14 +94,17 @@ def max_k(base_k: dict) -> dict:
 
 
 def candidate_lists(queries: DataFrame, prepared: DataFrame, index: RetrievalIndex, adaptive: bool = True,
-                    pad_zero: bool = False, base_k: dict = BASE_K, **options) -> tuple[DataFrame, DataFrame]:
+                    pad_zero: bool = False, base_k: dict = BASE_K, sparse_k: dict | None = None, postings: Postings | None = None,
+                    **options) -> tuple[DataFrame, DataFrame]:
     """Dense and sparse lists per (query, modality).  ``prepared`` are the embedded ``queries``; the sparse search
-    starts from the plain ones, so that nothing is embedded twice."""
-    top = max(max_k(base_k).values())
-    dense = dense_topk(per_modality_queries(prepared, base_k, adaptive), index.vectors, max_k=top, **options)
-    sparse_lists = sparse.sparse_topk(per_modality_queries(queries, base_k, adaptive), index.forward,
-                                      index.term_stats, index.corpus_stats, max_k=top, pad_zero=pad_zero, **options)
-    return dense, sparse_lists
+    starts from the plain ones, so that nothing is embedded twice.  ``base_k`` holds for both searches unless ``sparse_k`` is
+    given.  With ``postings`` the sparse search reads posting blocks instead of scanning the forward index (without padding)."""
+    sparse_k = sparse_k or base_k
+    top, asked = max(max_k(sparse_k).values()), per_modality_queries(queries, sparse_k, adaptive)
+    dense = dense_topk(per_modality_queries(prepared, base_k, adaptive), index.vectors, max_k=max(max_k(base_k).values()), **options)
+    if postings is not None and not pad_zero:
+        return dense, postings_topk(asked, postings, index.term_stats, max_k=top)
+    return dense, sparse.sparse_topk(asked, index.forward, index.term_stats, index.corpus_stats, max_k=top, pad_zero=pad_zero, **options)
 
 
 def hybrid_modality(dense: DataFrame, sparse_lists: DataFrame, rrf_k: int = RRF_K) -> DataFrame:
@@ -116,18 +120,19 @@ def _bounded(queries: DataFrame, limit: int) -> bool:
 def retrieve(queries: DataFrame, index: RetrievalIndex, passages: DataFrame | None = None, load=None, dim: int = 1024,
              top_k: int = 8, rerank_top_n: int = RERANK_TOP_N, rerank_load=None, rerank_provider: str = "model",
              adaptive: bool = True, fusion_mode: str = "rrf", rrf_k: int = RRF_K, use_expansion: bool = True,
-             pad_zero: bool = False, base_k: dict = BASE_K) -> DataFrame:
-    """Ranked chunks of every query: expand, embed, dense + sparse per modality, fuse twice, cut, rerank.
+             pad_zero: bool = False, base_k: dict = BASE_K, sparse_k: dict | None = None, postings: Postings | None = None) -> DataFrame:
+    """Ranked chunks of every query: expand, embed, dense + sparse per modality, fuse twice, cut, rerank.  ``sparse_k`` and
+    ``postings`` as for :func:`candidate_lists`.
 
     Returns ``qid, query, rnk, fused_rnk, rerank_score`` and the chunk columns.
     """
     prepared = prepare_queries(queries, passages, load, dim, use_expansion)
-    dense, sparse_lists = candidate_lists(queries, prepared, index, adaptive, pad_zero, base_k)
+    dense, sparse_lists = candidate_lists(queries, prepared, index, adaptive, pad_zero, base_k, sparse_k, postings)
     per_modality = hybrid_modality(dense, sparse_lists, rrf_k)
     cut = rerank_top_n if fusion_mode == "rrf" else None
     fused = fusion.cross_modal(per_modality, queries, rrf_k, cut, fusion_mode).select("qid", "chunk_id", "rnk")
     # At most rerank_top_n ids per query (all modality lists for "concat"), so the query count bounds the ids.
-    per_query = cut or 2 * sum(max_k(base_k).values())
+    per_query = cut or sum(max_k(base_k).values()) + sum(max_k(sparse_k or base_k).values())
     small = _bounded(queries, MAX_BROADCAST_IDS // per_query)
     found = fusion.attach_chunks(fused, index.chunks, broadcast_ranked=small)
     return models.rerank(found.join(queries.select("qid", "query"), "qid"), top_k, rerank_load, rerank_provider)

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from plumbline.functions.text import normalize_nfkd
 from plumbline.operators import chunking, models, sparse
 from plumbline.operators.chat import touch_sessions
 from plumbline.schemas import CHUNK, CHUNK_COLUMNS, FILE
@@ -52,7 +53,7 @@ def _stored(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
 
 
 def ingest_batch(documents: DataFrame, path: str, load=None, dim: int = 1024, buckets: int = BUCKETS,
-                 arrival: str | None = None, describe=None, statistics: str = "whole", batch: str | None = None) -> None:
+                 arrival: str | None = None, describe=None, statistics: str = "whole", batch: str | None = None, nfkd: bool = False) -> None:
     """Chunk, embed and upsert one batch of ``doc_id, section_id, text, org_id, file_id``; refresh BM25 statistics and
     the status of its files.
 
@@ -62,6 +63,7 @@ def ingest_batch(documents: DataFrame, path: str, load=None, dim: int = 1024, bu
     touched parts are rewritten, so one busy tenant is not rewritten whole.  Upserts go by tenant and chunk id: a batch that
     runs again changes nothing, and tenants may use the same document and file ids.
 
+    ``nfkd`` brings texts to that Unicode form first, as is done with pages of parsed documents.
     ``statistics``: ``whole`` recounts the touched tenants and modalities into ``corpus_stats`` and ``term_stats``; ``changes`` appends
     what the batch changes (:mod:`plumbline.streaming.statistics`), under the name ``batch``: a batch that may run again must
     bring one.
@@ -69,6 +71,7 @@ def ingest_batch(documents: DataFrame, path: str, load=None, dim: int = 1024, bu
     if statistics not in ("whole", "changes"):
         raise ValueError(f"statistics: {statistics}")
     spark = documents.sparkSession
+    documents = documents.withColumn("text", normalize_nfkd(F.col("text"))) if nfkd else documents
     arrived = shared_folder(spark, "arrived")
     last = store.latest(documents, ["org_id", "doc_id", "section_id"], F.col(arrival or "text"))
     (last.drop(arrival) if arrival else last).write.parquet(arrived)

@@ -285,6 +285,12 @@ def retrieve(spark, d):
                                        "rerank_score", "rnk")
 
 
+@register("Q2 T2 J3", RETRIEVED + "SELECT qid, chunk_id, fused_rnk, rerank_score, rnk FROM retrieved", ints="rnk fused_rnk")
+def retrieve_by_postings(spark, d):
+    """The whole retrieval with the sparse lists from posting blocks."""
+    return _retrieved(spark, d, postings=tables.postings(spark, d)).select("qid", "chunk_id", "fused_rnk", "rerank_score", "rnk")
+
+
 @register("T5", sql.with_(*sql.RETRIEVE) + "SELECT qid, chunk_id, fused_rnk AS rnk FROM crossed WHERE fused_rnk <= 8", ints="rnk")
 def retrieve_without_rerank(spark, d):
     return _retrieved(spark, d, 8, rerank_provider="none").select("qid", "chunk_id", "rnk")

@@ -177,3 +177,12 @@ def test_lsh_prunes_where_vectors_have_neighbours(spark):
     met = dense.lsh_cells(vectors, model, 8, 4).select("chunk_id", "_cell").join(
         dense.lsh_cells(queries, model, 8, 4).select("qid", "_cell"), "_cell").select("qid", "chunk_id").distinct().count()
     assert met < 0.2 * len(rows) * len(asked)
+
+
+def test_each_search_has_its_own_k(spark):
+    chunks = spark.createDataFrame([(f"c{i}", "o", "text", "f", f"alpha w{i}") for i in range(30)], "chunk_id string, org_id string, modality string, file_id string, content string")
+    index = retrieval.build_index(chunks.withColumns({"doc_id": F.col("chunk_id"), "section_id": F.lit(0), "metadata": F.lit("{}")}), dim=16)
+    asked = spark.createDataFrame([("q", "o", "alpha")], "qid string, org_id string, query string")
+    k = lambda text: {"text": text, "table": 1, "image": 1}
+    dense_list, sparse_list = retrieval.candidate_lists(asked, retrieval.prepare_queries(asked, dim=16), index, base_k=k(12), sparse_k=k(5))
+    assert dense_list.count() == 12 and sparse_list.where("modality = 'text'").count() == 5

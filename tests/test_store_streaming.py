@@ -214,3 +214,9 @@ def test_two_tenants_share_ids(spark, tmp_path):
         assert files == [("o", "1", "indexed", 1), ("p", "1", "indexed", 1), ("p", "2", "error", 0)]
         jobs.delete_stored_files(spark, path, spark.createDataFrame([("o", "1")], "org_id string, file_id string"), statistics)
         assert [r.org_id for r in read("chunks").collect()] == ["p"]
+
+
+def test_pages_are_normalised_on_the_way_in(spark, tmp_path):
+    path = str(tmp_path / "ix")
+    jobs.ingest_batch(spark.createDataFrame([("a", 0, "\ufb01ne  caf\u00e9 \u2167.", "o", "a"), ("b", 0, None, "o", "b")], DOCS), path, dim=8, buckets=1, nfkd=True)
+    assert [r.content for r in jobs.read_placed(spark, f"{path}/chunks").collect()] == ["fine cafe\u0301 VIII."]
