@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.schemas import CORPUS_RECORD
+from plumbline.sources.json_objects import read_keyed
 
 # Upload rules.
 MAX_FILE_BYTES = 50 * 1024 * 1024
@@ -76,11 +77,6 @@ def read_corpus(spark: SparkSession, path: str, org_id: str = "default", multi_l
                     F.col("doc_id").alias("file_id")))
 
 
-def _keyed(spark: SparkSession, path: str, value: T.DataType) -> DataFrame:
-    whole = spark.read.text(path, wholetext=True)
-    return keyed_json(whole, F.col("value"), value)
-
-
 def keyed_json(df: DataFrame, text: Column, value: T.DataType) -> DataFrame:
     """JSON objects keyed by query id → ``qid, v``."""
     return df.select(F.explode(F.from_json(text, T.MapType(T.StringType(), value))).alias("qid", "v"))
@@ -96,15 +92,15 @@ def query_rows(keyed: DataFrame) -> DataFrame:
 
 
 def read_queries(spark: SparkSession, path: str) -> DataFrame:
-    return query_rows(_keyed(spark, path, QUERY_VALUE))
+    return query_rows(read_keyed(spark, path, QUERY_VALUE))
 
 
 def read_qrels(spark: SparkSession, path: str) -> DataFrame:
-    return _keyed(spark, path, QREL_VALUE).select("qid", "v.doc_id", "v.section_id")
+    return read_keyed(spark, path, QREL_VALUE).select("qid", "v.doc_id", "v.section_id")
 
 
 def read_answers(spark: SparkSession, path: str) -> DataFrame:
-    return _keyed(spark, path, T.StringType()).select("qid", F.col("v").alias("answer"))
+    return read_keyed(spark, path, T.StringType()).select("qid", F.col("v").alias("answer"))
 
 
 def write_results(summary: DataFrame, per_query: DataFrame, path: str) -> None:

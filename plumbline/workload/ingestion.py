@@ -7,7 +7,7 @@ from plumbline.functions import text as tx
 from plumbline.functions import vectors as vx
 from plumbline.operators import chunking
 from plumbline.session import shared_folder, spread
-from plumbline.sources import readers, store
+from plumbline.sources import json_objects, readers, store
 from plumbline.workload import sql, tables
 from plumbline.workload.registry import register
 
@@ -63,6 +63,16 @@ def keyed_queries(spark, d):
     return readers.query_rows(readers.keyed_json(keyed, F.col("value"), readers.QUERY_VALUE))
 
 
+@register("S4", """SELECT doc_id::VARCHAR AS qid, text AS query, coalesce(lang, 'abstractive') AS type,
+  coalesce(source, 'text') AS source FROM documents""")
+def keyed_files(spark, d):
+    """Files of one JSON object each, written by tasks and read by splits."""
+    path = shared_folder(spark, "keyed")
+    docs = tables.load(spark, d, "documents")
+    json_objects.write_keyed(docs, "doc_id", F.struct(F.col("text").alias("query"), F.col("lang").alias("type"), "source"), path)
+    return readers.read_queries(spark, path)
+
+
 @register("S4", """SELECT item_id::VARCHAR AS qid, 'd' || item_id AS doc_id, (item_id % 7)::INT AS section_id,
   reverse(text) AS answer FROM benchmark""")
 def keyed_qrels_and_answers(spark, d):
