@@ -31,9 +31,9 @@ def history_window(messages: DataFrame, n: int = HISTORY_MESSAGES, max_chars: in
 
 
 def history_at_each_turn(messages: DataFrame, n: int = HISTORY_MESSAGES, max_chars: int = HISTORY_CHARS,
-                         session: str = "session_id", order: str = "turn", width: int = 10_000) -> DataFrame:
-    """Each finished message with the ``n`` before it.  Long sessions are cut into segments of ``width`` turns."""
-    return trailing_rows(_finished(messages), [session], [order], _turn(max_chars), n, width, "history")
+                         session: str = "session_id", order: str = "turn", rows: int = 100_000) -> DataFrame:
+    """Each finished message with the ``n`` before it.  Long sessions are cut into segments of about ``rows`` turns."""
+    return trailing_rows(_finished(messages), [session], [order], _turn(max_chars), n, rows, "history")
 
 
 def session_titles(messages: DataFrame, session: str = "session_id", order: str = "turn") -> DataFrame:
@@ -43,9 +43,9 @@ def session_titles(messages: DataFrame, session: str = "session_id", order: str
 
 
 def newly_indexed(status_log: DataFrame, key: str = "file_id", order: list[str] | None = None,
-                  target: str = "indexed", width: float = 86_400.0) -> DataFrame:
-    """Log rows whose status became ``target`` from another known status."""
-    log = previous(status_log, [key], order or ["ts"], F.col("status"), width, "previous_status")
+                  target: str = "indexed", rows: int = 100_000) -> DataFrame:
+    """Log rows whose status became ``target`` from another known status.  Long logs are cut into segments of about ``rows`` rows."""
+    log = previous(status_log, [key], order or ["ts"], F.col("status"), rows, "previous_status")
     return log.where((F.col("status") == target) & (F.col("previous_status") != target))
 
 

@@ -5,7 +5,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import text as tx
-from plumbline.plans.segments import SEGMENT, ordinal
+from plumbline.plans.segments import KEY, SEGMENT, ordinal
 from plumbline.schemas import (CHUNK_CHARS, CHUNK_COLUMNS, CHUNK_OVERLAP, MAX_IMAGES_PER_SECTION,
                                TABLE_ROWS_PER_GROUP)
 
@@ -143,24 +143,24 @@ def rows_to_markdown(df: DataFrame, keys: list[str], row_no: str, columns: list[
 
 
 def chunk_table_rows(df: DataFrame, row_no: str, columns: list[str], names: list[str] | None = None,
-                     rows_per_group: int = TABLE_ROWS_PER_GROUP, width: int = 100_000) -> DataFrame:
+                     rows_per_group: int = TABLE_ROWS_PER_GROUP, rows: int = 100_000) -> DataFrame:
     """Table rows with ``doc_id, section_id, table_id, org_id, file_id`` → the chunks that
     :func:`rows_to_markdown` and :func:`chunk_table` would give, without ever building the whole table text.
 
-    Positions come from per-segment counts, groups hold ``rows_per_group`` rows, so a table of any size spreads over
-    all tasks.
+    Positions come from counts of segments of about ``rows`` rows, groups hold ``rows_per_group`` rows, so a table of any
+    size spreads over all tasks, however its row numbers lie.
     """
     keys = ["doc_id", "section_id", "table_id", "org_id", "file_id"]
     header, _ = markdown_header(names or columns)
     header_line = F.lit(header)
     line = tx.strip(markdown_line([F.col(c) for c in columns]))
     lines = df.select(*keys, F.col(row_no).alias("_row"), _if_any(line, lambda v: ~_is_separator(v)).alias("_line"))
-    kept = ordinal(lines, keys, ["_row", "_line"], width, "_pos", keep_segment=True)
+    kept = ordinal(lines, keys, ["_row", "_line"], rows, "_pos", keep_segment=True)
     group = F.floor(F.col("_pos") / rows_per_group).cast("int").alias("_group")
     # First inside the segments, where the rows already are; only groups across a border meet in the second step.
-    parts = kept.groupBy(*keys, SEGMENT, group).agg(F.collect_list(F.struct("_pos", "_line")).alias("_part"))
-    groups = parts.groupBy(*keys, "_group").agg(F.transform(
-        F.array_sort(F.flatten(F.collect_list("_part"))), lambda s: s["_line"]).alias("_rows"))
+    parts = kept.groupBy(KEY, SEGMENT, group).agg(F.collect_list(F.struct("_pos", "_line")).alias("_part"))
+    groups = parts.groupBy(KEY, "_group").agg(F.transform(
+        F.array_sort(F.flatten(F.collect_list("_part"))), lambda s: s["_line"]).alias("_rows")).select(f"{KEY}.*", "_group", "_rows")
     cells = [cell.strip() for cell in header.split("|") if cell.strip()]
     headers = F.array(*[F.lit(cell) for cell in cells]).cast("array<string>")
     return groups.select(

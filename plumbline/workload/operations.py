@@ -250,7 +250,7 @@ def history_window(spark, d):
   WHERE b.conv_id = a.conv_id AND b.turn < a.turn AND b.turn >= a.turn - 6), '') AS history FROM conversations a""")
 def history_at_each_turn(spark, d):
     """The six messages before each one, with sessions cut into segments of three turns."""
-    return chat.history_at_each_turn(_messages(spark, d), width=3).select(
+    return chat.history_at_each_turn(_messages(spark, d), rows=3).select(
         "session_id", "turn", _joined("history").alias("history"))
 
 
@@ -320,7 +320,7 @@ def _status_log(events):
   lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS previous_status FROM events)
   WHERE event_type = 'purchase' AND previous_status <> 'purchase'""")
 def newly_indexed(spark, d):
-    """Status changes; the log of each file is cut into segments of one day."""
+    """Status changes; the log of each file is cut into segments of about equally many rows."""
     log = _status_log(tables.load(spark, d, "events"))
     return chat.newly_indexed(log, order=["ts", "event_id"], target="purchase").select("event_id", "file_id", "previous_status")
 

@@ -34,7 +34,7 @@ def test_rows_without_whole_text_give_the_same_chunks(spark):
         F.lit("f").alias("file_id"), (F.col("id") * 3).alias("no"), F.concat(F.lit("v"), "id").alias("x"),
         F.when(F.col("id") % 7 != 0, F.concat(F.lit("a\nb"), "id")).alias("y"))
     keys = ["doc_id", "section_id", "table_id", "org_id", "file_id"]
-    direct = chunking.chunk_table_rows(rows, "no", ["x", "y"], width=10)
+    direct = chunking.chunk_table_rows(rows, "no", ["x", "y"], rows=10)
     whole = chunking.chunk_table(chunking.rows_to_markdown(rows, keys, "no", ["x", "y"], width=4))
     pick = lambda df: sorted((r.chunk_id, r.content, tuple(sorted(r.metadata.items()))) for r in df.collect())
     assert pick(direct) == pick(whole) and direct.count() == -(-n // 5)

@@ -47,24 +47,34 @@ def test_schema_files_and_clear(spark, tmp_path):
 def hot_log(spark):
     """A third of the rows share one key; order values repeat."""
     rng = random.Random(5)
-    rows = [("hot" if rng.random() < 0.35 else f"k{rng.randrange(20)}", rng.randrange(400), i, rng.choice(["a", "b", "indexed"]))
+    rows = [("hot" if rng.random() < 0.35 else rng.choice([None, *(f"k{i}" for i in range(20))]), rng.randrange(400), i, rng.choice(["a", "b", "indexed"]))
             for i in range(1500)]
     return spark.createDataFrame(rows, "k string, t int, i int, s string").repartition(6)
 
 
-@pytest.mark.parametrize("width", [7, 100, 10_000])
-def test_segmented_windows_equal_plain_windows(hot_log, width):
+@pytest.mark.parametrize("rows", [1, 7, 100, 10_000])
+def test_segmented_windows_equal_plain_windows(hot_log, rows):
     order = ["t", "i"]
     w = Window.partitionBy("k").orderBy(*order)
     plain = hot_log.select("i", (F.row_number().over(w) - 1).alias("o"), F.lag("s").over(w).alias("p"),
                            F.collect_list("s").over(w.rowsBetween(-6, -1)).alias("h"))
     expected = {r.i: (r.o, r.p, r.h) for r in plain.collect()}
-    o = {r.i: r.ordinal for r in segments.ordinal(hot_log, ["k"], order, width).collect()}
-    p = {r.i: r.previous for r in segments.previous(hot_log, ["k"], order, F.col("s"), width).collect()}
-    h = {r.i: r.trailing for r in segments.trailing_rows(hot_log, ["k"], order, F.col("s"), 6, width).collect()}
+    o = {r.i: r.ordinal for r in segments.ordinal(hot_log, ["k"], order, rows).collect()}
+    p = {r.i: r.previous for r in segments.previous(hot_log, ["k"], order, F.col("s"), rows).collect()}
+    h = {r.i: r.trailing for r in segments.trailing_rows(hot_log, ["k"], order, F.col("s"), 6, rows).collect()}
     assert {i: (o[i], p[i], h[i]) for i in expected} == expected
 
 
+def test_a_busy_day_is_many_segments(spark):
+    """One key, one time for half of the rows, the rest far apart: no segment holds much more than its share."""
+    log = spark.range(20_000).select(F.lit("hot").alias("k"), F.when(F.col("id") < 10_000, 0).otherwise(F.col("id") * 86_400).alias("t"),
+                                     F.col("id").alias("i"))
+    sizes = [r["count"] for r in segments.with_segment(log, ["k"], ["t", "i"], 500).groupBy(segments.SEGMENT).count().collect()]
+    assert sum(sizes) == 20_000 and 20 <= len(sizes) <= 65 and max(sizes) < 500 * 8
+    again = segments.with_segment(log.repartition(5), ["k"], ["t", "i"], 500).groupBy(segments.SEGMENT).count()
+    assert sorted(r["count"] for r in again.collect()) == sorted(sizes)
+
+
 @pytest.mark.parametrize("segments_", [2, 5, 1000])
 def test_answer_life_equals_a_plain_loop(spark, segments_):
     rng = random.Random(9)
