@@ -6,7 +6,8 @@ and the canonical value alone, so equal values stay equal across documents and d
 
 * cards: 13-19 digits that pass Luhn; all but the last digit are permuted and the check digit is computed anew
 * IBAN: country kept, account part permuted by character class, check digits computed anew
-* US social security numbers: permuted within the valid ones; phones: country code kept, other digits permuted
+* US social security numbers: permuted within the valid ones; phones with ``+``: calling code kept, other digits permuted,
+  the same in any grouping; phones without ``+``: all digits permuted
 * IPv4 addresses: permuted within 32 bits; dates from 1900-01-01 on: permuted within 72,900 days, any notation
 * e-mail: local part permuted by character class, domain kept; secrets assigned in quotes of either kind, of 8 characters or more: value permuted likewise
 
@@ -21,6 +22,11 @@ ROUNDS = 8
 DIGITS, HEX = "0123456789", "0123456789abcdef"
 EPOCH, DAYS_SIDE = "1900-01-01", 270
 AREAS, GROUPS, SERIALS = 898, 99, 9999
+WALK = 16
+
+# Calling codes of one and two digits; all others have three.
+CALLING_CODE = r"^(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
+HEX_SHAPE = "^(?=.*[0-9])(?=.*[a-f])[0-9a-f]{16,}$"
 
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 #: Area code and groups of two digits, or three and then two: one separator throughout.
@@ -87,18 +93,27 @@ def _shifted(text: Column, pad: Column, hexadecimal: Column) -> Column:
 
 def permute_text(value: Column, key: str, kind: str) -> Column:
     """Feistel over the two halves of a string, character classes kept in place.  A value of one character (there is no
-    other half to draw from) is moved by a fixed keyed step."""
-    def rounds(v: Column) -> Column:
+    other half to draw from) is moved by a fixed keyed step.
+
+    Strings of hex shape are permuted among all hex strings of their length, others class by class.  An image of the other shape
+    is permuted again, so that either set maps onto itself; an image leaves its set with a chance below one in a thousand at
+    hex shape, and after ``WALK`` steps it is left as it is."""
+    def rounds(v: Column, is_hex: Column) -> Column:
         half = F.floor(F.length(v) / 2).cast("int")
-        is_hex = v.rlike("^(?=.*[0-9])(?=.*[a-f])[0-9a-f]{16,}$")
         last = F.aggregate(
             F.sequence(F.lit(1), F.lit(ROUNDS)),
-            F.struct(F.substring(v, F.lit(1), half).alias("l"), F.substring(v, half + 1, F.length(v)).alias("r"), is_hex.alias("x")),
-            lambda acc, i: F.struct(acc["r"].alias("l"), _shifted(acc["l"], _hash(key, kind, i, acc["r"]), acc["x"]).alias("r"),
-                                    acc["x"].alias("x")))
+            F.struct(F.substring(v, F.lit(1), half).alias("l"), F.substring(v, half + 1, F.length(v)).alias("r")),
+            lambda acc, i: F.struct(acc["r"].alias("l"), _shifted(acc["l"], _hash(key, kind, i, acc["r"]), is_hex).alias("r")))
         return let(last, lambda s: F.concat(s["l"], s["r"]))
 
-    return let(value, rounds)
+    def walk(v: Column) -> Column:
+        is_hex = v.rlike(HEX_SHAPE)
+        start = F.struct(v.alias("v"), F.lit(False).alias("done"))
+        end = F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), start, lambda at, i: F.when(at["done"], at).otherwise(
+            let(rounds(at["v"], is_hex), lambda new: F.struct(new.alias("v"), (new.rlike(HEX_SHAPE) == is_hex).alias("done")))))
+        return end["v"]
+
+    return let(value, walk)
 
 
 def digits_of(c: Column) -> Column:
@@ -153,9 +168,11 @@ def _iban(m: Column, key: str) -> Column:
 
 
 def _phone(m: Column, key: str) -> Column:
-    code = F.regexp_extract(m, r"^(\+\d{1,3}(?=[ .(-]))", 1)
-    return let(code, lambda c: F.concat(c, let(F.substring(m, F.length(c) + 1, F.length(m)),
-                                               lambda rest: _refill(rest, permute_text(digits_of(rest), key, "phone")))))
+    def new(digits: Column) -> Column:
+        code = F.when(m.startswith("+"), F.regexp_extract(digits, CALLING_CODE, 0)).otherwise("")
+        return let(code, lambda c: F.concat(c, permute_text(F.substring(digits, F.length(c) + 1, F.length(digits)), key, "phone")))
+
+    return _refill(m, let(digits_of(m), new))
 
 
 def _ip(m: Column, key: str) -> Column:
@@ -234,8 +251,9 @@ def _tagged(value: Column, kind: str) -> Column:
 def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """All columns of ``docs`` with ``text`` rewritten, and ``pseudonyms``: array of (kind, value) put in.
 
-    A null text stays null, an empty one empty, both without pseudonyms.  Rows are independent: repeated rows give equal
-    rows.  A column of the table named ``pseudonyms`` is replaced.  Texts without a digit or ``@`` or quoted value are skipped.
+    A null text stays null, an empty one empty, both without pseudonyms; texts of any length are read whole.  Rows are
+    independent: repeated rows give equal rows; an empty table stays empty.  A column of the table named ``pseudonyms`` is
+    replaced, all others are kept whatever their names.  Texts without a digit or ``@`` or quoted value are skipped.
     """
     t = F.col(f"`{text}`")
 
@@ -248,7 +266,10 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
 
     none = F.array().cast("array<struct<kind:string,value:string>>")
     result = F.when(t.rlike("""[0-9@"]|[=:]\\s{0,3}'"""), let(F.regexp_extract_all(t, F.lit(PATTERN), F.lit(0)), lambda f: F.when(F.size(f) > 0, rewritten(f))))
-    out = docs.withColumn("_new", result)
-    rest = [F.coalesce(F.col("_new.text"), F.col(f"`{c}`")).alias(c) if c == text else F.col(f"`{c}`")
+    new = "_new"
+    while new in docs.columns:
+        new += "_"
+    out = docs.withColumn(new, result)
+    rest = [F.coalesce(F.col(f"{new}.text"), F.col(f"`{c}`")).alias(c) if c == text else F.col(f"`{c}`")
             for c in docs.columns if c != "pseudonyms"]
-    return out.select(*rest, F.coalesce("_new.found", none).alias("pseudonyms"))
+    return out.select(*rest, F.coalesce(f"{new}.found", none).alias("pseudonyms"))

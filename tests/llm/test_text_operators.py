@@ -189,3 +189,35 @@ def test_pair_network_is_a_permutation(spark):
     assert out.count() == 77 and out.where("l between 0 and 6 and r between 0 and 10").count() == 77
     digits = spark.range(1000).select(F.lpad(F.col("id").cast("string"), 3, "0").alias("d"))
     assert digits.select(pseudonyms.permute_text(F.col("d"), "k", "t").alias("x")).where("x rlike '^[0-9]{3}$'").distinct().count() == 1000
+
+
+def test_a_phone_in_any_grouping_is_one_pseudonym(table):
+    forms = ["+442079460958", "+44 20 7946 0958", "+44-20-7946-0958", "+1 (706) 555-3138", "+17065553138", "+35312345678", "+353 1 234 5678"]
+    out = pseudonyms.pseudonymise(table([(i, f"call {v} now") for i, v in enumerate(forms)], "doc_id long, text string"), "k")
+    new = ["".join(c for c in r.text if c.isdigit()) for r in out.orderBy("doc_id").collect()]
+    assert new[0] == new[1] == new[2] and new[3] == new[4] and new[5] == new[6]
+    old = ["".join(c for c in v if c.isdigit()) for v in forms]
+    assert all(a != b and len(a) == len(b) for a, b in zip(old, new))
+    assert new[0][:2] == "44" and new[3][0] == "1" and new[5][:3] == "353"
+
+
+def test_texts_are_permuted_within_their_shape(spark):
+    """All values of a small set come back once each; hex stays hex and digits stay digits."""
+    pairs = spark.range(0, 10_000).select(F.lpad(F.col("id").cast("string"), 4, "0").alias("v"))
+    assert pairs.select(pseudonyms.permute_text(F.col("v"), "k", "t").alias("p")).distinct().count() == 10_000
+    letters = spark.range(0, 676 * 10).select(F.concat(F.chr(97 + F.col("id") % 26), F.chr(97 + F.floor(F.col("id") / 26) % 26),
+                                                       F.floor(F.col("id") / 676).cast("string")).alias("v"))
+    out = letters.select(pseudonyms.permute_text(F.col("v"), "k", "t").alias("p")).distinct()
+    assert out.count() == 6760 and out.where("p rlike '^[a-z]{2}[0-9]$'").count() == 6760
+    mixed = spark.range(0, 3000).select(F.explode(F.array(
+        F.substring(F.md5(F.col("id").cast("string")), 1, 16), F.concat(F.lit("abcdef0123456a"), F.lpad(F.col("id").cast("string"), 4, "z")),
+        F.lpad(F.col("id").cast("string"), 16, "1"))).alias("v")).distinct()
+    shaped = mixed.select("v", pseudonyms.permute_text(F.col("v"), "k", "t").alias("p")).cache()
+    assert shaped.select("p").distinct().count() == mixed.count()
+    assert shaped.where(F.col("v").rlike(pseudonyms.HEX_SHAPE) != F.col("p").rlike(pseudonyms.HEX_SHAPE)).count() == 0
+
+
+def test_any_column_name_is_kept(spark):
+    rows = spark.createDataFrame([(1, "mail a.b@example.org", "mine"), (2, None, None)], "doc_id long, text string, _new string")
+    out = pseudonyms.pseudonymise(rows, "k").orderBy("doc_id").collect()
+    assert [r["_new"] for r in out] == ["mine", None] and out[0].text != "mail a.b@example.org" and out[1].text is None
