@@ -13,10 +13,10 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from plumbline.functions.text import normalize_nfkd
 from plumbline.operators import chunking, models, sparse
-from plumbline.operators.chat import touch_sessions
-from plumbline.schemas import CHUNK, CHUNK_COLUMNS, FILE
+from plumbline.schemas import CHAT_SESSION, CHUNK, CHUNK_COLUMNS, FILE
 from plumbline.session import remove_folder, shared_folder
 from plumbline.sources import store
+from plumbline.sources.merge_table import MergeTable
 from plumbline.streaming import statistics as changes
 
 # Progress of ingestion stages, life of a cached answer, request limit.
@@ -339,18 +339,29 @@ def assemble_answers(tokens: DataFrame, keys: list[str], order: str = "seq", tok
                                       F.max("done").alias("_done")).where("_done").drop("_done"))
 
 
-def append_batch(messages: DataFrame, epoch: int, message_path: str, session_path: str) -> None:
-    """Add one batch of messages and move their sessions' ``updated_at``.
+def session_table(spark: SparkSession, path: str) -> MergeTable:
+    """Conversations by tenant; a batch changes ``updated_at`` only."""
+    return MergeTable(spark, path, CHAT_SESSION, ("org_id", "session_id"), ("updated_at",), ("org_id",))
 
-    The batch number is a partition that is overwritten, so a batch that runs again is not added twice.
+
+def append_batch(messages: DataFrame, epoch: int, message_path: str, session_path: str, compact_every: int = 100) -> None:
+    """Add one batch of messages and move their sessions' ``updated_at`` in the :func:`session_table` at ``session_path``.
+
+    What is written are the batch's messages and one change row per session they belong to; the table takes its changes into
+    its base every ``compact_every`` batches.  The batch number names the partition of messages and the change, both of which
+    are overwritten, so a batch that runs again is not added twice.  Messages of unknown sessions make no session.
     """
     spark = messages.sparkSession
     (messages.withColumn("epoch", F.lit(epoch)).write.mode("overwrite").partitionBy("epoch")
      .option("partitionOverwriteMode", "dynamic").parquet(message_path))
-    sessions = spark.read.parquet(session_path)
-    added = spark.read.parquet(message_path).where(F.col("epoch") == epoch)
-    touched = sessions.join(added.select("org_id").distinct(), "org_id", "left_semi")
-    store.replace_partitions(touch_sessions(touched, added).select(*sessions.columns), session_path, ["org_id"])
+    schema = T.StructType([*messages.schema.fields, T.StructField("epoch", T.IntegerType())])
+    added = spark.read.schema(schema).parquet(message_path).where(F.col("epoch") == epoch)
+    table = session_table(spark, session_path)
+    newest = added.groupBy("org_id", "session_id").agg(F.max("created_at").alias("_newest"))
+    moved = table.read().join(newest, ["org_id", "session_id"]).withColumn("updated_at", F.greatest("updated_at", "_newest"))
+    table.upsert(moved.drop("_newest"), epoch)
+    if (epoch + 1) % compact_every == 0:
+        table.compact()
 
 
 def append_messages(messages: DataFrame, message_path: str, session_path: str, checkpoint: str,

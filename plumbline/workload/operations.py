@@ -491,14 +491,16 @@ FROM conversations GROUP BY conv_id""")
 def streamed_messages(spark, d):
     """Messages appended from a stream move their session's time."""
     messages, sessions = shared_folder(spark, "messages"), shared_folder(spark, "sessions")
-    _sessions(spark, d).write.partitionBy("org_id").parquet(sessions)
+    table = jobs.session_table(spark, sessions)
+    table.upsert(_sessions(spark, d), 0)
+    table.compact()
     source = _stream(spark, d, "conversations").select(
         _str("conv_id").alias("session_id"), F.concat_ws(":", "conv_id", "turn").alias("message_id"),
         F.concat(F.lit("org"), (F.col("conv_id") % 7).cast("string")).alias("org_id"), "role", F.col("text").alias("content"),
         F.timestamp_seconds(F.lit(1704067200) + F.col("conv_id") * 3600 + F.col("turn") * 60).alias("created_at"))
     jobs.append_messages(source, messages, sessions, shared_folder(spark, "checkpoint")).awaitTermination()
     counts = spark.read.parquet(messages).groupBy("session_id").agg(F.count(F.lit(1)).alias("n_messages"))
-    return spark.read.parquet(sessions).join(counts, "session_id").select(
+    return table.read().join(counts, "session_id").select(
         "session_id", "n_messages", F.unix_seconds("updated_at").alias("updated"))
 
 

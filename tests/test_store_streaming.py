@@ -230,3 +230,22 @@ def test_pages_are_normalised_on_the_way_in(spark, tmp_path):
     path = str(tmp_path / "ix")
     jobs.ingest_batch(spark.createDataFrame([("a", 0, "\ufb01ne  caf\u00e9 \u2167.", "o", "a"), ("b", 0, None, "o", "b")], DOCS), path, dim=8, buckets=1, nfkd=True)
     assert [r.content for r in jobs.read_placed(spark, f"{path}/chunks").collect()] == ["fine cafe\u0301 VIII."]
+
+
+def test_messages_touch_their_sessions_only(spark, tmp_path):
+    """Batches over two tenants, one of them run again, with a compaction between; an unknown session makes no row."""
+    path, table = str(tmp_path / "m"), jobs.session_table(spark, str(tmp_path / "s"))
+    at = lambda n: F.timestamp_seconds(F.lit(n))
+    known = spark.range(50).select(F.concat(F.lit("s"), F.col("id")).alias("session_id"), F.concat(F.lit("o"), F.col("id") % 2).alias("org_id"),
+                                   F.lit("t").alias("title"), at(0).alias("created_at"), at(5).alias("updated_at"))
+    table.upsert(known, 0)
+    table.compact()
+    batch = lambda rows: spark.createDataFrame(rows, "session_id string, org_id string, t long").select("session_id", "org_id", at(F.col("t")).alias("created_at"))
+    first = batch([("s0", "o0", 9), ("s0", "o0", 7), ("s1", "o1", 3), ("s1", "o0", 99), ("new", "o0", 4)])
+    for epoch, rows in [(0, first), (0, first), (1, batch([("s0", "o0", 8)])), (2, batch([("s3", "o1", 20)]))]:
+        jobs.append_batch(rows, epoch, path, table.path, compact_every=2)
+    changes_ = spark.read.parquet(f"{table.path}/{max(p.name for p in (tmp_path / 's').iterdir())}/changes")
+    assert [r.session_id for r in changes_.collect()] == ["s3"]
+    got = {(r.session_id, r.org_id): r.u for r in table.read().select("session_id", "org_id", F.unix_seconds("updated_at").alias("u")).collect()}
+    assert len(got) == 50 and got["s0", "o0"] == 9 and got["s1", "o1"] == 5 and got["s3", "o1"] == 20 and got["s2", "o0"] == 5
+    assert spark.read.parquet(path).count() == 7
