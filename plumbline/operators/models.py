@@ -21,7 +21,7 @@ from plumbline.functions.text import TOKEN, let, tokenize
 from plumbline.operators.fusion import rank_within
 from plumbline.schemas import EMBED_DIM
 
-EMBED_BATCH, RERANK_BATCH = 64, 16
+EMBED_BATCH, RERANK_BATCH, IMAGE_BATCH = 64, 16, 8
 TextToVectors = Callable[[list[str]], np.ndarray]
 
 
@@ -183,24 +183,24 @@ def guard_job(answers: DataFrame, load=None) -> DataFrame:
     return replied.withColumn("guard", verdict).drop("guard_prompt", "guard_reply")
 
 
-def describe_images_job(images: DataFrame, load: Callable[[], Callable[[bytes], tuple[str, str]]] | None = None,
-                        image: str = "image_data") -> DataFrame:
-    """Add ``caption`` and ``ocr_text``; a failing image gets empty texts.  The default describes nothing."""
+def describe_images_job(images: DataFrame, load: Callable[[], Callable[[list[bytes]], list[tuple[str, str]]]] | None = None,
+                        image: str = "image_data", batch: int = IMAGE_BATCH) -> DataFrame:
+    """Add ``caption`` and ``ocr_text``.  The model takes ``batch`` images at once; images of a batch that fails are tried one
+    by one, and a failing image gets empty texts.  The default describes nothing."""
     if load is None:
         return images.withColumns({"caption": F.lit(""), "ocr_text": F.lit("")})
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         describe = load()
 
-        def safe(data):
+        def safe(images):
             try:
-                caption, ocr = describe(data)
-                return caption or "", ocr or ""
+                return [(caption or "", ocr or "") for (caption, ocr), _ in zip(describe(images), images, strict=True)]
             except Exception:
-                return "", ""
+                return [("", "")] if len(images) == 1 else [safe([data])[0] for data in images]
 
         for part in parts:
-            described = [safe(data) for data in part[image]]
+            described = [d for images in _batched(list(part[image]), batch) for d in safe(images)]
             yield part.assign(caption=_strings([d[0] for d in described], part),
                               ocr_text=_strings([d[1] for d in described], part))
 

@@ -632,6 +632,6 @@ def described_images(spark, d):
         F.concat_ws("\n", "fig_caption", "caption").alias("image_data"))
 
     def load():
-        return lambda data: (str(len(data.split("\n")[0])), data.split("\n")[1])
+        return lambda images: [(str(len(data.split("\n")[0])), data.split("\n")[1]) for data in images]
 
     return assemble_image_chunks(models.describe_images_job(pages, load)).select("doc_id", "content")

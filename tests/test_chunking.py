@@ -71,7 +71,7 @@ def test_corpus_files(spark, tmp_path):
     assert [(r.doc_id, r.section_id) for r in sections.orderBy("section_id").collect()] == [("p1", 0), ("p1", 1)]
 
     def describe(images):
-        return models.describe_images_job(images, lambda: lambda data: (f"cap {data}", 1 / 0 if data == "y" else "ocr"))
+        return models.describe_images_job(images, lambda: lambda some: [(f"cap {data}", 1 / 0 if data == "y" else "ocr") for data in some])
 
     got = {r.chunk_id: r.content for r in chunking.chunk_corpus(sections, describe).collect()}
     assert set(got) == {"p1_s0_t0", "p1_s0_t1_r0", "p1_s0_i0", "p1_s0_i2"}  # i1 is empty, i3 is the fourth
