@@ -330,6 +330,23 @@ def metadata_round_trip(spark, d):
         "event_id", k.alias("k"), store.metadata_field(built, "label").alias("label"))
 
 
+@register("F18 S13", """SELECT event_id, (props::JSON ->> '$.k') AS k, CASE WHEN event_id % 2 = 1 THEN event_type END AS label,
+  CASE WHEN event_id % 2 = 1 THEN value END AS weight, CASE WHEN event_id % 2 = 1 THEN user_id END AS owner, NULL::VARCHAR AS note FROM events""")
+def variant_metadata(spark, d):
+    """Metadata stored as VARIANT in two writes, the second with one more column, read by path."""
+    path = shared_folder(spark, "variants")
+    events = tables.load(spark, d, "events")
+    given = events.select("event_id", store.variant_metadata(F.col("props"), is_json=True).alias("metadata"))
+    built = events.select("event_id", store.variant_metadata(F.col("props"), is_json=True).alias("metadata"), store.variant_metadata(
+        F.struct(F.col("event_type").alias("label"), F.struct("value").alias("inner"), F.array("user_id").alias("ids"))).alias("more"))
+    given.where("event_id % 2 = 0").write.parquet(path)
+    built.where("event_id % 2 = 1").write.mode("append").parquet(path)
+    rows = store.read_merged(spark, path, T.StructType([T.StructField("note", T.StringType())]))
+    more = lambda at, data_type: store.variant_field(F.col("more"), at, data_type)
+    return rows.select("event_id", store.variant_field(F.col("metadata"), "$.k").alias("k"), more("$.label", "string").alias("label"),
+                       more("$.inner.value", "double").alias("weight"), more("$.ids[0]", "bigint").alias("owner"), "note")
+
+
 @register("F23", """SELECT path, CASE ext WHEN 'txt' THEN 'TXT' WHEN 'md' THEN 'TXT' WHEN 'csv' THEN 'CSV' WHEN 'png' THEN 'IMG'
   ELSE 'TXT' END AS kind FROM (SELECT 'up/' || doc_id || (""" + FILE_EXT + """) AS path,
   lower(string_split(""" + FILE_EXT + """, '.')[2]) AS ext FROM documents)""")
