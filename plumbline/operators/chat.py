@@ -51,10 +51,3 @@ def newly_indexed(status_log: DataFrame, key: str = "file_id", order: list[str]
 
 def message_listing(messages: DataFrame) -> DataFrame:
     return messages.orderBy("session_id", "created_at", "message_id")
-
-
-def touch_sessions(sessions: DataFrame, messages: DataFrame) -> DataFrame:
-    """Sessions with ``updated_at`` moved to their newest message."""
-    newest = messages.groupBy("session_id").agg(F.max("created_at").alias("_newest"))
-    return (sessions.join(newest, "session_id", "left")
-            .withColumn("updated_at", F.greatest("updated_at", "_newest")).drop("_newest").select(*sessions.columns))
