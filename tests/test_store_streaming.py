@@ -22,6 +22,16 @@ def test_upsert_rules(spark):
     assert got(ruled) == [("a", 1, "x"), ("b", 2, "yY"), ("c", 30, "Z")]
 
 
+def test_files_registered_again_keep_their_tenant(spark):
+    schema = "file_id string, org_id string, filename string, status string"
+    known = spark.createDataFrame([("f1", "o", "n.txt", "completed"), ("f2", "o", "m.txt", "error")], schema)
+    rows = spark.createDataFrame([("f1", "x", "y"), ("f3", "x", "z")], "file_id string, org_id string, filename string")
+    got = lambda df: sorted(tuple(r) for r in df.collect())
+    assert got(store.store_files(known, rows)) == [("f1", "o", "n.txt", "processing"), ("f2", "o", "m.txt", "error"), ("f3", "x", "z", "processing")]
+    assert got(store.store_files(known, rows, ("org_id", "file_id"))) == [
+        ("f1", "o", "n.txt", "completed"), ("f1", "x", "y", "processing"), ("f2", "o", "m.txt", "error"), ("f3", "x", "z", "processing")]
+
+
 def test_replace_partitions_reads_and_writes_one_table(spark, tmp_path):
     path = str(tmp_path / "t")
     spark.createDataFrame([("a", 1), ("b", 2)], "p string, v int").write.partitionBy("p").parquet(path)
