@@ -336,8 +336,9 @@ def latest_status(spark, d):
 
 
 def _stream(spark, d, name):
-    return (spark.readStream.schema(tables.load(spark, d, name).schema).option("pathGlobFilter", f"{name}.parquet")
-            .parquet(d))
+    """A table as a stream, whether it is one file or a folder of files.  The pattern names just the table; a plain path to a
+    file is refused by a streaming source."""
+    return spark.readStream.schema(tables.load(spark, d, name).schema).parquet(f"{d}/{name}.parque[t]")
 
 
 def _drain(spark, stream, writer=None):

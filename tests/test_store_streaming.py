@@ -10,6 +10,7 @@ from plumbline.schemas import FILE
 from plumbline.sources import store
 from plumbline.streaming import jobs
 from plumbline.streaming import statistics as changes
+from plumbline.workload import operations
 
 
 def test_upsert_rules(spark):
@@ -32,6 +33,18 @@ def test_files_registered_again_keep_their_tenant(spark):
         ("f1", "o", "n.txt", "completed"), ("f1", "x", "y", "processing"), ("f2", "o", "m.txt", "error"), ("f3", "x", "z", "processing")]
 
 
+def test_tables_stream_from_a_file_and_from_a_folder(spark, tmp_path):
+    rows = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet")
+    rows.repartition(5).write.parquet(str(tmp_path / "conversations.parquet"))
+    rows.limit(3).write.parquet(str(tmp_path / "other.parquet"))
+    want = sorted(tuple(r) for r in rows.where("role <> 'system'").select("conv_id", "turn", "text").collect())
+    for folder in ("/root/testdata/sf0.001", str(tmp_path)):
+        for run in (operations.streamed_answers, operations.streamed_messages):
+            found = run(spark, folder)
+            assert found.count() == (len(want) if run is operations.streamed_answers else rows.select("conv_id").distinct().count())
+        assert sorted(tuple(r) for r in operations.streamed_answers(spark, folder).select("conv_id", "turn", "answer").collect()) == want
+
+
 def test_replace_partitions_reads_and_writes_one_table(spark, tmp_path):
     path = str(tmp_path / "t")
     spark.createDataFrame([("a", 1), ("b", 2)], "p string, v int").write.partitionBy("p").parquet(path)
