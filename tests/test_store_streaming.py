@@ -272,3 +272,18 @@ def test_messages_touch_their_sessions_only(spark, tmp_path):
     got = {(r.session_id, r.org_id): r.u for r in table.read().select("session_id", "org_id", F.unix_seconds("updated_at").alias("u")).collect()}
     assert len(got) == 50 and got["s0", "o0"] == 9 and got["s1", "o1"] == 5 and got["s3", "o1"] == 20 and got["s2", "o0"] == 5
     assert spark.read.parquet(path).count() == 7
+
+
+def test_a_table_is_replaced_in_one_write_and_stored_rows_are_not_written_again(spark, tmp_path, monkeypatch):
+    made = []
+    real = store.shared_folder
+    monkeypatch.setattr(store, "shared_folder", lambda session, purpose: made.append(purpose) or real(session, purpose))
+    path = str(tmp_path / "t")
+    spark.createDataFrame([("a", 1, "x"), ("b", 2, "y")], "k string, v int, p string").write.partitionBy("p").parquet(path)
+    old = spark.read.schema("k string, v int, p string").parquet(path)
+    new = spark.createDataFrame([("b", 20, "y"), ("c", 3, "y")], "k string, v int, p string")
+    store.replace_partitions(store.upsert(old.where("p = 'y'"), new, ["k"], ["v"], stored=True), path, ["p"])
+    got = sorted(tuple(r) for r in spark.read.schema("k string, v int, p string").parquet(path).collect())
+    assert got == [("a", 1, "x"), ("b", 20, "y"), ("c", 3, "y")] and made == []
+    with pytest.raises(ValueError, match="comes twice"):
+        store.upsert(old, new.unionByName(new), ["k"], ["v"], stored=True)
