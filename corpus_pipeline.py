@@ -67,8 +67,10 @@ def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of token sequences; a null or empty text is its end id alone, an empty table gives none."""
-    return packing.pack(docs, tokenizer_path())
+    """Pieces of token sequences; a null or empty text is its end id alone, an empty table gives none.
+
+    Chunks are held in less room than by the operator alone: workers come here with what earlier stages left in memory."""
+    return packing.pack(docs, tokenizer_path(), held_bytes=48 << 20)
 
 
 def tidy(step):

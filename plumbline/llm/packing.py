@@ -60,16 +60,26 @@ def hilbert_keys(points: np.ndarray, bits: int = BITS) -> np.ndarray:
 
 SYMBOLS = bytes(b for b in range(33, 127) if not chr(b).isalnum() and b != 39)
 TAIL = re.compile(b"(?<=[a-z])([" + re.escape(SYMBOLS) + rb"]+)(?=\s|$)")
-TAILED = re.compile(b"([A-Za-z]+)([" + re.escape(SYMBOLS) + b"]+)")
+#: a letter between U+00C0 and U+00FF, as UTF-8
+LATIN = rb"\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]"
+TAILED = re.compile(b"((?:[A-Za-z]|" + LATIN + b")+)([" + re.escape(SYMBOLS) + b"]*)")
+#: Kinds of bytes: s symbol or control, c first byte of U+00C0 to U+00FF, x second byte of the two signs there, o first byte of others.
+KINDS = bytes(
+    ord("l" if chr(b).isalnum() else " " if chr(b).isspace() and b < 28 or b == 32 else "s") if b < 128
+    else ord("x" if b in (0x97, 0xb7) else "l" if b < 0xc0 else "c" if b == 0xc3 else "o") for b in range(256))
 
 
 def _chunked(text: bytes) -> list[bytes]:
     """Text between spaces.  The tokenizer lower-cases and parts letters from symbols: doing the first ahead, and the second
-    where symbols are frequent, leaves fewer different chunks.  Texts that may hold special tokens stay as they are, and
-    so do those with marks that the tokenizer joins to an ASCII letter before it lower-cases (U+0300 to U+0338: byte CC)."""
+    where symbols are frequent or no two stand together, leaves fewer different chunks.  Texts that may hold special tokens stay
+    as they are, and so do those with marks that the tokenizer joins to an ASCII letter before it lower-cases (U+0300 to U+0338:
+    byte CC)."""
     if b"<|" not in text and b"\xcc" not in text:
         text = text.lower()
-        if 30 * (len(text) - len(text.translate(None, SYMBOLS))) > len(text):
+        kinds = text.translate(KINDS)
+        if b"ss" not in kinds and b"o" not in kinds and b"cx" not in kinds:
+            text = text.replace(b". ", b" . ").replace(b", ", b" , ").replace(b".\n", b" .\n")
+        elif 30 * (len(text) - len(text.translate(None, SYMBOLS))) > len(text):
             text = TAIL.sub(rb" \1", text)
     return text.split()
 
@@ -96,6 +106,9 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+HELD_BYTES = 160 << 20
+
+
 class Encoder:
     """Token ids of texts.  The tokenizer drops white space, so that what stands between spaces is encoded by itself, each
     such chunk once as long as it is held.  Chunks are held up to about ``held_bytes``: beyond it those seen more than
@@ -104,7 +117,7 @@ class Encoder:
     #: of a chunk besides its letters: object, table entry, number, place of its ids
     ENTRY = 170
 
-    def __init__(self, path: str, held_bytes: int = 160 << 20):
+    def __init__(self, path: str, held_bytes: int = HELD_BYTES):
         self.tokenizer, self.held_bytes = _tokenizer(path), held_bytes
         vocabulary = self.tokenizer.get_vocab()
         self.dtype = np.dtype("<u2" if len(vocabulary) <= 1 << 16 else "<u4")
@@ -118,6 +131,7 @@ class Encoder:
 
     def _shrink(self) -> None:
         names = list(self.chunks)
+        self.chunks.clear()  # before the smaller one is made
         cost = np.fromiter(map(len, names), np.int64, len(names)) + self.ENTRY + self.count * self.dtype.itemsize
         again = np.flatnonzero(self.uses[1:] > 1) + 1
         again = again[np.argsort(-self.uses[again], kind="stable")]
@@ -129,12 +143,12 @@ class Encoder:
         self.first, self.count, self.uses = first.astype(np.int32), count, np.maximum(self.uses[kept] // 2, 1)
 
     def _words(self, words: list[bytes]) -> list[np.ndarray]:
-        """Ids of words of ASCII letters: encoded as one text where the vocabulary marks ends of words."""
+        """Ids of words of letters: encoded as one text where the vocabulary marks ends of words."""
         if words and self.ends.any():
             joined = np.array(self._ids([b" ".join(words)])[0], self.dtype)
-            after = np.flatnonzero(self.ends[joined]) + 1
+            after = (np.flatnonzero(self.ends[joined]) + 1).tolist()
             if len(after) == len(words):
-                return np.split(joined, after[:-1])
+                return [joined[a:b] for a, b in zip([0, *after], after)]
         return [np.array(i, self.dtype) for i in self._ids(words)]
 
     def _learn(self, new: list[bytes]) -> None:
@@ -142,9 +156,9 @@ class Encoder:
         learned = len(self.count)
         parts, words, others = [], {}, {}
         for chunk in new:
-            tailed = TAILED.fullmatch(chunk)
-            letters = tailed[1] if tailed else chunk if chunk.isalpha() else None  # isalpha of bytes: ASCII letters only
-            rest = tailed[2] if tailed else chunk if letters is None else None
+            tailed = None if chunk.isalpha() else TAILED.fullmatch(chunk)  # isalpha of bytes: ASCII letters only
+            letters = tailed[1] if tailed else chunk if chunk.isalpha() else None
+            rest = tailed[2] or None if tailed else chunk if letters is None else None
             if letters is not None and self.chunks.get(letters, learned) >= learned:
                 words[letters] = None
             if rest is not None:
@@ -194,9 +208,9 @@ class Encoder:
 
 
 @cache
-def encoder(path: str) -> Encoder:
+def encoder(path: str, held_bytes: int) -> Encoder:
     """One per worker process: tasks that follow each other keep the chunks learned, within the bound."""
-    return Encoder(path)
+    return Encoder(path, held_bytes)
 
 
 def _keys(texts: list[bytes]) -> np.ndarray:
@@ -208,20 +222,21 @@ def _texts(batch: pa.RecordBatch) -> list[bytes]:
 
 
 def pack(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: str = "text", sequence: int = 2048,
-         with_ids: bool = False) -> DataFrame:
+         with_ids: bool = False, held_bytes: int = HELD_BYTES) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ``ids``).
 
     Documents lie one after the other along the curve (ties by doc_id, then ids) and are cut at every multiple of
     ``sequence`` ids: every sequence but the last is full.  A null or empty text is the end id alone, a text of any length
     is cut like others, repeated rows are packed each, and an empty table gives no piece.  Further columns are not read.
     Texts are tokenised once and written; (key, doc_id, size) alone are range-sorted along the curve, running sizes give
-    each document its place in the whole, and the place is joined back to the ids.
+    each document its place in the whole, and the place is joined back to the ids.  ``held_bytes`` bounds the learned chunks
+    of a worker; with less room more is encoded again, to the same ids.
     """
     docs = pick(docs, doc_id=doc_id, text=text).select(
         F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
 
     def tokenised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = encoder(tokenizer_path)
+        coder = encoder(tokenizer_path, held_bytes)
         for whole in batches:
             for batch in _slices(whole):
                 texts = _texts(batch)

@@ -100,6 +100,23 @@ def test_ids_of_any_unicode_text_whatever_is_held():
         assert coder.size < held + 50 * 300 * 40  # never more than the bound and what one call adds
 
 
+def test_words_and_their_tails_are_told_apart():
+    from tokenizers import Tokenizer
+
+    tok, random = Tokenizer.from_file(tokenizer_path()), np.random.default_rng(6)
+    assert packing._chunked("Été, deux. Trois.\nl'été.".encode()) == "ÉtÉ , deux . trois . l'été.".replace("tÉ", "té").encode().split()
+    ends = [". ", ", ", ".\n", " ", "! ", "' ", "'s. ", "×, ", "÷. ", "”. ", ".. ", "\x1c. ", "3. ", ".", ","]
+    texts = ["".join(f"{random.choice(['été', 'Ñandú', 'über', 'plain', 'Àé', '5', ''])}{random.choice(ends[:n])}" for _ in range(12)) for n in (3, 5, 8, 15) for _ in range(300)]
+    coder = packing.Encoder(tokenizer_path())
+    assert [i.tolist() for i in coder.encode([t.encode() for t in texts])] == [[*tok.encode(t, add_special_tokens=False).ids, 1] for t in texts]
+
+
+def test_packing_with_little_room_is_the_same(table):
+    rows = pack_rows()
+    packed = lambda **more: sorted(tuple(r) for r in packing.pack(table(rows, DOCS), tokenizer_path(), **more).collect())
+    assert packed(held_bytes=1 << 12) == packed()
+
+
 def test_hilbert_neighbours_touch():
     grid = np.array([[i, j, k] for i in range(8) for j in range(8) for k in range(8)])
     keys = packing.hilbert_keys(grid + 0.0 - 4, bits=3)
