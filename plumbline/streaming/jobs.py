@@ -48,6 +48,12 @@ def _bucket(buckets: int) -> Column:
     return F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int")
 
 
+def _only(table: DataFrame, places: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of the places named.  These are one row per stored folder, and a place may hold any number of rows: the places are
+    broadcast, as a join by place would bring each place to one task."""
+    return table.join(F.broadcast(places), keys, "left_semi")
+
+
 def _stored(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     spark.createDataFrame([], schema).write.mode("append").partitionBy(*PLACE).parquet(path)  # makes the folder
     return spark.read.schema(schema).parquet(path)
@@ -86,7 +92,7 @@ def ingest_batch(documents: DataFrame, path: str, load=None, dim: int = 1024, bu
     touched = fresh.select(*PLACE).distinct()
 
     def merge(name, schema, rows, rule):
-        table = _stored(spark, f"{path}/{name}", schema).join(touched, PLACE, "left_semi").select(*schema.names)
+        table = _only(_stored(spark, f"{path}/{name}", schema), touched, PLACE).select(*schema.names)
         store.replace_partitions(rule(table, rows.select(*schema.names), KEYS), f"{path}/{name}", PLACE)
 
     _register_files(documents, path)
@@ -94,7 +100,7 @@ def ingest_batch(documents: DataFrame, path: str, load=None, dim: int = 1024, bu
     merge("chunks", INGEST_CHUNK, fresh, lambda old, new, keys: store.store_chunks(old, new, keys, stored=True))
     vectors = models.embed_job(fresh.select("chunk_id", "file_id", "content", *PLACE), load, dim)
     merge("vectors", INGEST_VECTOR, vectors, store.store_embeddings)
-    changed = spark.read.schema(INGEST_CHUNK).parquet(f"{path}/chunks").join(touched, PLACE, "left_semi")
+    changed = _only(spark.read.schema(INGEST_CHUNK).parquet(f"{path}/chunks"), touched, PLACE)
     counted = shared_folder(spark, "counted")
     if statistics == "whole":
         forward = sparse.forward_index(changed, keep=("bucket",))
@@ -104,7 +110,7 @@ def ingest_batch(documents: DataFrame, path: str, load=None, dim: int = 1024, bu
         sparse.forward_index(changed.join(fresh.select(*KEYS), KEYS, "left_semi"), keep=("bucket",)).write.parquet(counted)
         new = spark.read.parquet(counted)
         new = spark.read.schema(_as_text(new.schema)).parquet(counted)
-        old = _stored(spark, f"{path}/forward", new.schema).join(touched, PLACE, "left_semi").select(*new.columns)
+        old = _only(_stored(spark, f"{path}/forward", new.schema), touched, PLACE).select(*new.columns)
         changes.record(spark, path, batch or uuid.uuid4().hex, new, old.join(new.select(*KEYS), KEYS, "left_semi"))
         store.replace_partitions(old.join(new.select(*KEYS), KEYS, "left_anti").unionByName(new), f"{path}/forward", PLACE)
     _finish_files(documents, path)
@@ -115,7 +121,7 @@ def ingest_batch(documents: DataFrame, path: str, load=None, dim: int = 1024, bu
 def _renew_statistics(spark: SparkSession, path: str, forward_schema: T.StructType, touched: DataFrame) -> None:
     """Statistics of the touched (tenant, modality) groups from the stored forward index; empty groups vanish."""
     groups = touched.select(*GROUP).distinct()
-    whole = spark.read.schema(forward_schema).parquet(f"{path}/forward").join(groups, GROUP, "left_semi")
+    whole = _only(spark.read.schema(forward_schema).parquet(f"{path}/forward"), groups, GROUP)
     stats = sparse.corpus_stats(whole)
     terms = sparse.term_stats(whole, stats)
     store.replace_partitions(stats, f"{path}/corpus_stats", GROUP, groups)
@@ -135,7 +141,7 @@ def _register_files(documents: DataFrame, path: str) -> None:
     """Files of the batch as ``processing``; those stored before keep their other columns."""
     rows = documents.select("file_id", "org_id").distinct()
     tenants = rows.select("org_id").distinct()
-    known = _files(documents.sparkSession, path).join(tenants, "org_id", "left_semi").select(*INGEST_FILE.names)
+    known = _only(_files(documents.sparkSession, path), tenants, ["org_id"]).select(*INGEST_FILE.names)
     store.replace_partitions(store.store_files(known, rows, ("org_id", "file_id")), f"{path}/files", ["org_id"])
 
 
@@ -148,7 +154,7 @@ def _finish_files(documents: DataFrame, path: str) -> None:
     results = counted.select("org_id", "file_id", "chunk_count",
                              F.when(F.col("chunk_count").isNull(), "error").otherwise("indexed").alias("status"),
                              F.when(F.col("chunk_count").isNull(), "No chunks extracted").alias("error"))
-    known = _files(spark, path).join(files.select("org_id").distinct(), "org_id", "left_semi").select(*INGEST_FILE.names)
+    known = _only(_files(spark, path), files.select("org_id").distinct(), ["org_id"]).select(*INGEST_FILE.names)
     done = store.update_file_status(known, results, F.lit(None).cast("timestamp"))
     store.replace_partitions(done.select(*INGEST_FILE.names), f"{path}/files", ["org_id"])
 
@@ -164,15 +170,15 @@ def delete_stored_files(spark: SparkSession, path: str, doomed: DataFrame, stati
     touched = spark.read.schema(T.StructType([INGEST_CHUNK[c] for c in PLACE])).parquet(kept_in)
     forward_schema = read_placed(spark, f"{path}/forward").schema
     if statistics == "changes":
-        gone = spark.read.schema(forward_schema).parquet(f"{path}/forward").join(touched, PLACE, "left_semi").join(doomed, pair, "left_semi")
+        gone = _only(spark.read.schema(forward_schema).parquet(f"{path}/forward"), touched, PLACE).join(doomed, pair, "left_semi")
         changes.record(spark, path, batch or uuid.uuid4().hex, gone.limit(0), gone)
     for name, schema in (("chunks", INGEST_CHUNK), ("vectors", INGEST_VECTOR), ("forward", forward_schema)):
-        table = spark.read.schema(schema).parquet(f"{path}/{name}").join(touched, PLACE, "left_semi").select(*schema.names)
+        table = _only(spark.read.schema(schema).parquet(f"{path}/{name}"), touched, PLACE).select(*schema.names)
         store.replace_partitions(table.join(doomed, pair, "left_anti").select(*schema.names), f"{path}/{name}", PLACE, touched)
     if statistics == "whole":
         _renew_statistics(spark, path, forward_schema, touched)
     tenants = doomed.select("org_id").distinct()
-    files = _files(spark, path).join(tenants, "org_id", "left_semi").select(*INGEST_FILE.names)
+    files = _only(_files(spark, path), tenants, ["org_id"]).select(*INGEST_FILE.names)
     store.replace_partitions(files.join(doomed, pair, "left_anti").select(*INGEST_FILE.names), f"{path}/files", ["org_id"], tenants)
     remove_folder(spark, kept_in)
 

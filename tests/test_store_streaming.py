@@ -33,6 +33,30 @@ def test_files_registered_again_keep_their_tenant(spark):
         ("f1", "o", "n.txt", "completed"), ("f1", "x", "y", "processing"), ("f2", "o", "m.txt", "error"), ("f3", "x", "z", "processing")]
 
 
+def test_a_place_is_not_brought_to_one_task(spark, tmp_path, monkeypatch):
+    """Whatever Spark guesses of its size, the list of touched places is broadcast and the stored rows stay where they are."""
+    places, plans, replace = set(), [], store.replace_partitions
+
+    def seen(df, path, *more):
+        plans.append((path.rsplit("/", 1)[1], df._jdf.queryExecution().optimizedPlan().toString()))
+        replace(df, path, *more)
+
+    monkeypatch.setattr(store, "replace_partitions", seen)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = [(f"d{i}", 0, "a word. " * 20, "o", f"d{i}") for i in range(20)]
+        jobs.ingest_batch(spark.createDataFrame(rows, "doc_id string, section_id int, text string, org_id string, file_id string"),
+                          str(tmp_path / "index"), dim=4, buckets=2)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    for name, plan in plans:
+        semi = [line for line in plan.splitlines() if "Join LeftSemi" in line and ("bucket" in line or "modality" in line) and "chunk_id" not in line]
+        places |= {name} if semi else set()
+        assert all("strategy=broadcast" in line for line in semi), (name, semi)
+    assert {"chunks", "vectors", "forward"} <= places
+
+
 def test_tables_stream_from_a_file_and_from_a_folder(spark, tmp_path):
     rows = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet")
     rows.repartition(5).write.parquet(str(tmp_path / "conversations.parquet"))
