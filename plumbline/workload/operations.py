@@ -183,8 +183,10 @@ def cleared_table(spark, d):
 UNION ALL SELECT 'vectors', org_id, count(*) FROM text_chunks WHERE file_id NOT IN (SELECT file_id FROM doomed) GROUP BY org_id
 UNION ALL SELECT 'files', org_id, count(*) FROM files WHERE file_id NOT IN (SELECT file_id FROM doomed) GROUP BY org_id""")
 def file_deletion(spark, d):
-    """Deleted files take their chunks and vectors along."""
-    chunks = tables.text_chunks(spark, d, None)
+    """Deleted files take their chunks and vectors along.  Chunks and vectors are stored first, as the tables they are deleted from."""
+    path = shared_folder(spark, "chunks")
+    tables.text_chunks(spark, d, None).select("chunk_id", "org_id", "file_id").write.parquet(path)
+    chunks = spark.read.parquet(path)
     vectors = chunks.select("chunk_id")
     kept, vectors_kept, files_kept = store.delete_files(chunks, vectors, _files(spark, d), _doomed(spark, d))
     count = lambda df, part: df.groupBy("org_id").agg(F.count(F.lit(1)).alias("n")).select(F.lit(part).alias("part"), "org_id", "n")
