@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from oracle_compare import compare, connect
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -11,6 +12,7 @@ from plumbline.sources import store
 from plumbline.streaming import jobs
 from plumbline.streaming import statistics as changes
 from plumbline.workload import operations
+from plumbline.workload.catalog import ENTRIES
 
 
 def test_upsert_rules(spark):
@@ -69,6 +71,15 @@ def test_tables_stream_from_a_file_and_from_a_folder(spark, tmp_path):
         assert sorted(tuple(r) for r in operations.streamed_answers(spark, folder).select("conv_id", "turn", "answer").collect()) == want
 
 
+@pytest.mark.parametrize("name", ["ingested_chunks", "ingested_vectors", "streamed_ingest", "stored_deletion"])
+def test_ingest_of_tables_that_are_folders(spark, tmp_path, name):
+    for table in ("documents", "labels"):
+        spark.read.parquet(f"/root/testdata/sf0.001/{table}.parquet").repartition(3).write.parquet(str(tmp_path / f"{table}.parquet"))
+    entry = ENTRIES[name]
+    found, wanted, problems = compare(entry.run(spark, str(tmp_path)), connect("/root/testdata/sf0.001"), entry.sql)
+    assert found == wanted > 0 and not problems
+
+
 def test_replace_partitions_reads_and_writes_one_table(spark, tmp_path):
     path = str(tmp_path / "t")
     spark.createDataFrame([("a", 1), ("b", 2)], "p string, v int").write.partitionBy("p").parquet(path)
