@@ -1,4 +1,5 @@
 """Structured Streaming jobs.  Aggregating ones take a batch or a streaming DataFrame alike."""
+import bisect
 import hashlib
 import uuid
 from typing import Iterator
@@ -297,34 +298,89 @@ def dedup_queries_ttl_batch(requests: DataFrame, keys: list[str], ts: str = "ts"
     return marked.select(*keys, F.explode("answered").alias("answered_ms"))
 
 
-def _with_key(frame: pd.DataFrame, keys: list[str], key: tuple) -> pd.DataFrame:
-    for name, value in zip(reversed(keys), reversed(key[:len(keys)])):
-        frame.insert(0, name, pd.Series([value] * len(frame), dtype=object if isinstance(value, str) else None))
-    return frame
+#: Keys of a stream meet in buckets, so that a bucket and not a key is a call of Python.  Whole numbers beside nulls would come there as
+#: floats: they go without nulls, and one more column says where these were.
+KEY_ID, KEY_BUCKET, KEY_NULLS = "request_key", "request_bucket", "request_nulls"  # Spark renames what begins with _
+HELD = "ids array<string>, stored_ms array<long>"
+
+
+def key_id(df: DataFrame, keys: list[str]) -> Column:
+    """One text per key: lengths and values, ``-`` for null."""
+    def text(name):
+        kind, column = df.schema[name].dataType, F.col(name)
+        if isinstance(kind, T.BinaryType):
+            return F.hex(column)
+        return F.to_json(F.struct(column)) if isinstance(kind, (T.ArrayType, T.StructType, T.MapType)) else column.cast("string")
+    whole = lambda value: F.coalesce(F.concat(F.length(value).cast("string"), F.lit(":"), value), F.lit("-"))
+    return F.concat(*[whole(text(k)) for k in keys])
+
+
+def timed_by_bucket(requests: DataFrame, keys: list[str], ts: str, delay: str, buckets: int) -> DataFrame:
+    """``keys, ms`` with the watermark, the key's text, which of its columns are null, and the bucket it meets others in."""
+    nulls = F.concat(*[F.col(k).isNull().cast("int").cast("string") for k in keys])
+    filled = [F.coalesce(k, F.lit(0).cast(requests.schema[k].dataType)).alias(k) if isinstance(requests.schema[k].dataType, T.IntegralType)
+              else F.col(k) for k in keys]
+    return requests.withColumn("_ts", F.col(ts).cast("timestamp")).withWatermark("_ts", delay).select(
+        F.pmod(F.xxhash64(*keys), F.lit(buckets)).alias(KEY_BUCKET), *filled, nulls.alias(KEY_NULLS), "_ts",
+        F.unix_millis("_ts").alias("ms"), key_id(requests, keys).alias(KEY_ID))
+
+
+def answers_of(watered: DataFrame, keys: list[str]) -> T.StructType:
+    """What :func:`once_per_life` gives for the rows of :func:`timed_by_bucket`."""
+    return T.StructType([*(watered.schema[k] for k in (*keys, KEY_NULLS)), T.StructField("answered_ms", T.LongType())])
+
+
+def with_nulls(answers: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, answered_ms`` with the nulls that keys had."""
+    return answers.select(*[F.when(F.substring(KEY_NULLS, i + 1, 1) == "0", F.col(k)).alias(k) for i, k in enumerate(keys)], "answered_ms")
+
+
+def once_per_life(parts: Iterator[pd.DataFrame], held: tuple, keys: list[str], ttl_ms: int, watermark: int) -> tuple[pd.DataFrame | None, tuple]:
+    """Answers (:func:`answers_of`) to the requests of a bucket, given the texts and times its keys hold, and what they hold after
+    it: times whose life ends under the watermark are no longer held."""
+    parts = [part for part in parts if len(part)]
+    held_ids, held_ms = [list(of) for of in held]
+    answers, last = None, dict(zip(held_ids, held_ms))
+    if parts:
+        rows = pd.concat(parts, ignore_index=True) if len(parts) > 1 else parts[0]
+        code, names = pd.factorize(rows[KEY_ID])
+        order = np.lexsort((rows["ms"].to_numpy(), code))
+        times, answered = rows["ms"].to_numpy()[order].tolist(), []
+        ends = np.cumsum(np.bincount(code)).tolist()
+        for name, at, end in zip(names, [0, *ends], ends):
+            if name in last:
+                at = bisect.bisect_right(times, last[name] + ttl_ms, at, end)
+            while at < end:
+                answered.append(at)
+                last[name] = times[at]
+                at = bisect.bisect_right(times, times[at] + ttl_ms, at + 1, end)
+        if answered:
+            at = order[answered]
+            answers = rows[[*keys, KEY_NULLS]].iloc[at].assign(answered_ms=rows["ms"].to_numpy()[at])
+    kept = {name: ms for name, ms in last.items() if watermark <= 0 or ms + ttl_ms >= watermark}
+    return answers, (list(kept), list(kept.values()))
 
 
 def dedup_queries_ttl(requests: DataFrame, keys: list[str], ts: str = "ts", ttl_ms: int = ANSWER_TTL_MS,
-                      delay: str = "10 minutes") -> DataFrame:
-    """The same rule on a stream.  The state of a key is the time of its stored answer; it is dropped when the
-    watermark passes the end of its life."""
-    watered = requests.withColumn("_ts", F.col(ts).cast("timestamp")).withWatermark("_ts", delay).select(
-        *keys, "_ts", F.unix_millis("_ts").alias("ms"))
-    out = T.StructType([watered.schema[k] for k in keys] + [T.StructField("answered_ms", T.LongType())])
-
-    def serve(key, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
+                      delay: str = "10 minutes", buckets: int = 256) -> DataFrame:
+    """The same rule on a stream.  The state of a bucket of keys is the times of their stored answers; a time is dropped when the
+    watermark passes the end of its life.  ``buckets`` must stay as it is for the life of a checkpoint; the requests of a bucket in
+    one micro-batch, and its live keys, are held in memory together."""
+    watered = timed_by_bucket(requests, keys, ts, delay, buckets)
+
+    def serve(_, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        watermark = state.getCurrentWatermarkMs()
+        answers, held = once_per_life(() if state.hasTimedOut else parts, state.get if state.exists else ((), ()), keys, ttl_ms, watermark)
+        if answers is not None:
+            yield answers
+        if held[0]:
+            state.update(held)
+            state.setTimeoutTimestamp(max(min(held[1]) + ttl_ms + 1, watermark + 1))
+        elif state.exists:
             state.remove()
-            return
-        t = np.sort(np.concatenate([p["ms"].to_numpy() for p in parts]))
-        first = int(np.searchsorted(t, state.get[0] + ttl_ms, side="right")) if state.exists else 0
-        answered = t[list(_chain(t, first, ttl_ms))]
-        if len(answered):
-            state.update((int(answered[-1]),))
-            yield _with_key(pd.DataFrame({"answered_ms": answered}), keys, key)
-        state.setTimeoutTimestamp(max(state.get[0] + ttl_ms + 1, state.getCurrentWatermarkMs() + 1))
-
-    return watered.groupBy(*keys).applyInPandasWithState(
-        serve, out, "stored_ms long", "append", GroupStateTimeout.EventTimeTimeout)
+
+    answers = watered.groupBy(KEY_BUCKET).applyInPandasWithState(serve, answers_of(watered, keys), HELD, "append", GroupStateTimeout.EventTimeTimeout)
+    return with_nulls(answers, keys)
 
 
 # ---- limits, tokens, messages --------------------------------------------------------------------------------------

@@ -61,6 +61,25 @@ def test_an_answer_serves_for_its_life_and_goes(spark, tmp_path):
     assert feed.held() == alone <= 2  # one key's time and timer; all others are gone
 
 
+@pytest.mark.parametrize("once", [jobs.dedup_queries_ttl, state.answered_once])
+def test_state_goes_by_bucket_not_by_key(spark, tmp_path, once):
+    """Keys with nulls beside whole numbers no double can hold come back as they are; a thousand keys are not a thousand states."""
+    feed = Feed(spark, tmp_path, "k long, w string, at string")
+    stream = lambda df: once(df.withColumn("ts", F.to_timestamp("at")), ["k", "w"], ttl_ms=60_000, delay="10 seconds")
+    keys = [(2 ** 60 + i, f"w{i % 3}") for i in range(1000)] + [(None, "w"), (7, None), (None, None), (1, "1:1"), (11, ":1"), (7, "")]
+    batches = [[(*k, at(s)) for k in keys for s in (0, 30, 61)], [(*k, at(s)) for k in keys[500:] for s in (100, 122, 122)]]
+    for rows in batches:
+        feed.batch(rows, stream)
+        assert 0 < feed.held() < len(keys)
+    whole = [r for b in batches for r in b if r[0] is not None and r[1] is not None]
+    twin = jobs.dedup_queries_ttl_batch(spark.createDataFrame(whole, feed.schema).withColumn("ts", F.to_timestamp("at")), ["k", "w"], ttl_ms=60_000)
+    want = sorted(tuple(r) for r in twin.collect())
+    got = [tuple(r) for r in spark.read.parquet(feed.out).select("k", "w", "answered_ms").collect()]
+    assert sorted(r for r in got if r[0] is not None and r[1] is not None) == want
+    nulls = [(r[0] is None, r[1] is None) for r in got if r[0] is None or r[1] is None]
+    assert sorted(nulls) == sorted(3 * [(True, False), (False, True), (True, True)])
+
+
 def test_tokens_leave_with_their_answer(spark, tmp_path):
     schema = "k string, seq long, token string, done boolean, at string"
     feed = Feed(spark, tmp_path, schema)
