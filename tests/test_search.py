@@ -186,3 +186,28 @@ def test_each_search_has_its_own_k(spark):
     k = lambda text: {"text": text, "table": 1, "image": 1}
     dense_list, sparse_list = retrieval.candidate_lists(asked, retrieval.prepare_queries(asked, dim=16), index, base_k=k(12), sparse_k=k(5))
     assert dense_list.count() == 12 and sparse_list.where("modality = 'text'").count() == 5
+
+
+@pytest.mark.parametrize("bucket_length, tables, projections", [(2.0, 4, 1), (0.6, 3, 3)])
+def test_lsh_gives_the_best_of_the_pairs_that_share_a_cell(vectors, bucket_length, tables, projections):
+    """Wide cells hold more pairs than there are: no row is made for a cell then, and rows are copied for blocks of queries only."""
+    from pyspark.ml.feature import BucketedRandomProjectionLSH
+    from pyspark.ml.functions import array_to_vector
+
+    _, _, corpus, asked = vectors
+    model = BucketedRandomProjectionLSH(inputCol="_v", outputCol="_h", bucketLength=bucket_length, numHashTables=tables * projections, seed=42).fit(
+        corpus.select(array_to_vector("embedding").alias("_v")))
+    cells = lambda df, key: dense.lsh_cells(df, model, tables, projections).select("org_id", "modality", key, "_cell")
+    met = cells(corpus, "chunk_id").join(cells(asked, "qid"), ["org_id", "modality", "_cell"]).select("qid", "chunk_id").distinct()
+    every = dense.dense_topk(asked.drop("k", "file_ids"), corpus, k=1000).drop("rnk").join(met, ["qid", "chunk_id"]).join(
+        asked.select("qid", "k", "file_ids"), "qid").join(corpus.select("chunk_id", "file_id"), "chunk_id")
+    want = {}
+    for r in sorted(every.collect(), key=lambda r: (-r.similarity, r.chunk_id)):
+        if not r.file_ids or r.file_id in r.file_ids:
+            want.setdefault(r.qid, []).append((r.chunk_id, r.similarity))
+    k = {r.qid: r.k for r in asked.collect()}
+    for options in ({}, {"max_broadcast_queries": 0, "block_rows": 40, "query_block_rows": 7}):
+        near = dense.dense_topk_lsh(asked, corpus, bucket_length=bucket_length, tables=tables, projections=projections, **options)
+        got = {(r.qid, r.rnk): (r.chunk_id, r.similarity) for r in near.collect()}
+        assert got == {(q, i + 1): x for q, found in want.items() for i, x in enumerate(found[:k[q]])} and got
+    assert ("_cell" in near._jdf.queryExecution().optimizedPlan().toString()) == (tables == 3)
